@@ -25,7 +25,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     ``master`` and ``shuffle_partitions`` are only for local runs and tests; on
     a cluster both come from the submit configuration.
     """
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
