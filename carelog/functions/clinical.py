@@ -66,15 +66,18 @@ VASOPRESSOR_UNITS = {
 }
 
 
+def unit_rate(name, rate, units, lower: bool = True, digits: int = 3) -> Column:
+    """Convert ``rate`` by the unit text found in ``name``: ``units`` is an
+    ordered list of (substring, divisor or None); the first listed unit present
+    wins; a division is rounded to ``digits``; no listed unit -> NULL."""
+    n = F.lower(col(name)) if lower else col(name)
+    r = col(rate)
+    return first_match([(n.contains(u), r if d is None else F.round(r / F.lit(d), digits)) for u, d in units])
+
+
 def vasopressor_rate(drugname, rate, drug: str) -> Column:
-    """Rate in mcg/kg/min from the unit written in the drug name, rounded to 3
-    places after a division; NULL when the unit is not listed."""
-    name = F.lower(col(drugname))
-    rate = col(rate)
-    cases = []
-    for unit, div in VASOPRESSOR_UNITS[drug]:
-        cases.append((name.contains(unit), rate if div is None else F.round(rate / F.lit(div), 3)))
-    return first_match(cases)
+    """Rate in mcg/kg/min from the unit written in the drug name."""
+    return unit_rate(drugname, rate, VASOPRESSOR_UNITS[drug])
 
 
 # ------------------------------------------------------------ body size

@@ -9,11 +9,7 @@ driver tables (``sources.fixtures``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carelog.plans import combined as CB
 from carelog.plans import compliance as CMP
@@ -23,23 +19,7 @@ from carelog.plans import pf as PF
 from carelog.plans import sofa as SOFA
 from carelog.sources.fixtures import derive
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f.name) for f in df.schema.fields]
-    return df.select(*cols)
+from carelog.plans.registry import ORACLE, QUERIES, register, round_doubles  # noqa: F401
 
 
 # ------------------------------------------------------------- pipelines
@@ -107,3 +87,7 @@ def pipe_combined(spark, sf_dir):
 def pipe_day12(spark, sf_dir):
     cm, lc = _combined(_t(spark, sf_dir))
     return round_doubles(CB.day12(lc, cm))
+
+
+# driver-table queries register themselves on import
+from carelog.plans import generic  # noqa: E402,F401
