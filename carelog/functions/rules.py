@@ -38,8 +38,33 @@ class Rule:
         return out
 
 
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rules_sql(column: str, rules, default=None) -> str:
+    """The rule table as one SQL ``CASE`` over ``column`` (already lower-cased)."""
+    c = f"`{column}`"
+    parts = []
+    for r in rules:
+        preds = []
+        if r.exact:
+            preds.append(f"{c} IN ({', '.join(_lit(x) for x in r.exact)})")
+        preds += [f"contains({c}, {_lit(x)})" for x in r.contains]
+        preds += [f"(contains({c}, {_lit(x)}) AND NOT contains({c}, {_lit(e)}))" for x, e in r.contains_unless]
+        parts.append(f"WHEN {' OR '.join(preds)} THEN {int(r.code)}")
+    tail = f" ELSE {int(default)}" if default is not None else ""
+    return "CASE " + " ".join(parts) + tail + " END"
+
+
 def classify(text, rules, lower: bool = True, default=None) -> Column:
-    """Ordered rule classification of a text column (NULL text -> default)."""
+    """Ordered rule classification of a text column (NULL text -> default).
+
+    Given a column *name* of already lower-cased text (``lower=False``) the
+    rule table is compiled to one SQL CASE (a single expression parse);
+    otherwise it is assembled from Column predicates."""
+    if isinstance(text, str) and not lower:
+        return F.expr(rules_sql(text, rules, default))
     t = F.lower(col(text)) if lower else col(text)
     expr = first_match([(r.predicate(t), r.code) for r in rules])
     if default is not None:

@@ -61,23 +61,23 @@ def support_events(resp: DataFrame, nurse: DataFrame, treatment: DataFrame,
          .select(F.col(STAY), F.col("respchartoffset").alias("charttime"),
                  F.lower("respchartvaluelabel").alias("_label"), F.lower("respchartvalue").alias("_value"),
                  F.col("respchartvaluelabel"), F.col("respchartvalue")))
-    r = _merged(r, {"_c_label": oxygen_support_code(F.col("_label"), lower=False),
+    r = _merged(r, {"_c_label": oxygen_support_code("_label", lower=False),
                     "_c_device": F.when(F.col("_label").isin(*DEVICE_LABELS),
-                                        oxygen_support_code(F.col("_value"), lower=False)),
+                                        oxygen_support_code("_value", lower=False)),
                     "_c_fio2": fio2_code("respchartvaluelabel", "respchartvalue")},
                 [STAY, "charttime"])
     n = (nurse.filter(F.col("nursingchartoffset") >= min_offset)
          .select(F.col(STAY), F.col("nursingchartoffset").alias("charttime"),
                  F.lower("nursingchartvalue").alias("_value"),
                  F.col("nursingchartcelltypevallabel"), F.col("nursingchartvalue")))
-    n = _merged(n, {"_c_value": oxygen_support_code(F.col("_value"), lower=False),
+    n = _merged(n, {"_c_value": oxygen_support_code("_value", lower=False),
                     "_c_flow": flow_code("nursingchartcelltypevallabel", "nursingchartvalue")},
                 [STAY, "charttime"])
     t = (treatment.filter(F.col("treatmentoffset") >= min_offset)
          .select(F.col(STAY), F.col("treatmentoffset").alias("charttime"),
                  F.lower("treatmentstring").alias("_value"),
                  F.col("activeupondischarge").cast("boolean").alias("active")))
-    t = _merged(t, {"_c_value": oxygen_support_code(F.col("_value"), lower=False)}, [STAY, "charttime", "active"])
+    t = _merged(t, {"_c_value": oxygen_support_code("_value", lower=False)}, [STAY, "charttime", "active"])
     return union_events(r, n, t)
 
 

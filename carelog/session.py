@@ -29,6 +29,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
                .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local data is a few MB: without this AQE folds each shuffle into
+            # one partition and the CPU-heavy stage after it onto one core.
+            # Cluster sessions keep the defaults.
+            builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**_JOB_CONF, **(extra or {})}.items():
