@@ -169,13 +169,19 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs=(0.25, 0.5, 0.75),
     los = [max(0.0, p - eps) for p in probs]
     his = [min(1.0, p + eps) for p in probs]
     stats = x.groupBy("_s").agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.percentile_approx("_x", los, accuracy).alias("_lo"),
         F.percentile_approx("_x", his, accuracy).alias("_hi"))
+    # with n >= accuracy the rank error (<= n/accuracy, at least one row) keeps
+    # both neighbouring order statistics inside [L, U]; a smaller stratum is
+    # small enough to rank whole
+    small = F.col("_n") < accuracy
     targets = stats.select(
         "_s", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p"),
-        "_lo", "_hi").select("_s", "_n", "_k", "_p", F.col("_lo")[F.col("_k")].alias("L"),
-                             F.col("_hi")[F.col("_k")].alias("U"))
+        "_lo", "_hi", "_min", "_max", small.alias("_small")).select(
+        "_s", "_n", "_k", "_p",
+        F.when(F.col("_small"), F.col("_min")).otherwise(F.col("_lo")[F.col("_k")]).alias("L"),
+        F.when(F.col("_small"), F.col("_max")).otherwise(F.col("_hi")[F.col("_k")]).alias("U"))
     targets = targets.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
         .withColumn("_r0", F.floor("_h").cast("long")).withColumn("_r1", F.ceil("_h").cast("long"))
     joined = x.join(targets, "_s")
@@ -241,9 +247,9 @@ def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     se2 = F.col("v_0") / F.col("n_0") + F.col("v_1") / F.col("n_1")
     out = s.select(
         F.col("m_0").alias("mean_a"), F.col("m_1").alias("mean_b"),
-        ((F.col("m_0") - F.col("m_1")) / F.sqrt(se2)).alias("t"),
-        (se2 ** 2 / ((F.col("v_0") / F.col("n_0")) ** 2 / (F.col("n_0") - 1)
-                     + (F.col("v_1") / F.col("n_1")) ** 2 / (F.col("n_1") - 1))).alias("df"))
+        F.try_divide(F.col("m_0") - F.col("m_1"), F.sqrt(se2)).alias("t"),
+        F.try_divide(se2 ** 2, F.try_divide((F.col("v_0") / F.col("n_0")) ** 2, F.col("n_0") - 1)
+                     + F.try_divide((F.col("v_1") / F.col("n_1")) ** 2, F.col("n_1") - 1)).alias("df"))
     return out
 
 
@@ -269,8 +275,11 @@ def odds_ratios(df: DataFrame, outcome: str, group: str, levels: list, z: float
     for i, lv in enumerate(levels[1:], start=1):
         parts.append(f"'{lv}', e{i}, n{i}, e0, n0")
     long = c.select(F.expr(f"stack({len(parts)}, {', '.join(parts)}) as ({group}, events, nonevents, _re, _rn)"))
-    lor = F.log((F.col("events") * F.col("_rn")) / (F.col("nonevents") * F.col("_re")))
-    se = F.sqrt(1 / F.col("events") + 1 / F.col("nonevents") + 1 / F.col("_re") + 1 / F.col("_rn"))
+    # an empty cell leaves the ratio undefined (NULL), not an error
+    ok = (F.col("events") > 0) & (F.col("nonevents") > 0) & (F.col("_re") > 0) & (F.col("_rn") > 0)
+    e, ne, re, rn = (F.col(c).cast("double") for c in ("events", "nonevents", "_re", "_rn"))
+    lor = F.when(ok, F.log((e * rn) / (ne * re)))
+    se = F.when(ok, F.sqrt(1 / e + 1 / ne + 1 / re + 1 / rn))
     return long.select(group, "events", "nonevents", F.exp(lor).alias("odds_ratio"), se.alias("se_log_or"),
                        F.exp(lor - z * se).alias("ci_low"), F.exp(lor + z * se).alias("ci_high"))
 
