@@ -17,6 +17,7 @@ from carelog.plans import oracle_sql as O
 from carelog.plans import oxygen as OX
 from carelog.plans import pf as PF
 from carelog.plans import sofa as SOFA
+from carelog.session import materialize
 from carelog.sources.fixtures import derive
 
 from carelog.plans.registry import ORACLE, QUERIES, register, round_doubles  # noqa: F401
@@ -35,11 +36,19 @@ def _first_pf(t, ox=None):
     return PF.first_pfratio(t, ox if ox is not None else _oxygen(t))
 
 
-def _combined(t):
+def _combined(t, persist: bool = False):
+    """Analysis table and compliance rows.  With ``persist`` the study's
+    table steps (compliance, first P/F, SOFA, analysis table) are written to
+    the checkpoint folder and read back, as the study materialises them."""
     lc = CMP.lung_compliance(t["respiratorycharting"])
     fp = _first_pf(t)
     so = SOFA.sofa(t)
-    return CB.combined(fp, lc, so, t["vitalperiodic"], t["lab"], t["diagnosis"]), lc
+    if persist:
+        lc, fp, so = materialize(lc, "lungcompliance"), materialize(fp, "first_pfratio"), materialize(so, "sofa")
+    cm = CB.combined(fp, lc, so, t["vitalperiodic"], t["lab"], t["diagnosis"])
+    if persist:
+        cm = materialize(cm, "combined")
+    return cm, lc
 
 
 @register("pipe_oxygen", O.oxygen_sql())
@@ -85,9 +94,134 @@ def pipe_combined(spark, sf_dir):
 
 @register("pipe_day12", O.day12_sql())
 def pipe_day12(spark, sf_dir):
-    cm, lc = _combined(_t(spark, sf_dir))
+    cm, lc = _combined(_t(spark, sf_dir), persist=True)
     return round_doubles(CB.day12(lc, cm))
 
 
+# --------------------------------------------------------------- report
+from carelog.plans import report as R  # noqa: E402
+
+
+def _report_df(spark, sf_dir):
+    return materialize(R.prepare(_combined(_t(spark, sf_dir), persist=True)[0]), "analysis")
+
+
+def _day12_df(spark, sf_dir):
+    cm, lc = _combined(_t(spark, sf_dir), persist=True)
+    return materialize(CB.day12(lc, cm), "day12")
+
+
+def _prep_sql() -> str:
+    return f"""(select * replace (
+        case when bmi < 10 or bmi > 100 then null else bmi end as bmi,
+        case when tidal_volume > 1000 then null else tidal_volume end as tidal_volume,
+        case when TV_IBW_calculated < 0 or TV_IBW_calculated > 20 then null else TV_IBW_calculated end
+          as TV_IBW_calculated,
+        case when max_peep > 20 then null else max_peep end as max_peep),
+      case when hospitaldischargestatus = 'Alive' then 0 when hospitaldischargestatus = 'Expired' then 1 end
+        mortality_num,
+      case when unitdischargestatus = 'Alive' then 0 when unitdischargestatus = 'Expired' then 1 end icu_mortality,
+      plateau_pressure - peep driving_pressure
+    from ({O.combined_sql(False)}) c0 where hospitaldischargestatus in ('Alive', 'Expired'))"""
+
+
+def _union(parts):
+    return " union all ".join(parts)
+
+
+@register("report_mean_sd", f"""with p as {_prep_sql()}
+select * from ({_union(f"select compliance_level, '{v}' variable, round(avg({v}), 6) mean, "
+                      f"round(stddev_samp({v}), 6) sd from p group by 1" for v in R.MEAN_SD_VARS)}) x""")
+def report_mean_sd(spark, sf_dir):
+    """AGG12 on the analysis table: mean and SD of 17 variables per phenotype."""
+    return round_doubles(R.mean_sd_table(_report_df(spark, sf_dir)))
+
+
+@register("report_proportions", f"""with p as {_prep_sql()},
+l as ({_union(f"select compliance_level, '{v}' variable, cast({v} as varchar) value from p" for v in R.PROPORTION_VARS)}),
+c as (select compliance_level, variable, value, count(*) n from l where value is not null group by 1, 2, 3)
+select *, round(n / sum(n) over (partition by compliance_level, variable), 3) prop from c""")
+def report_proportions(spark, sf_dir):
+    """AGG15 on the analysis table: within-phenotype shares of five categorical variables."""
+    return R.proportion_table(_report_df(spark, sf_dir))
+
+
+@register("report_comorbidity", f"""with p as {_prep_sql()},
+l as ({_union(f"select compliance_level, '{v}' flag, cast({v} as boolean) value from p" for v in R.COMORBIDITY_FLAGS)}),
+c as (select compliance_level, flag, value, count(*) n from l where value is not null group by 1, 2, 3)
+select *, round(n / sum(n) over (partition by compliance_level, flag), 3) prop from c""")
+def report_comorbidity(spark, sf_dir):
+    """AGG16 on the analysis table: comorbidity prevalence per phenotype."""
+    return R.comorbidity_table(_report_df(spark, sf_dir))
+
+
+@register("report_durations", f"""with p as {_prep_sql()}
+select * from ({_union(
+    f"select compliance_level, round(min({v}) / {s}, 7) min, round(quantile_cont({v}, 0.25) / {s}, 7) q1, "
+    f"round(quantile_cont({v}, 0.5) / {s}, 7) median, round(avg({v}) / {s}, 7) mean, "
+    f"round(quantile_cont({v}, 0.75) / {s}, 7) q3, round(max({v}) / {s}, 7) max, "
+    f"count(case when {v} is null then 1 end) n_na, '{v}' variable from p group by 1" for v, s in R.DURATIONS)}) x""")
+def report_durations(spark, sf_dir):
+    """AGG17 on the analysis table: compliance and durations (days) per phenotype."""
+    return round_doubles(R.duration_table(_report_df(spark, sf_dir)), 7)
+
+
+@register("report_mortality_chisq", f"""with p as {_prep_sql()}
+select * from ({_union(
+    f"select '{o}' outcome, round(max(nn) * sum(cast(n as double) * n / (rt * ct)) - max(nn), 6) statistic, "
+    f"cast((count(distinct r) - 1) * (count(distinct k) - 1) as bigint) df from ("
+    f"select *, sum(n) over (partition by r) rt, sum(n) over (partition by k) ct, sum(n) over () nn from ("
+    f"select {c} r, compliance_level k, count(*) n from p where {c} is not null and compliance_level is not null "
+    f"group by 1, 2) a) b" for o, c in (("icu", "unitdischargestatus"), ("hospital", "hospitaldischargestatus")))}) x""")
+def report_mortality_chisq(spark, sf_dir):
+    """ST1 on the analysis table: ICU and hospital outcome by phenotype."""
+    return round_doubles(R.mortality_tests(_report_df(spark, sf_dir)).select("outcome", "statistic", "df"))
+
+
+@register("report_mortality_chisq_p")
+def report_mortality_chisq_p(spark, sf_dir):
+    """ST1 with p-values (regularized gamma; checked in tests)."""
+    return round_doubles(R.mortality_tests(_report_df(spark, sf_dir)))
+
+
+@register("report_models")
+def report_models(spark, sf_dir):
+    """ST4/ST5/ST8: unadjusted and adjusted logistic models, odds ratios, CI."""
+    return round_doubles(R.odds_ratio_models(_report_df(spark, sf_dir)))
+
+
+_PHENO_GRID = ", ".join(f"('{a}', '{b}')" for a in R.PHENO for b in R.PHENO)
+
+
+@register("report_transitions", f"""with d as ({O.day12_sql(False)}),
+g as (select * from (values {_PHENO_GRID}) v(day1_compliance, day2_compliance)),
+c as (select day1_compliance, day2_compliance, count(*) n from d group by 1, 2),
+f as (select g.*, coalesce(c.n, 0) n from g left join c using (day1_compliance, day2_compliance))
+select *, case when sum(n) over (partition by day1_compliance) > 0 then
+  round(n / sum(n) over (partition by day1_compliance), 3) end prop from f""")
+def report_transitions(spark, sf_dir):
+    """ST9: day-1 -> day-2 phenotype transition counts and row shares."""
+    return R.transition_tables(_day12_df(spark, sf_dir))[0]
+
+
+@register("report_transition_mortality", f"""with d as ({O.day12_sql(False)}),
+g as (select * from (values {_PHENO_GRID}) v(day1_compliance, day2_compliance)),
+c as (select day1_compliance, day2_compliance, count(*) n,
+             count(case when hospitaldischargestatus = 'Expired' then 1 end) events, avg(pfratio) mean_value
+      from d where hospitaldischargestatus is not null group by 1, 2)
+select g.*, coalesce(c.n, 0) n, coalesce(c.events, 0) events, round(c.mean_value, 6) mean_value,
+  case when coalesce(c.n, 0) > 0 then round(c.events / c.n, 3) end rate
+from g left join c using (day1_compliance, day2_compliance)""")
+def report_transition_mortality(spark, sf_dir):
+    """ST10: per-transition deaths, patients, mortality and mean P/F."""
+    return round_doubles(R.transition_tables(_day12_df(spark, sf_dir))[1])
+
+
+@register("report_transition_pf_tests")
+def report_transition_pf_tests(spark, sf_dir):
+    """ST3 on the day-1/day-2 pairs: Welch t-tests of P/F between transitions."""
+    return round_doubles(R.transition_pf_tests(_day12_df(spark, sf_dir)))
+
+
 # driver-table queries register themselves on import
 from carelog.plans import generic  # noqa: E402,F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
             # one partition and the CPU-heavy stage after it onto one core.
             # Cluster sessions keep the defaults.
             builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**_JOB_CONF, **(extra or {})}.items():
@@ -60,13 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back.
+    """Write ``df`` as parquet under the checkpoint folder and read it back
+    (the drop-and-create table step of a pipeline).
 
     Cuts lineage (a lost executor recomputes from the written table, not from
-    the raw scans) and gives later size checks a real, small input.
+    the raw scans), keeps later plans small, and lets AQE see real sizes.
     """
     spark = spark or df.sparkSession
     base = checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{os.getpid()}-{id(df)}")
+    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
