@@ -223,5 +223,28 @@ def report_transition_pf_tests(spark, sf_dir):
     return round_doubles(R.transition_pf_tests(_day12_df(spark, sf_dir)))
 
 
+@register("report_gam")
+def report_gam(spark, sf_dir):
+    """ST6/ST8 on the analysis table: compliance ~ s(P/F) + SOFA + age + BMI
+    (gaussian) and hospital death ~ s(compliance) + P/F + age + BMI + SOFA
+    (binomial); the study's duplicated linear P/F term is left out."""
+    from carelog.operators.splines import gam_fit, summary_frame
+    d = _report_df(spark, sf_dir)
+    a = gam_fit(d, "lung_compliance", "pfratio", ["sofatotal", "age", "bmi"], family="gaussian")
+    b = gam_fit(d, "mortality_num", "lung_compliance", ["pfratio", "age", "bmi", "sofatotal"], family="binomial")
+    out = (summary_frame(spark, a).withColumn("model", F.lit("compliance~s(pfratio)"))
+           .unionByName(summary_frame(spark, b).withColumn("model", F.lit("mortality~s(lung_compliance)"))))
+    return round_doubles(out)
+
+
+@register("report_gam_curves")
+def report_gam_curves(spark, sf_dir):
+    """ST7 on the analysis table: probability of death along compliance, with band."""
+    from carelog.operators.splines import gam_fit, partial_effect
+    d = _report_df(spark, sf_dir)
+    b = gam_fit(d, "mortality_num", "lung_compliance", [], family="binomial")
+    return round_doubles(partial_effect(spark, b))
+
+
 # driver-table queries register themselves on import
 from carelog.plans import generic  # noqa: E402,F401

@@ -678,3 +678,26 @@ def transition_chisq(spark, sf):
     for o in outs[1:]:
         out = out.unionByName(o)
     return round_doubles(out.filter(F.col("statistic").isNotNull()))
+
+
+# --------------------------------------------------------------- splines
+def _doc_quality(spark, sf):
+    lab = _t(spark, sf, "labels")
+    doc = _t(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("kchars"))
+    return lab.join(doc, "doc_id")
+
+
+@register("spline_fit")
+def spline_fit(spark, sf):
+    """ST6/ST8: binomial penalised spline quality ~ s(kchars) + toxic (summary table)."""
+    from carelog.operators.splines import gam_fit, summary_frame
+    fit = gam_fit(_doc_quality(spark, sf), "quality", "kchars", ["toxic"], family="binomial")
+    return round_doubles(summary_frame(spark, fit))
+
+
+@register("partial_effect")
+def partial_effect_q(spark, sf):
+    """ST7: fitted smooth with a 95% band on a grid (the data behind the plot)."""
+    from carelog.operators.splines import gam_fit, partial_effect
+    fit = gam_fit(_doc_quality(spark, sf), "quality", "kchars", ["toxic"], family="binomial")
+    return round_doubles(partial_effect(spark, fit))

@@ -100,3 +100,28 @@ def test_flag_prevalence(spark):
     df = spark.createDataFrame([("a", True, False), ("a", False, None), ("a", True, True)], "s string, f boolean, g boolean")
     got = {(r.flag, r.value): r.prop for r in S.flag_prevalence(df, "s", ["f", "g"]).collect()}
     assert got[("f", True)] == 0.667 and got[("g", True)] == 0.5
+
+
+def test_spline_recovers_smooth_curve(spark):
+    from carelog.operators.splines import gam_fit, partial_effect
+    random.seed(11)
+    xs = [random.random() for _ in range(800)]
+    data = [(x, math.sin(2 * math.pi * x) + random.gauss(0, 0.2), 1.0 if i % 2 else 0.0) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(data, "x double, y double, z double")
+    fit = gam_fit(df, "y", "x", ["z"], family="gaussian")
+    assert 3 < fit["edf"] < 14 and abs(fit["beta"][-1]) < 0.1
+    pe = partial_effect(spark, fit, points=21).collect()
+    err = max(abs(r.fit - math.sin(2 * math.pi * r.x)) for r in pe[2:-2])
+    assert err < 0.2
+
+
+def test_binomial_spline_converges(spark):
+    from carelog.operators.splines import gam_fit
+    random.seed(12)
+    data = []
+    for _ in range(1500):
+        x = random.uniform(-2, 2)
+        p = 1 / (1 + math.exp(-(0.5 + 1.5 * x)))
+        data.append((x, 1.0 if random.random() < p else 0.0))
+    fit = gam_fit(spark.createDataFrame(data, "x double, y double"), "y", "x", [], family="binomial")
+    assert fit["edf"] < 8 and fit["deviance"] > 0
