@@ -70,20 +70,18 @@ def _moments(d: DataFrame, p: int, weight, target):
 
 
 def _solve(xtx, xty, yty, pen, n, lambdas):
+    """Penalised least squares for each lambda (largest first, so ties keep
+    the smoother fit); the pseudo-inverse keeps tiny or collinear inputs
+    solvable, and GCV is infinite when no residual degrees of freedom are left."""
     best = None
-    scale = np.trace(xtx) / max(len(xty), 1)
-    for lam in lambdas:
+    scale = (np.trace(xtx) / max(len(xty), 1)) or 1.0
+    for lam in sorted(lambdas, reverse=True):
         a = xtx + lam * scale * np.diag(pen)
-        try:
-            ainv = np.linalg.inv(a)
-        except np.linalg.LinAlgError:
-            continue
+        ainv = np.linalg.pinv(a)
         beta = ainv @ xty
-        rss = float(yty - 2 * beta @ xty + beta @ xtx @ beta)
+        rss = max(float(yty - 2 * beta @ xty + beta @ xtx @ beta), 0.0)
         edf = float(np.trace(ainv @ xtx))
-        if n - edf <= 0:
-            continue
-        gcv = n * rss / (n - edf) ** 2
+        gcv = n * rss / (n - edf) ** 2 if n - edf > 1e-9 else float("inf")
         if best is None or gcv < best[0]:
             best = (gcv, lam, beta, ainv, rss, edf)
     return best
