@@ -89,7 +89,7 @@ def pipe_pf(spark, sf_dir):
 
 @register("pipe_combined", O.combined_sql())
 def pipe_combined(spark, sf_dir):
-    return round_doubles(_combined(_t(spark, sf_dir))[0])
+    return round_doubles(_combined(_t(spark, sf_dir), persist=True)[0])
 
 
 @register("pipe_day12", O.day12_sql())
