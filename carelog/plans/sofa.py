@@ -145,21 +145,28 @@ def urine_day1(intakeoutput: DataFrame) -> DataFrame:
     return io.groupBy(STAY).agg(F.sum("outputtotal").alias("uo"))
 
 
-def gcs_sum(physicalexam: DataFrame, window=DAY1) -> DataFrame:
-    """Sum of all GCS eye/verbal/motor entries in the window (may exceed 15)."""
+def gcs_sum(physicalexam: DataFrame, window=DAY1, how: str = "study") -> DataFrame:
+    """GCS per stay from eye/verbal/motor entries in the window.
+
+    ``study``: the sum of all entries of the window (may exceed 15, as the
+    study computes it); ``worst``: the lowest total charted at one exam time."""
     path = F.lower("physicalexampath")
     is_gcs = path.contains("gcs/eyes") | path.contains("gcs/verbal") | path.contains("gcs/motor")
-    return (physicalexam.filter(is_gcs & _between("physicalexamoffset", window))
-            .groupBy(STAY).agg(F.sum(safe_decimal("physicalexamvalue")).alias("gcs")))
+    rows = physicalexam.filter(is_gcs & _between("physicalexamoffset", window))
+    if how == "worst":
+        per_exam = rows.groupBy(STAY, "physicalexamoffset").agg(F.sum(safe_decimal("physicalexamvalue")).alias("_t"))
+        return per_exam.groupBy(STAY).agg(F.min("_t").alias("gcs"))
+    return rows.groupBy(STAY).agg(F.sum(safe_decimal("physicalexamvalue")).alias("gcs"))
 
 
 def mech_vent(respiratorycare: DataFrame, resp: DataFrame, treatment: DataFrame,
-              patient: DataFrame, window=DAY1) -> DataFrame:
+              patient: DataFrame, window=DAY1, compat: bool = True) -> DataFrame:
     """Mechanical-ventilation indicator (1 or NULL) per stay from airway type,
     ventilator text in respiratory charting and ventilation treatments.
 
-    The charting branch applies the time window to the last text test only,
-    as the study's predicate groups it (OR binds looser than AND)."""
+    With ``compat`` the charting branch applies the time window to the last
+    text test only, as the study's predicate groups it (OR binds looser than
+    AND); ``compat=False`` applies it to every text test."""
     airway = (respiratorycare.filter(_between("respcarestatusoffset", window))
               .groupBy(STAY).agg(F.max(F.when(F.col("airwaytype").isin(*INVASIVE_AIRWAYS), 1)).alias("airway")))
     v = F.col("respchartvalue")
@@ -168,7 +175,10 @@ def mech_vent(respiratorycare: DataFrame, resp: DataFrame, treatment: DataFrame,
         text = text | v.contains(s)
     for s in VENTILATOR_PREFIX:
         text = text | v.startswith(s)
-    text = text | (v.contains("peep") & _between("respchartoffset", window))
+    if compat:
+        text = text | (v.contains("peep") & _between("respchartoffset", window))
+    else:
+        text = (text | v.contains("peep")) & _between("respchartoffset", window)
     vent = resp.filter(text).select(STAY).distinct().withColumn("ventilator", F.lit(1))
     iface = (treatment.filter(_between("treatmentoffset", window))
              .groupBy(STAY).agg(F.max(F.when(F.col("treatmentstring").isin(*VENTILATION_TREATMENTS), 1)).alias("interface")))
@@ -178,7 +188,7 @@ def mech_vent(respiratorycare: DataFrame, resp: DataFrame, treatment: DataFrame,
     return j.select(STAY, F.when(any_, F.lit(1)).alias("mechvent"))
 
 
-def sofa_components(t: dict[str, DataFrame]) -> DataFrame:
+def sofa_components(t: dict[str, DataFrame], gcs: str = "study") -> DataFrame:
     """Per stay inputs and the six sub-scores (stay spine = patient table)."""
     spine = t["patient"].select(STAY)
     vit = vital_aggregates(t["vitalaperiodic"], t["vitalperiodic"])
@@ -186,7 +196,7 @@ def sofa_components(t: dict[str, DataFrame]) -> DataFrame:
     lab = lab_aggregates(t["lab"])
     fio2 = fio2_pick(t["respiratorycharting"], t["nursecharting"])
     uo = urine_day1(t["intakeoutput"])
-    gcs = gcs_sum(t["physicalexam"])
+    gcs = gcs_sum(t["physicalexam"], how=gcs)
     j = (spine.join(vit, STAY, "left").join(inf, STAY, "left").join(lab, STAY, "left")
          .join(fio2, STAY, "left").join(uo, STAY, "left").join(gcs, STAY, "left"))
     pf = C.ratio_with_defaults("pao2", "fio2")
@@ -201,9 +211,9 @@ def sofa_components(t: dict[str, DataFrame]) -> DataFrame:
         C.sofa_cns("gcs").alias("sofacns"))
 
 
-def sofa(t: dict[str, DataFrame]) -> DataFrame:
+def sofa(t: dict[str, DataFrame], gcs: str = "study") -> DataFrame:
     """patientunitstayid, sofatotal (every stay of the patient table)."""
-    c = sofa_components(t)
+    c = sofa_components(t, gcs)
     total = (F.col("sofa_cv") + F.col("sofa_respi") + F.col("sofarenal") + F.col("sofacoag")
              + F.col("sofaliver") + F.col("sofacns"))
     return c.select(STAY, total.cast("int").alias("sofatotal"))

@@ -58,3 +58,22 @@ def test_day12_windows(spark):
                                                      "pfratio double")
     r = day12(lc, cm).first()
     assert (r.day1, r.day2, r.day1_compliance, r.day2_compliance) == (55.0, 30.0, "Type L", "Type H")
+
+
+def test_gcs_options_and_vent_grouping(spark):
+    from carelog.plans.sofa import gcs_sum, mech_vent
+    pe = spark.createDataFrame([(1, 0, "notes/Neurologic/GCS/Eyes Score", "4"),
+                                (1, 0, "notes/Neurologic/GCS/Motor Score", "6"),
+                                (1, 60, "notes/Neurologic/GCS/Eyes Score", "2"),
+                                (1, 60, "notes/Neurologic/GCS/Motor Score", "3")],
+                               "patientunitstayid bigint, physicalexamoffset bigint, physicalexampath string, "
+                               "physicalexamvalue string")
+    assert float(gcs_sum(pe).first().gcs) == 15.0
+    assert float(gcs_sum(pe, how="worst").first().gcs) == 5.0
+    rc = spark.createDataFrame([], "patientunitstayid bigint, respcarestatusoffset bigint, airwaytype string")
+    tr = spark.createDataFrame([], "patientunitstayid bigint, treatmentoffset bigint, treatmentstring string")
+    pat = spark.createDataFrame([(1,), (2,)], "patientunitstayid bigint")
+    resp = _resp(spark, [(1, 9000, "Vent Mode", "ventilator"), (2, 9000, "x", "peep 5")])
+    study = {r.patientunitstayid: r.mechvent for r in mech_vent(rc, resp, tr, pat).collect()}
+    strict = {r.patientunitstayid: r.mechvent for r in mech_vent(rc, resp, tr, pat, compat=False).collect()}
+    assert study == {1: 1, 2: None} and strict == {1: None, 2: None}
