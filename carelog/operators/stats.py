@@ -309,8 +309,17 @@ def logistic_regression(df: DataFrame, label: str, numeric: list[str], factor: s
     s = model.summary
     terms = names + ["(Intercept)"]
     coefs = list(model.coefficients) + [model.intercept]
-    rows = [(t, float(b), float(se), float(zv), float(p))
-            for t, b, se, zv, p in zip(terms, coefs, s.coefficientStandardErrors, s.tValues, s.pValues)]
+
+    def stat(name):
+        # too few complete cases for the number of terms: no standard errors
+        try:
+            return [float(v) for v in getattr(s, name)]
+        except Exception:  # noqa: BLE001
+            return [None] * len(terms)
+
+    rows = [(t, float(b), se, zv, p)
+            for t, b, se, zv, p in zip(terms, coefs, stat("coefficientStandardErrors"), stat("tValues"),
+                                       stat("pValues"))]
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double")
     return out.select("*", F.exp("estimate").alias("odds_ratio"),
