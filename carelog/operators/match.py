@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelog.functions.util import col
 
@@ -61,8 +62,7 @@ def nearest_events(df: DataFrame, by: list[str], time: str, anchor: Column,
     ``{t: candidate time, v: candidate struct}`` or NULL when the group has no
     such candidate.
     """
-    g = df.groupBy(*by, time).agg(F.min(anchor).alias("anchor"),
-                                  *[F.min(c).alias(n) for n, c in candidates.items()])
+    g = _reduce_per_time(df, by, time, {"anchor": anchor, **candidates})
     w = Window.partitionBy(*by).orderBy(time)
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -82,6 +82,34 @@ def nearest_events(df: DataFrame, by: list[str], time: str, anchor: Column,
     return out.select(*by, time, "anchor", *candidates.keys())
 
 
+def _reduce_per_time(df: DataFrame, by: list[str], time: str, structs: dict[str, Column]) -> DataFrame:
+    """Smallest struct of each kind per (by, time).  One-field structs of a
+    fixed-width type are reduced field-wise (hash aggregation; min over a
+    struct would force a sort-based aggregate): a present struct with a NULL
+    field still wins, as NULL sorts first in the struct order."""
+    fixed = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+             T.BooleanType, T.DateType, T.TimestampType)
+    types = df.select(*[c.alias(n) for n, c in structs.items()]).schema
+    aggs, post = [], []
+    for n, c in structs.items():
+        st = types[n].dataType
+        f = st.fields[0] if isinstance(st, T.StructType) and len(st.fields) == 1 else None
+        small = f is not None and (isinstance(f.dataType, fixed) or (
+            isinstance(f.dataType, T.DecimalType) and f.dataType.precision <= 18))
+        if not small:
+            aggs.append(F.min(c).alias(n))
+            post.append(F.col(n))
+            continue
+        v = c[f.name]
+        aggs += [F.count_if(c.isNotNull()).alias(f"_{n}_n"), F.count_if(c.isNotNull() & v.isNull()).alias(f"_{n}_z"),
+                 F.min(v).alias(f"_{n}_m")]
+        rebuilt = (F.when(F.col(f"_{n}_n") == 0, F.lit(None))
+                   .when(F.col(f"_{n}_z") > 0, F.struct(F.lit(None).cast(f.dataType).alias(f.name)))
+                   .otherwise(F.struct(F.col(f"_{n}_m").alias(f.name))))
+        post.append(rebuilt.alias(n))
+    return df.groupBy(*by, time).agg(*aggs).select(*by, time, *post)
+
+
 def within_window(events: DataFrame, windows: DataFrame, key: str, t: str,
                   start: str, length, how: str = "left_semi") -> DataFrame:
     """Events of ``key`` whose time lies in ``[start, start + length]`` of at

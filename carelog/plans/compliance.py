@@ -47,7 +47,8 @@ def _typed(resp: DataFrame) -> DataFrame:
         F.col(STAY), F.col("respchartoffset").alias("offset"),
         F.when(label.isin(*PEEP_LABELS), v).alias("peep"),
         is_tv.alias("is_tv"),
-        F.when(is_tv, C.tidal_volume_ml(v)).alias("tidal_volume"),
+        # values are at most 2000 ml: decimal(18,9) keeps them fixed-width
+        F.when(is_tv, C.tidal_volume_ml(v).cast("decimal(18,9)")).alias("tidal_volume"),
         F.when(label == PLATEAU_LABEL, v).alias("plateau_pressure"),
         F.when(label == TV_IBW_LABEL, v).alias("TV_IBW"))
 
