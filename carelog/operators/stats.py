@@ -103,6 +103,17 @@ def t_two_sided(t: float, dof: float) -> float:
     return _betai(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
+# The UDFs below and the helpers they call ship to the Python workers by
+# value, so workers need not import this package (executors may run without it).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
+
 @F.pandas_udf(T.DoubleType())
 def chisq_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chisq_sf(float(s), float(d)) if pd.notna(s) and pd.notna(d) else None
