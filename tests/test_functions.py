@@ -116,3 +116,23 @@ def test_ibw(spark):
     got = [r[0] for r in df.select(C.ideal_body_weight("g", "h")).collect()]
     assert abs(got[0] - (50 + 0.91 * 170 - 152.4)) < 1e-9 and abs(got[1] - (45.5 + 0.91 * 170 - 152.4)) < 1e-9
     assert got[2] is None
+
+
+def test_bucket_formula_equals_case_chain(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def chain(t, w=240, n=12):
+        # the literal inclusive CASE chain: first matching [k*w, (k+1)*w] wins
+        for k in range(n):
+            if k * w <= t <= (k + 1) * w:
+                return f"T{k + 1}"
+        return None
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.integers(-300, 3200), min_size=1, max_size=200))
+    def check(ts):
+        got = one_col(spark, ts, "bigint", lambda c: C.bucket_label(c, 240, 12))
+        assert got == [chain(t) for t in ts]
+
+    check()

@@ -125,3 +125,20 @@ def test_binomial_spline_converges(spark):
         data.append((x, 1.0 if random.random() < p else 0.0))
     fit = gam_fit(spark.createDataFrame(data, "x double, y double"), "y", "x", [], family="binomial")
     assert fit["edf"] < 8 and fit["deviance"] > 0
+
+
+def test_chisq_transpose_invariant(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("xyz"), st.integers(1, 50)),
+                    min_size=2, max_size=9, unique_by=lambda t: (t[0], t[1])))
+    def check(cells):
+        a = spark.createDataFrame(cells, "r string, c string, n long")
+        b = spark.createDataFrame([(c, r, n) for r, c, n in cells], "r string, c string, n long")
+        x = S.chisq_from_counts(a, "r", "c").first()
+        y = S.chisq_from_counts(b, "r", "c").first()
+        assert abs(x.statistic - y.statistic) < 1e-9 and x.df == y.df
+
+    check()
