@@ -167,7 +167,7 @@ def flag_prevalence(df: DataFrame, by: str, flags: list[str], digits: int = 3) -
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs=(0.25, 0.5, 0.75),
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, with_summary: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles (R type 7) per stratum, without
     gathering a stratum in one task.
 
@@ -175,12 +175,15 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs=(0.25, 0.5, 0.75),
     most n/accuracy; only the rows inside the bracket (about 4n/accuracy per
     target) are ranked to read off the exact order statistics.
     """
-    x = df.select(F.col(by).alias("_s"), F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    raw = df.select(F.col(by).alias("_s"), F.col(value).cast("double").alias("_x"))
+    x = raw.filter(F.col("_x").isNotNull())
     eps = 2.0 / accuracy
     los = [max(0.0, p - eps) for p in probs]
     his = [min(1.0, p + eps) for p in probs]
-    stats = x.groupBy("_s").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+    # one pass over the input: counts, extremes, mean, NULL count and brackets
+    stats = raw.groupBy("_s").agg(
+        F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+        F.avg("_x").alias("_mean"), F.count_if(F.col("_x").isNull()).alias("_na"),
         F.percentile_approx("_x", los, accuracy).alias("_lo"),
         F.percentile_approx("_x", his, accuracy).alias("_hi"))
     # with n >= accuracy the rank error (<= n/accuracy, at least one row) keeps
@@ -206,17 +209,19 @@ def exact_quantiles(df: DataFrame, by: str, value: str, probs=(0.25, 0.5, 0.75),
         F.max(F.when(F.col("_g") == F.col("_r1"), F.col("_x"))).alias("_v1"))
     q = vals.select("_s", "_k", (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"))
     out = q.groupBy("_s").pivot("_k", list(range(len(probs)))).agg(F.first("q"))
-    return out.select(F.col("_s").alias(by), *[F.col(str(i)).alias(f"q{int(round(p * 100))}")
-                                              for i, p in enumerate(probs)])
+    qcols = [F.col(str(i)).alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)]
+    if not with_summary:
+        return out.select(F.col("_s").alias(by), *qcols)
+    # strata whose values are all NULL have no quantile row: keep them
+    summ = stats.select("_s", F.col("_min").alias("min"), F.col("_mean").alias("mean"),
+                        F.col("_max").alias("max"), F.col("_na").alias("n_na"))
+    return summ.join(out.select("_s", *qcols), "_s", "left").withColumnRenamed("_s", by)
 
 
 def six_number(df: DataFrame, by: str, value: str, scale: float = 1.0) -> DataFrame:
     """Min, Q1, median, mean, Q3, max (divided by ``scale``) and the NULL count
     (not scaled) per stratum."""
-    basic = df.groupBy(by).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"),
-                               F.count_if(F.col(value).isNull()).alias("n_na"))
-    qs = exact_quantiles(df, by, value)
-    j = basic.join(qs, by, "left")
+    j = exact_quantiles(df, by, value, with_summary=True)
     s = F.lit(float(scale))
     return j.select(by, (F.col("min") / s).alias("min"), (F.col("q25") / s).alias("q1"),
                     (F.col("q50") / s).alias("median"), (F.col("mean") / s).alias("mean"),
