@@ -105,3 +105,13 @@ def test_sessions_hot_key_spreads_over_blocks(spark):
     df = spark.createDataFrame(ev, "k int, t bigint")
     got = rows(sessions(df, "k", "t", 1440), "k", "session_id", "start", "last")
     assert got == brute_sessions(ev, 1440)
+
+
+def test_nearest_reduction_is_hash_aggregated(spark):
+    df = spark.createDataFrame([(1, 0, 5, 1.0, None), (1, 0, 7, None, 2.0)], "k int, b int, t int, av double, cv double")
+    m = nearest_events(df, ["k", "b"], "t", anchor=F.when(F.col("av").isNotNull(), F.struct("av")),
+                       candidates={"c": F.when(F.col("cv").isNotNull(), F.struct("cv"))})
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    r = m.first()
+    assert (r.t, r.c.t, r.c.v.cv) == (5, 7, 2.0)
