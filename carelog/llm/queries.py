@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, secret_scan, url_filter
+from . import bpe, quality_rules, secret_scan, sharding, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
