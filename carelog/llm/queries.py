@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontaminate, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
