@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontaminate, jaccard_join, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {"op10_url_filter": url_filter.OP10_SQL}
