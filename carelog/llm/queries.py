@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, decontaminate, jaccard_join, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE = {"op10_url_filter": url_filter.OP10_SQL}
