@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carelog.session import checkpoint_dir
 
@@ -80,3 +81,32 @@ def lower_bytes(text: str) -> bytes:
 
 def append(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+
+#: Bits of the bitmap that ``likely()`` sends out: 1 MB, whatever the data.
+FILTER_BITS = 23
+
+
+def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be in the only column of ``wanted``.
+
+    A bitmap of fixed size holds the hashed values, so no wanted row is lost and
+    most others stay out of the shuffle of the join that follows.
+    """
+    cells = 1 << FILTER_BITS
+    got = (wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(cells)).alias("c"))
+           .groupBy(F.expr("bitmap_bucket_number(c + 1)").alias("b"))
+           .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c + 1))").alias("bits")).collect())
+    bits = np.zeros(cells // 8, np.uint8)
+    for r in got:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["b"] - 1) * len(part):r["b"] * len(part)] = part
+    name = free_name(df, "cell")
+
+    def run(batches):
+        for b in batches:
+            at = b.column(name).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).drop_columns([name])
+
+    keyed = df.withColumn(name, F.pmod(F.xxhash64(column), F.lit(cells)))
+    return keyed.mapInArrow(run, df.schema)

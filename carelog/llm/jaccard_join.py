@@ -26,8 +26,8 @@ Sets are held as 64-bit shingle hashes and named by 64-bit digests.
 
 Defined results: a null text, or one without words, has the empty set, no links
 and its own id as component; fewer words than the shingle length make one
-shingle; repeated rows are copies like any others; a null id counts as a text,
-but names a component only if no other id does.
+shingle; repeated rows are copies like any others; a row with a null id links with
+nothing and has a null component.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, lower_bytes, pieces, saved, table, texts_of
+from .common import discard, likely, lower_bytes, pieces, saved, table, texts_of
 from .components import components
 
 #: Shingles counted this often in one task enter the global count.
@@ -49,6 +50,8 @@ LOCAL_COUNT = 4
 MOST_FREQUENT = 1 << 20
 #: Shingles of a family that one task compares with each other.
 BLOCK_SHINGLES = 2_000_000
+#: Parts of the list of a frequent shingle.
+PARTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,13 +127,16 @@ def frequent_order(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: str, width: int, num: int) -> DataFrame:
-    """Postings (token, sid, n, pos) of the prefixes of all sets."""
+    """Postings (token, part, sid, n, pos) of the prefixes of all sets.
+
+    ``part`` splits the lists of frequent shingles; it is -1 for the others.
+    """
     frequent, classes = order
 
     def run(batches):
         done: set[int] = set()
         for b in pieces(batches, "text"):
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for t in texts_of(b, "text"):
                 s = shingles(t, width)
                 sid = set_id(s)
@@ -138,33 +144,59 @@ def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: st
                     continue
                 if len(done) < 1_000_000:  # saves time only; repeated postings are the same row
                     done.add(sid)
+                rank = np.zeros(len(s), np.uint8)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rank = np.where(frequent[at] == s, classes[at], 0)
-                    if rank.any():
-                        s = s[np.argsort(rank, kind="stable")]
+                    rank = np.where(frequent[at] == s, classes[at], 0).astype(np.uint8)
+                    by = np.argsort(rank, kind="stable")
+                    s, rank = s[by], rank[by]
                 p = prefix_length(len(s), num)
                 cols[0].append(s[:p])
-                cols[1].append(np.full(p, sid, np.int64))
-                cols[2].append(np.full(p, len(s), np.int32))
-                cols[3].append(np.arange(p, dtype=np.int32))
+                cols[1].append(np.where(rank[:p] > 0, sid % PARTS, -1).astype(np.int32))
+                cols[2].append(np.full(p, sid, np.int64))
+                cols[3].append(np.full(p, len(s), np.int32))
+                cols[4].append(np.arange(p, dtype=np.int32))
             if cols[0]:
                 made = [np.concatenate(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(made[0].view(np.int64)), *map(pa.array, made[1:])],
-                                                 ["token", "sid", "n", "pos"])
+                                                 ["token", "part", "sid", "n", "pos"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, part int, sid long, n int, pos int")
+
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, sid long, n int, pos int")
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """(token, sid, n, pos, leader) of all lists with two sets or more.
+
+    Postings move once.  Lists of frequent shingles arrive in parts; their leader is
+    the smallest of the parts' leaders.
+    """
+    part = Window.partitionBy("token", "part")
+    local = (postings.repartition("token", "part").dropDuplicates(["token", "part", "sid"])
+             .withColumns({"leader": F.min("sid").over(part), "last": F.max("sid").over(part)})
+             .where((F.col("leader") < F.col("last")) | (F.col("part") >= 0)).drop("last"))
+    local = saved(local, "shared")
+    often = local.where("part >= 0")
+    leaders = (often.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last")
+               .select("token", F.col("first").alias("leader")))
+    columns = ["token", "sid", "n", "pos", "leader"]
+    return local.where("part < 0").select(*columns).unionAll(often.drop("leader").join(leaders, "token").select(*columns))
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
-    """(sid, s) of the sets in ``wanted`` (sid, id): ``s`` holds the hashes, eight bytes each."""
+    """(sid, s) of the sets in ``wanted`` (sid, id): ``s`` holds the hashes, eight bytes each.
+
+    Rows that repeat an id give a set once for each equal text.
+    """
     def run(batches):
         for b in pieces(batches, "text"):
-            made = [shingles(t, width).tobytes() for t in texts_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(made, pa.binary())], ["sid", "s"])
+            made = [shingles(t, width) for t in texts_of(b, "text")]
+            right = [set_id(s) == sid for s, sid in zip(made, b.column("sid").to_pylist())]
+            out = pa.RecordBatch.from_arrays([b.column("sid"), pa.array([s.tobytes() for s in made], pa.binary())], ["sid", "s"])
+            yield out.filter(pa.array(right))
 
     texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.join(wanted, "id").select("sid", "text").mapInArrow(run, "sid long, s binary").dropDuplicates(["sid"])
+    texts = likely(texts, "id", wanted.select("id"))
+    return texts.join(wanted, "id").select("sid", "text").mapInArrow(run, "sid long, s binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -263,9 +295,12 @@ def family_edges(members: DataFrame, sets: DataFrame, num: int, block_shingles:
 
 
 def cross_pairs(shared: DataFrame, family: DataFrame, root: DataFrame, num: int) -> DataFrame:
-    """Pairs (x, y) of different components that some list allows and no family has compared.
+    """Pairs (x, y) of different components that the lists allow and no family has compared.
 
     In each list, sets of its most frequent component are met only by the others.
+    A pair is met in every list that it shares, so the shared part of the prefixes
+    is known; with all that can follow behind a prefix it must reach the overlap
+    that the threshold needs.
     """
     known = (shared.drop("leader").join(family, "sid").join(root, "sid", "left")
              .withColumn("root", F.coalesce("root", "sid")))
@@ -283,8 +318,12 @@ def cross_pairs(shared: DataFrame, family: DataFrame, root: DataFrame, num: int)
                  & (F.col("x_family") != F.col("family")) & (F.col("x_family") != F.col("sid")) & (F.col("family") != F.col("x_sid"))
                  & (100 * F.least("x_n", "n") >= num * F.greatest("x_n", "n"))
                  & ((100 + num) * most >= num * (F.col("x_n") + F.col("n"))))
+    behind = lambda n: F.ceil(F.col(n) * num / 100) - 1
+    small, large = F.least("x_n", "n"), F.greatest("x_n", "n")
     found = (x.join(y, ["token", "block"]).where(open_pair)
-             .select(F.least("x_sid", "sid").alias("x"), F.greatest("x_sid", "sid").alias("y")).distinct())
+             .groupBy(F.least("x_sid", "sid").alias("x"), F.greatest("x_sid", "sid").alias("y"), small.alias("n"), large.alias("m"))
+             .agg(F.count("*").alias("c"))
+             .where((100 + num) * (F.col("c") + behind("m")) >= num * (F.col("n") + F.col("m"))).select("x", "y"))
     out = saved(found, "pairs")
     discard(known, alive)
     return out
@@ -315,12 +354,11 @@ def similar_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     own included.
     """
     described = saved(describe(docs, text, row_id, width), "sets")
-    rows = described.where("token is null").select("id", "n", "sid")
+    everything = described.where("token is null").select("id", "n", "sid")
+    rows = everything.where("id is not null")
+    docs = docs.where(F.col(row_id).isNotNull())
     order = frequent_order(described)
-    postings = saved(prefix_index(docs, order, text, width, num), "postings")
-    lists = postings.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader < last").drop("last")
-    shared = saved(postings.join(lists, "token").dropDuplicates(["token", "sid"]), "shared")
-    discard(postings)
+    shared = saved(shared_lists(prefix_index(docs, order, text, width, num)), "shared")
 
     counted = shared.where("sid <> leader").groupBy("sid", "n", "leader").agg(F.count("*").alias("c"))
     best = counted.groupBy("sid", "n").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"), F.max("c").alias("c"))
@@ -330,19 +368,22 @@ def similar_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     centres = members.select(F.col("family").alias("sid")).distinct().join(own, "sid").select(F.col("sid").alias("family"), "sid", "n")
     family = own.join(members.select("sid", "family"), "sid", "left").select("sid", F.coalesce("family", "sid").alias("family"))
 
-    wanted = rows.groupBy("sid").agg(F.min("id").alias("id")).join(own.select("sid"), "sid", "left_semi").dropna()
-    sets = saved(fetch_sets(docs, wanted, text, row_id, width), "hashes")
-    near = saved(family_edges(members.unionAll(centres), sets, num, block_shingles), "links")
+    first = rows.groupBy("sid").agg(F.min("id").alias("id"))  # a text with each set
+    fetch = lambda sids, name: saved(fetch_sets(docs, saved(first.join(sids, "sid", "left_semi"), "wanted"), text, row_id, width), name)
+    everyone = saved(members.unionAll(centres), "members")
+    sets = fetch(everyone.select("sid").distinct(), "hashes")
+    near = saved(family_edges(everyone, sets, num, block_shingles), "links")
     root = components(near).select(F.col("node").alias("sid"), "root")
     pairs = cross_pairs(shared, family, root, num)
-    edges = near.unionAll(verify(pairs, sets, num))
+    apart = fetch(pairs.select(F.col("x").alias("sid")).unionAll(pairs.select("y")).distinct(), "hashes")
+    edges = near.unionAll(verify(pairs, apart, num))
     root = saved(components(edges), "roots")
     smallest = (rows.groupBy("sid").agg(F.min("id").alias("least")).join(root.withColumnRenamed("node", "sid"), "sid", "left")
                 .withColumn("root", F.coalesce("root", "sid")))
     smallest = saved(smallest, "classes")
     least = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
     named = smallest.join(least, "root").select("sid", "component_id")
-    empty = rows.where("n = 0").select("id", "n", "sid", F.col("id").alias("component_id"))
+    empty = everything.where("n = 0 or id is null").select("id", "n", "sid", F.col("id").alias("component_id"))
     full = rows.where("n > 0").join(named, "sid", "left").select("id", "n", "sid", "component_id")
     return empty.unionAll(full).select("id", F.col("n").alias("n_shingles"), F.col("sid").alias("class"), "component_id")
 
