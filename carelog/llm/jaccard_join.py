@@ -46,10 +46,12 @@ from .components import components
 
 #: Shingles counted this often in one task enter the global count.
 LOCAL_COUNT = 4
+#: Shingles a task holds for that count at a time.
+CHUNK = 1_000_000
 #: At most this many shingles are sent out as frequent ones (8 MB).
 MOST_FREQUENT = 1 << 20
-#: Shingles of a family that one task compares with each other.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles and sets of a family that one task compares with each other.
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
 #: Parts of the list of a frequent shingle.
 PARTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,17 +85,17 @@ def prefix_length(n, num: int):
 
 def describe(docs: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
     """Rows (id, n, sid) of all texts, and rows (token, count) of shingles frequent in a task."""
-    def run(batches):
-        held, size = [], 0
+    names = ["id", "n", "sid", "token", "count"]
 
-        def frequent():
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            s, c = s[c >= LOCAL_COUNT].view(np.int64), c[c >= LOCAL_COUNT]
-            none = pa.nulls(len(s), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(s), pa.array(c, pa.int64())], names)
+    def counted(arrays, counts, least):
+        s, at = np.unique(np.concatenate(arrays), return_inverse=True)
+        c = np.bincount(at, np.concatenate(counts) if counts else None, len(s)).astype(np.int64)
+        return s[c >= least], c[c >= least]
 
-        names = ["id", "n", "sid", "token", "count"]
-        for b in pieces(batches, "text"):
+    def run(batches):
+        held, size = [], 0  # whole sets, up to CHUNK shingles
+        tokens, counts = [], []  # shingles met twice or more in a chunk
+        for b in pieces(batches, "text", 2 << 20):
             n, sid = [], []
             for t in texts_of(b, "text"):
                 s = shingles(t, width)
@@ -101,13 +103,21 @@ def describe(docs: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
                 sid.append(set_id(s))
                 held.append(s)
                 size += len(s)
+                if size > CHUNK:
+                    s, c = counted(held, None, 2)
+                    tokens.append(s)
+                    counts.append(c)
+                    held, size = [], 0
             none = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, none], names)
-            if size > 6_000_000:
-                yield frequent()
-                held, size = [], 0
         if held:
-            yield frequent()
+            s, c = counted(held, None, 2)
+            tokens.append(s)
+            counts.append(c)
+        if tokens:
+            s, c = counted(tokens, counts, LOCAL_COUNT)
+            none = pa.nulls(len(s), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(s.view(np.int64)), pa.array(c)], names)
 
     slim = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "id long, n long, sid long, token long, count long")
@@ -135,14 +145,14 @@ def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: st
 
     def run(batches):
         done: set[int] = set()
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             cols = [[], [], [], [], []]
             for t in texts_of(b, "text"):
                 s = shingles(t, width)
                 sid = set_id(s)
                 if not len(s) or sid in done:
                     continue
-                if len(done) < 1_000_000:  # saves time only; repeated postings are the same row
+                if len(done) < 200_000:  # saves time only; repeated postings are the same row
                     done.add(sid)
                 rank = np.zeros(len(s), np.uint8)
                 if len(frequent):
@@ -188,7 +198,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, text: str, row_id: str, width
     Rows that repeat an id give a set once for each equal text.
     """
     def run(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             made = [shingles(t, width) for t in texts_of(b, "text")]
             right = [set_id(s) == sid for s, sid in zip(made, b.column("sid").to_pylist())]
             out = pa.RecordBatch.from_arrays([b.column("sid"), pa.array([s.tobytes() for s in made], pa.binary())], ["sid", "s"])
@@ -263,13 +273,13 @@ def _edges_of_groups(members: DataFrame, keys: list[str], num: int) -> DataFrame
 def family_edges(members: DataFrame, sets: DataFrame, num: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges that connect all linked sets of each family; ``members`` is (family, sid, n).
 
-    A family of more than ``block_shingles`` is cut into blocks by hash, each with
+    A family of more than ``block_shingles``, or ``BLOCK_SETS`` sets, is cut into blocks by hash, each with
     the family's leader.  Within a block everything is compared.  Across blocks,
     sets of the family's largest component need no comparison with each other, so
     only the other sets, again in blocks, meet every block.
     """
     total = members.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
+    blocks = F.ceil(F.greatest(F.col("total") / block_shingles, F.col("sets") / BLOCK_SETS)).cast("int")
     placed = (members.join(total, "family").withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
               .select("family", "sid", "blocks", "block"))
