@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, jaccard_join, lm_score, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
