@@ -50,6 +50,8 @@ LOCAL_COUNT = 4
 CHUNK = 1_000_000
 #: At most this many shingles are sent out as frequent ones (8 MB).
 MOST_FREQUENT = 1 << 20
+#: A set joins a family if it shares one in so many of its prefix shingles with the leader.
+FAMILY_SHARE = 8
 #: Shingles and sets of a family that one task compares with each other.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
 #: Parts of the list of a frequent shingle.
@@ -372,7 +374,7 @@ def similar_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     counted = shared.where("sid <> leader").groupBy("sid", "n", "leader").agg(F.count("*").alias("c"))
     best = counted.groupBy("sid", "n").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"), F.max("c").alias("c"))
-    alike = 4 * F.col("c") >= F.col("n") - F.ceil(F.col("n") * num / 100) + 1  # a quarter of the prefix
+    alike = FAMILY_SHARE * F.col("c") >= F.col("n") - F.ceil(F.col("n") * num / 100) + 1
     members = saved(best.where(alike).select(F.col("leader").alias("family"), "sid", "n"), "members")
     own = shared.groupBy("sid").agg(F.first("n").alias("n"))
     centres = members.select(F.col("family").alias("sid")).distinct().join(own, "sid").select(F.col("sid").alias("family"), "sid", "n")
