@@ -48,12 +48,12 @@ from pyspark.sql.types import StructType
 from .common import lower_bytes, pieces, saved, table, texts_of
 
 CONTEXT, SCORED = 16, 16
-DIM, CLASSES, ROWS = 16, 64, 8192
+DIM, CLASSES, ROWS = 16, 48, 8192
 WINDOW_RATE, ROUNDS, RATE = 16, 3, 0.15
 #: Most words sent out with their counts, and slots of the memory tables.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
 #: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids.
-LOCAL_PAIR, LOCAL_TRIPLE, CHUNK = 2, 4, 4_000_000
+LOCAL_PAIR, LOCAL_TRIPLE, CHUNK = 2, 5, 5_000_000
 IDS, START, END, PAD = 50_258, 50_257, 50_256, 65_535  # START is never predicted
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +75,7 @@ class Words:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("lm", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.hash, self.counts = encoder.encode_ordinary_batch, xxhash.xxh3_64_intdigest, counts
+        self.encode, self.hash, self.counts = encoder.encode_ordinary, xxhash.xxh3_64_intdigest, counts
         self.clear()
 
     def clear(self) -> None:
@@ -99,7 +99,7 @@ class Words:
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 found = np.where(keys[at] == h, c[at], -1) if len(keys) else np.full(len(h), -1)
                 self.known = np.concatenate([self.known, found])
-            cut = self.encode([" " + w.decode("utf-8", "replace") for w in new], num_threads=1)
+            cut = [self.encode(" " + w.decode("utf-8", "replace")) for w in new]
             size = np.array([len(x) for x in cut])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in cut for i in x), np.uint16, size.sum())])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
@@ -168,6 +168,7 @@ class Memory:
         d = self.DISCOUNT
         count = np.zeros(1 << 16)
         count[single[0]] = single[1]
+        self.count = count.astype(np.float32)
         total = count.sum() - count[START]  # starts are contexts only
         count_of = count.copy()
         count_of[START] = 0
@@ -182,6 +183,7 @@ class Memory:
         np.maximum(self.pair_rest, 1e-6, out=self.pair_rest)
         # contexts of triples are pairs; a triple stays if its context has a slot
         context = Slots(PAIR_SLOTS, key, c.astype(np.float32))
+        context.values[context.keys < 0] = 0
         tkey, tc = _by_count(*triples)
         tfirst = tkey >> 16
         of = context.get(tfirst)
@@ -189,14 +191,26 @@ class Memory:
         self.triple = Slots(TRIPLE_SLOTS, tkey, (np.maximum(tc - d, 0) / np.maximum(of, tc)).astype(np.float32))
         kept = self.triple.kept
         given = np.bincount(context.at(tfirst[kept]), self.triple.values[self.triple.at(tkey[kept])], PAIR_SLOTS)
-        context.values = np.maximum(1 - given, 1e-6).astype(np.float32)
-        self.triple_rest = context
+        self.context, self.triple_rest = context.values, np.maximum(1 - given, 1e-6).astype(np.float32)
+        self.contexts = context
 
-    def __call__(self, two: np.ndarray, one: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def __call__(self, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool = False) -> np.ndarray:
+        """Probability of ``x`` after (two, one); with ``itself``, as if this occurrence were not counted.
+
+        Training windows are themselves counted, so the gate must learn from what
+        the memory would say without them.
+        """
         two, one, x = (a.astype(np.int64) for a in (two, one, x))
         pair = one << 16 | x
-        p = self.pair.get(pair) + self.pair_rest[one] * self.single[x]
-        return self.triple.get(two << 32 | pair) + self.triple_rest.get(two << 16 | one, 1.0) * p
+        at = self.contexts.at(two << 16 | one)
+        met = self.contexts.keys[at] == two << 16 | one
+        p2, p3 = self.pair.get(pair), self.triple.get(two << 32 | pair)
+        if itself:
+            n2, n3 = self.count[one], self.context[at]
+            p2 = np.maximum(p2 * n2 - 1, 0) / np.maximum(n2 - 1, 1)
+            p3 = np.maximum(p3 * n3 - 1, 0) / np.maximum(n3 - 1, 1)
+        p = p2 + self.pair_rest[one] * self.single[x]
+        return np.where(met, p3 + self.triple_rest[at] * p, p)
 
 
 def _by_count(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,41 +259,45 @@ class Attention:
         self.causal = (j <= i)
 
     def forward(self, w: np.ndarray) -> dict:
+        """Attention weights ``a``, its output ``h``, class odds ``e`` with their sums, gate and target class.
+
+        Scores stay small (tables start near 0 and move by bounded steps), so
+        exponentials need no shift; a batch in which one overflows is shifted.
+        """
         seen, target = w[:, :-1], w[:, CONTEXT + 1:]
         r = self.row[seen]
         q, k, v = self.q[r[:, CONTEXT:]], self.k[r], self.v[r]
-        z = q @ k.transpose(0, 2, 1) + np.where(self.causal, self.far[self.distance], -1e9).astype(np.float32)
-        z += np.where(seen == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        z -= z.max(axis=2, keepdims=True)
-        a = np.exp(z, out=z)
-        a /= a.sum(axis=2, keepdims=True)
-        h = a @ v
-        u = h @ self.out + self.bias
-        u -= u.max(axis=2, keepdims=True)
-        p = np.exp(u, out=u)
-        p /= p.sum(axis=2, keepdims=True)
+        z = q @ k.transpose(0, 2, 1)
+        z += np.where(self.causal, self.far[self.distance], -1e9).astype(np.float32)
+        if (seen[:, 0] == PAD).any():
+            z += np.where(seen == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        a, weight = _odds(z)
+        h = (a @ v) / weight
+        e, total = _odds((h.reshape(-1, DIM) @ self.out + self.bias).reshape(*h.shape[:2], CLASSES))
+        total = total[:, :, 0]
         cls = self.group[target]
-        mine = np.take_along_axis(p, cls[:, :, None], 2)[:, :, 0]
+        mine = np.take_along_axis(e, cls[:, :, None], 2)[:, :, 0] / total
         g = 1 / (1 + np.exp(-np.clip(h @ self.gate + self.open, -20, 20)))
-        return {"r": r, "q": q, "k": k, "v": v, "a": a, "h": h, "p": p, "cls": cls, "mine": mine, "g": g, "target": target}
+        return {"r": r, "q": q, "k": k, "v": v, "a": a, "weight": weight, "h": h, "e": e, "total": total,
+                "cls": cls, "mine": mine, "g": g, "target": target}
 
-    def probability(self, w: np.ndarray, memory: Memory) -> tuple[np.ndarray, np.ndarray, dict]:
+    def probability(self, w: np.ndarray, memory: Memory, itself: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
         f = self.forward(w)
-        counted = memory(w[:, CONTEXT - 1:-2], w[:, CONTEXT:-1], f["target"])
+        counted = memory(w[:, CONTEXT - 1:-2], w[:, CONTEXT:-1], f["target"], itself)
         attended = f["mine"] * self.inside[f["target"]]
         return f["g"] * attended + (1 - f["g"]) * counted, attended, f | {"counted": counted}
 
-    def gradient(self, w: np.ndarray, memory: Memory) -> np.ndarray:
-        """Gradient of the mean log-likelihood."""
-        total, attended, f = self.probability(w, memory)
+    def gradient(self, w: np.ndarray, memory: Memory, itself: bool = True) -> np.ndarray:
+        """Gradient of the mean log-likelihood; ``itself`` as for the memory."""
+        total, attended, f = self.probability(w, memory, itself)
         real = (f["target"] != PAD).astype(np.float32)
         scale = real / max(real.sum(), 1)
         total = np.maximum(total, 1e-12)
         part = scale * f["g"] * attended / total  # posterior of the attention part
-        du = -part[:, :, None] * f["p"]
+        du = -(part / f["total"])[:, :, None] * f["e"]
         np.put_along_axis(du, f["cls"][:, :, None], np.take_along_axis(du, f["cls"][:, :, None], 2) + part[:, :, None], 2)
         dg = scale * (attended - f["counted"]) / total * f["g"] * (1 - f["g"])
-        h, a = f["h"], f["a"]
+        h, a = f["h"], f["a"] / f["weight"]
         dh = du @ self.out.T + dg[:, :, None] * self.gate
         da = dh @ f["v"].transpose(0, 2, 1)
         dz = a * (da - (a * da).sum(axis=2, keepdims=True))
@@ -295,6 +313,18 @@ class Attention:
         return np.concatenate([out[n].ravel() for n, _ in self.shapes]).astype(np.float32)
 
 
+def _odds(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and its sums over the last axis, shifted if a sum is no normal number."""
+    one = np.ones((z.shape[-1], 1), np.float32)
+    with np.errstate(over="ignore"):
+        out = np.exp(z)
+    total = (out.reshape(-1, z.shape[-1]) @ one).reshape(*z.shape[:-1], 1)
+    if len(total) and not 1e-30 < total.min() <= total.max() < 1e30:
+        out = np.exp(z - z.max(axis=-1, keepdims=True))
+        total = out.sum(axis=-1, keepdims=True)
+    return out, total
+
+
 def _sum_rows(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros((ROWS, values.shape[1]), np.float32)
     order = np.argsort(rows, kind="stable")
@@ -372,37 +402,40 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return keys[order], c[order]
 
 
-def train(gathered: DataFrame, single, memory: Memory) -> np.ndarray:
-    """Parameters after all rounds."""
-    theta = Attention(single).theta
+def train(gathered: DataFrame, shared) -> np.ndarray:
+    """Parameters after all rounds; ``shared`` is a broadcast of (single, memory, words)."""
+    theta = Attention(shared.value[0]).theta
     for turn in range(ROUNDS):
         def run(batches, theta=theta):
+            single, memory, _ = shared.value
             model = Attention(single, theta.copy())
             past = np.full(len(theta), 1e-6, np.float32)
             used = 0
             for b in batches:
                 w = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint16).reshape(b.num_rows, -1)
-                for k in range(0, len(w), 64):
-                    g = model.gradient(w[k:k + 64], memory)
+                for k in range(0, len(w), 128):
+                    g = model.gradient(w[k:k + 128], memory)
                     past += g * g
                     model.theta += RATE * g / np.sqrt(past)
-                    used += len(w[k:k + 64])
+                    used += len(w[k:k + 128])
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([model.theta.tobytes()], pa.binary()), pa.array([float(used)])], ["theta", "used"])
 
         done = gathered.where((F.col("kind") == "window") & (F.col("key") == turn)).select("ids").mapInArrow(run, "theta binary, used double")
-        sums = done.rdd.map(lambda r: (np.frombuffer(r["theta"], np.float32).astype(np.float64) * r["used"], r["used"]))
-        total = sums.treeAggregate((0.0, 0.0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, x: (a[0] + x[0], a[1] + x[1]), 2)
+        sums = done.rdd.map(lambda r: (np.frombuffer(r["theta"], np.float32) * np.float32(r["used"]), r["used"]))
+        add = lambda a, x: (a[0] + x[0], a[1] + x[1])
+        total = sums.treeAggregate((np.float32(0), 0.0), add, add, 2)
         if total[1]:
             theta = (total[0] / total[1]).astype(np.float32)
     return theta
 
 
-def score_texts(docs: DataFrame, vocab, common, single, memory: Memory, theta: np.ndarray) -> DataFrame:
+def score_texts(docs: DataFrame, vocab, shared, theta: np.ndarray) -> DataFrame:
     """``docs`` without ``text``, with row, n_tokens, base_known (log10 sum), n_sent, rare hashes, score."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
+        single, memory, common = shared.value
         words = Words(vocab, common)
         model = Attention(single, theta.copy())
         number = TaskContext.get().partitionId() << 40
@@ -455,8 +488,10 @@ def lm_scores(docs: DataFrame, text: str = "text", row_id: str = "doc_id", held_
     single = most_frequent(counts("id1"), IDS)
     memory = Memory(single, most_frequent(saved(counts("id2"), "pairs"), PAIR_SLOTS),
                     most_frequent(saved(counts("id3"), "triples"), TRIPLE_SLOTS))
-    theta = train(gathered, single, memory)
-    scored = saved(score_texts(rows.drop("pick"), vocab, most_frequent(words, WORDS), single, memory, theta), "scored")
+    shared = docs.sparkSession.sparkContext.broadcast((single, memory, most_frequent(words, WORDS)))
+    theta = train(gathered, shared)
+    scored = saved(score_texts(rows.drop("pick"), vocab, shared, theta), "scored")
+    shared.unpersist()
     rare = (scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
             .groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.count("c").alias("met")))
     zero = F.lit(0)
