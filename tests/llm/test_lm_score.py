@@ -43,7 +43,7 @@ def test_base_counts_are_exact_and_context_helps(spark, monkeypatch):
     single = Counter(x for i, t in docs if not held(i) for x in ids(t))
     n = sum(single.values())
     alone = sum(math.log10((single[x] + 0.1) / (n + 0.1 * L.IDS)) for i, t in docs if held(i) for x in ids(t))
-    assert len(out) > 30 and sum(r["score"] for r in out) > 0.8 * alone
+    assert len(out) > 30 and sum(r["score"] for r in out) > 0.9 * alone
 
 
 def small_model():
