@@ -88,7 +88,7 @@ FILTER_BITS = 23
 
 
 def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose long ``column`` may be in the only column of ``wanted``.
+    """The rows of ``df`` whose ``column`` may be in the only column of ``wanted``, of the same type.
 
     A bitmap of fixed size holds the hashed values, so no wanted row is lost and
     most others stay out of the shuffle of the join that follows.

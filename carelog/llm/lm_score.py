@@ -37,6 +37,7 @@ counts are zero and ids uniform.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ from pyspark.sql.types import StructType
 
 from .common import lower_bytes, pieces, saved, table, texts_of
 
-CONTEXT, SCORED = 16, 16
-DIM, CLASSES, ROWS = 16, 48, 8192
-WINDOW_RATE, ROUNDS, RATE = 16, 3, 0.15
+CONTEXT, SCORED = 8, 16
+DIM, CLASSES, ROWS = 16, 32, 8192
+WINDOW_RATE, ROUNDS, RATE = 32, 3, 0.15
 #: Most words sent out with their counts, and slots of the memory tables.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
 #: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids.
@@ -66,7 +67,7 @@ def vocabulary() -> tuple[str, str]:
 class Words:
     """Word -> row of per-word arrays; rows of words met lately are kept (``LIMIT``)."""
 
-    LIMIT = 250_000
+    LIMIT = 400_000
 
     def __init__(self, vocab: tuple[str, str], counts: tuple[np.ndarray, np.ndarray] | None = None):
         import tiktoken
@@ -76,6 +77,10 @@ class Words:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("lm", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode, self.hash, self.counts = encoder.encode_ordinary, xxhash.xxh3_64_intdigest, counts
+        self.size = np.zeros(1 << 16, np.int64)  # bytes of each id
+        self.size[list(ranks.values())] = [len(b) for b in ranks]
+        # (bytes that may begin) white space that does not part words, and what is no UTF-8
+        self.odd_space = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a|\xe2[\x80\x81]|\xe3\x80\x80|\xed[\xa0-\xbf]").search
         self.clear()
 
     def clear(self) -> None:
@@ -88,8 +93,10 @@ class Words:
         """Rows of the words of each text."""
         if len(self.row) > self.LIMIT:
             self.clear()
-        new = list(set().union(*texts) - self.row.keys())
+        new = set().union(*texts) - self.row.keys()
         if new:
+            odd = [w for w in new if self.odd_space(w)]
+            new = [*(new - set(odd)), *odd]
             first = len(self.row)
             self.row.update(zip(new, range(first, first + len(new))))
             h = np.fromiter(map(self.hash, new), np.uint64, len(new)).view(np.int64)
@@ -99,13 +106,27 @@ class Words:
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 found = np.where(keys[at] == h, c[at], -1) if len(keys) else np.full(len(h), -1)
                 self.known = np.concatenate([self.known, found])
-            cut = [self.encode(" " + w.decode("utf-8", "replace")) for w in new]
-            size = np.array([len(x) for x in cut])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in cut for i in x), np.uint16, size.sum())])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            ids, ends = self.cut(new, len(new) - len(odd))
+            self.ids = np.concatenate([self.ids, ids])
+            self.start = np.concatenate([self.start, self.start[-1] + ends])
         get = self.row.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
+    def cut(self, words: list[bytes], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each after a space, and where those of each word end.
+
+        The first ``plain`` words go through the encoder as one text: its split
+        pattern never joins what a space parts.  The others hold white space beyond
+        ASCII, would meet their neighbours' spaces, and are encoded alone.
+        """
+        text = b"".join([b" " + w for w in words[:plain]]).decode("utf-8", "replace")
+        ids = np.array(self.encode(text), np.uint16)
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) + 1 for w in words[:plain]]), "left") + 1
+        parts = [self.encode(" " + w.decode("utf-8", "replace")) for w in words[plain:]]
+        more = np.cumsum([len(p) for p in parts]) + len(ids) if parts else []
+        return (np.concatenate([ids, np.array([i for p in parts for i in p], np.uint16)]),
+                np.concatenate([ends, more]).astype(np.int64))
+
     def subwords(self, rows: np.ndarray) -> np.ndarray:
         """Ids of a text, with the end."""
         size = self.start[rows + 1] - self.start[rows]

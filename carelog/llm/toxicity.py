@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import append, free_name, lower_bytes, pieces, table, texts_of
+from .common import append, free_name, likely, lower_bytes, pieces, saved, table, texts_of
 
 #: Category: SQL condition on a row of labels, in the order of the chain.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
@@ -75,26 +75,27 @@ class Linear:
 
 
 class Rows:
-    """Features of the sampled rows as index arrays, from the distinct words of each."""
-
-    def __init__(self, sets: list[list[bytes]]):
-        words = sorted(set().union(*sets))
-        at = {w: k for k, w in enumerate(words)}
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = np.fromiter((at[w] for s in sets for w in s), np.int64, len(row))
-        pairs = [row * (1 << 32) + col]
+    """Features of the sampled rows as index arrays, from the distinct words of each (joined by line ends)."""
+
+    def __init__(self, texts: list[bytes]):
+        at: dict[bytes, int] = {}
+        cols = [np.fromiter((at.setdefault(w, len(at)) for w in t.split(b"\n")), np.int32) if t else np.zeros(0, np.int32)
+                for t in texts]
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in cols])
+        col = np.concatenate([*cols, np.zeros(0, np.int32)])
+        rows, cols = [row], [col]
         beginnings: dict[bytes, int] = {}
-        for k in range(len(STEMS)):
-            of = np.full(len(words), -1)
+        for k in STEMS:
+            of = np.full(len(at) + 1, -1, np.int32)
             for w, c in at.items():
-                if len(w) >= STEMS[k] and not w.startswith(SIGN):
-                    of[c] = len(words) + beginnings.setdefault(b"^" + w[:STEMS[k]], len(beginnings))
-            some = of[col] >= 0
-            pairs.append(np.unique(row[some] * (1 << 32) + of[col[some]]))
-        pairs = np.concatenate(pairs)
-        self.vocabulary = words + list(beginnings)
-        self.row, self.col = pairs >> 32, pairs & 0xFFFFFFFF
-        self.n = len(sets)
+                if len(w) >= k and not w.startswith(SIGN):
+                    of[c] = len(at) + beginnings.setdefault(b"^" + w[:k], len(beginnings))
+            stem = of[col]
+            pairs = np.unique(row[stem >= 0].astype(np.int64) << 32 | stem[stem >= 0])
+            rows.append((pairs >> 32).astype(np.int32))
+            cols.append((pairs & 0xFFFFFFFF).astype(np.int32))
+        self.vocabulary = list(at) + list(beginnings)
+        self.row, self.col, self.n = np.concatenate(rows), np.concatenate(cols), len(texts)
 
     def log_odds(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         weight = np.array([model.words.get(w, 0.0) for w in self.vocabulary])
@@ -152,33 +153,35 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, use:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, text: str = "text",
-          row_id: str = "doc_id", sample: int = 3000, features: int = 500, folds: int = 5) -> list[Linear]:
+          row_id: str = "doc_id", sample: int = 2000, features: int = 500, folds: int = 5) -> list[Linear]:
     """The fitted chain, or an empty list without labelled rows."""
     marks = [f"y{k}" for k in range(len(categories))]
-    known = labels.select(F.col(row_id).alias("id"), *[F.expr(f"cast({c} as int)").alias(m)
+    known = labels.select(F.col(row_id).cast("string").alias("id"), *[F.expr(f"cast({c} as int)").alias(m)
                                                        for m, c in zip(marks, categories.values())]).dropna()
     patterns = list(product((0, 1), repeat=len(marks)))
     is_pattern = [reduce(lambda a, b: a & b, [F.col(m) == v for m, v in zip(marks, p)]) for p in patterns]
     counts = known.agg(*[F.count(F.when(c, 1)).alias(f"n{k}") for k, c in enumerate(is_pattern)]).first()
     drawn = reduce(DataFrame.unionAll, [known.where(c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in is_pattern])
+    drawn = saved(drawn, "sample")
 
     def to_words(batches):
         for b in pieces(batches, "text"):
             found = [b"\n".join(sorted(words_of(t))) for t in texts_of(b, "text")]
             yield append(b.select(["id", *marks]), ["words"], [pa.array(found, pa.binary())])
 
-    joined = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(drawn, "id").select("id", "text", *marks)
+    texts = likely(docs.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")), "id", drawn.select("id"))
+    joined = texts.join(drawn, "id").select("id", "text", *marks)
     schema = StructType([f for f in joined.schema.fields if f.name != "text"] + StructType.fromDDL("words binary").fields)
     got = joined.mapInArrow(to_words, schema).collect()
     if not got:
         return []
-    got.sort(key=lambda r: (str(r["id"]), bytes(r["words"])))
-    rows = Rows([bytes(r["words"]).split(b"\n") if r["words"] else [] for r in got])
+    got.sort(key=lambda r: (r["id"], bytes(r["words"])))
+    rows = Rows([bytes(r["words"]) for r in got])
     label = np.array([[r[m] for m in marks] for r in got], float)
     which = [patterns.index(tuple(int(v) for v in r)) for r in label]
     drawn_n = np.bincount(which, minlength=len(patterns))
     weight = np.array([counts[k] / drawn_n[k] for k in which], float)
-    fold = np.array([zlib.crc32(str(r["id"]).encode()) % folds for r in got])
+    fold = np.array([zlib.crc32(r["id"].encode()) % folds for r in got])
     everything = np.ones(len(got), bool)
 
     chain, earlier = [], np.zeros((len(got), 0))
