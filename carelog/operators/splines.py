@@ -1,14 +1,17 @@
 """Penalised spline regression (one smooth term plus linear terms).
 
-``y ~ s(x) + z1 + z2 ...`` with a cubic truncated-power basis on knots at
-quantiles of ``x`` (x scaled to [0, 1]) and a ridge penalty on the knot
-terms.  Each iteration is one distributed aggregate of the weighted moments
-X'WX and X'Wz (p(p+1)/2 + p sums, p ~ 15); the p x p system and the choice
-of the penalty by generalised cross-validation are solved on the driver
-from those sums only.  Gaussian: one pass.  Binomial (logit): penalised
-IRLS with the penalty re-chosen on each working model (performance
-iteration).  Results are not digit-identical to other smoothing packages;
-they report effective degrees of freedom, deviance and GCV.
+``y ~ s(x) + z1 + z2 ...`` with cubic B-splines on equally spaced knots and a
+penalty on second differences of their coefficients (P-splines).  The penalty
+leaves straight lines alone, so a large penalty shrinks the smooth to a line.
+
+Each step is one distributed aggregate: the weighted moments X'WX and X'Wz
+(about p squared over 2 sums, p below 20) and the deviance.  Only those sums
+reach the driver, where the p x p system is solved.  Gaussian: one pass for all
+penalties.  Binomial (logit): for each penalty of a grid, from the smoothest on,
+penalised iteratively reweighted least squares with step halving on the penalised
+deviance; the penalty is chosen outside of it (generalised cross-validation, or
+for the binomial an estimate of the prediction risk).  A fit that does not
+converge raises an error.
 """
 
 from __future__ import annotations
@@ -16,160 +19,219 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_LAMBDAS = tuple(10.0 ** e for e in np.arange(-6, 4.01, 0.5))
+from carelog.operators.stats import chisq_sf, t_two_sided
 
+DEFAULT_LAMBDAS = (1e4, 1e3, 1e2, 10.0, 1.0, 0.1, 0.01)
 
-def _basis(x, knots):
-    cols = [x, x * x, x * x * x]
-    cols += [F.pow(F.greatest(x - F.lit(float(k)), F.lit(0.0)), 3) for k in knots]
-    return cols
 
+class NotConverged(RuntimeError):
+    """The estimates did not settle, as with separated data."""
 
-def _design(df: DataFrame, y: str, smooth: str, linear: list[str], n_knots: int):
-    d = df.select(F.col(y).cast("double").alias("_y"), F.col(smooth).cast("double").alias("_x"),
-                  *[F.col(c).cast("double").alias(c) for c in linear]).dropna()
-    st = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-               F.percentile_approx("_x", [i / (n_knots + 1) for i in range(1, n_knots + 1)], 10000).alias("q"),
-               F.count(F.lit(1)).alias("n")).first()
-    lo, hi = float(st.lo), float(st.hi)
-    span = (hi - lo) or 1.0
-    knots = sorted({(float(v) - lo) / span for v in st.q if 0 < (float(v) - lo) / span < 1})
-    xs = (F.col("_x") - F.lit(lo)) / F.lit(span)
-    feats = [F.lit(1.0)] + _basis(xs, knots) + [F.col(c) for c in linear]
-    names = ["(Intercept)", "x", "x2", "x3"] + [f"knot{i}" for i in range(len(knots))] + list(linear)
-    penalised = np.array([0, 0, 0, 0] + [1] * len(knots) + [0] * len(linear), dtype=float)
-    return d, feats, names, penalised, (lo, span, knots), int(st.n)
-
-
-def _moments(d: DataFrame, p: int, weight, target):
-    """Weighted moments over the design columns ``_f0.._f{p-1}``; weight and
-    target are evaluated once per row in their own projection."""
-    rows = d.select(*[F.col(f"_f{i}") for i in range(p)], weight.alias("_w"), target.alias("_t"))
-    f = [F.col(f"_f{i}") for i in range(p)]
-    w, t = F.col("_w"), F.col("_t")
-    aggs = []
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(w * f[i] * f[j]))
-    for i in range(p):
-        aggs.append(F.sum(w * f[i] * t))
-    aggs.append(F.sum(w * t * t))
-    r = rows.agg(*aggs).first()
+
+def _bspline(s):
+    """Cubic B-spline of width 4 at ``s``, as a column or a numpy array."""
+    pieces = [s * s * s / 6, (-3 * s * s * s + 12 * s * s - 12 * s + 4) / 6,
+              (3 * s * s * s - 24 * s * s + 60 * s - 44) / 6, (4 - s) * (4 - s) * (4 - s) / 6]
+    if isinstance(s, Column):
+        return (F.when((s < 0) | (s >= 4), 0.0).when(s < 1, pieces[0]).when(s < 2, pieces[1])
+                .when(s < 3, pieces[2]).otherwise(pieces[3]))
+    return np.select([(s < 0) | (s >= 4), s < 1, s < 2, s < 3], [0.0, *pieces[:3]], pieces[3])
+
+
+def basis_columns(x, lo: float, width: float, intervals: int) -> list:
+    """The ``intervals + 3`` basis functions at ``x``."""
+    u = (x - lo) / width
+    return [_bspline(u - (j - 3)) for j in range(intervals + 3)]
+
+
+def _moments(d: DataFrame, p: int, family: str, beta: np.ndarray):
+    """X'WX, X'Wz, z'Wz and the deviance at ``beta``, from one pass."""
+    x = [F.col(f"_f{i}") for i in range(p)]
+    y = F.col("_y")
+    if family == "gaussian":
+        rows = d.select(*x, F.lit(1.0).alias("_w"), y.alias("_z"), F.lit(0.0).alias("_d"))
+    else:
+        eta = F.lit(0.0)
+        for f, b in zip(x, beta):
+            eta = eta + f * F.lit(float(b))
+        rows = d.select("*", F.greatest(F.lit(-35.0), F.least(F.lit(35.0), eta)).alias("_eta"))
+        rows = rows.select("*", (1 / (1 + F.exp(-F.col("_eta")))).alias("_mu"))
+        mu = F.col("_mu")
+        w = mu * (1 - mu)
+        dev = -2 * F.when(y == 1, F.log(mu)).otherwise(F.log1p(-mu))
+        rows = rows.select(*x, w.alias("_w"), (F.col("_eta") + (y - mu) / w).alias("_z"), dev.alias("_d"))
+    w, z = F.col("_w"), F.col("_z")
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    r = rows.agg(*[F.sum(w * x[i] * x[j]) for i, j in pairs], *[F.sum(w * f * z) for f in x],
+                 F.sum(w * z * z), F.sum("_d")).first()
     xtx = np.zeros((p, p))
-    k = 0
-    for i in range(p):
-        for j in range(i, p):
-            xtx[i, j] = xtx[j, i] = r[k]
-            k += 1
-    xty = np.array([r[k + i] for i in range(p)])
-    yty = r[k + p]
-    return xtx, xty, yty
-
-
-def _solve(xtx, xty, yty, pen, n, lambdas):
-    """Penalised least squares for each lambda (largest first, so ties keep
-    the smoother fit); the pseudo-inverse keeps tiny or collinear inputs
-    solvable, and GCV is infinite when no residual degrees of freedom are left."""
-    best = None
-    scale = (np.trace(xtx) / max(len(xty), 1)) or 1.0
-    for lam in sorted(lambdas, reverse=True):
-        a = xtx + lam * scale * np.diag(pen)
-        ainv = np.linalg.pinv(a)
-        beta = ainv @ xty
-        rss = max(float(yty - 2 * beta @ xty + beta @ xtx @ beta), 0.0)
-        edf = float(np.trace(ainv @ xtx))
-        gcv = n * rss / (n - edf) ** 2 if n - edf > 1e-9 else float("inf")
-        if best is None or gcv < best[0]:
-            best = (gcv, lam, beta, ainv, rss, edf)
-    return best
+    for k, (i, j) in enumerate(pairs):
+        xtx[i, j] = xtx[j, i] = r[k]
+    return xtx, np.array(r[len(pairs):len(pairs) + p], float), float(r[-2]), float(r[-1])
+
 
+def _second_differences(m: int, p: int) -> np.ndarray:
+    d = np.diff(np.eye(m), 2, axis=0)
+    out = np.zeros((p, p))
+    out[:m, :m] = d.T @ d
+    return out
 
-def _eta(feats, beta):
-    e = F.lit(0.0)
-    for f, b in zip(feats, beta):
-        e = e + f * F.lit(float(b))
-    return e
+
+def _solve(xtx, xtz, penalty):
+    inverse = np.linalg.pinv(xtx + penalty, hermitian=True)
+    return inverse @ xtz, inverse
 
 
 def gam_fit(df: DataFrame, y: str, smooth: str, linear: list[str] | None = None, family: str = "gaussian",
-            n_knots: int = 8, lambdas=DEFAULT_LAMBDAS, max_iter: int = 25, tol: float = 1e-8) -> dict:
-    """Fit; returns a dict with coefficients, covariance, lambda, edf,
-    deviance, gcv, n and the basis description (for ``partial_effect``)."""
+            intervals: int = 10, lambdas=DEFAULT_LAMBDAS, max_iter: int = 60, tol: float = 1e-9) -> dict:
+    """Fit on the complete cases; raises ``NotConverged`` instead of returning a
+    fit whose penalised deviance still moves after ``max_iter`` steps.
+
+    Returns coefficients, covariance, penalty, effective degrees of freedom,
+    deviance, null deviance, score, n, steps and what ``curve`` needs.
+    """
+    if family not in ("gaussian", "binomial"):
+        raise ValueError(family)
     linear = list(linear or [])
-    d, feats, names, pen, basis, n = _design(df, y, smooth, linear, n_knots)
-    p = len(feats)
-    # the design matrix as plain columns, computed once per row
-    d = d.select("_y", *[f.alias(f"_f{i}") for i, f in enumerate(feats)])
-    cols = [F.col(f"_f{i}") for i in range(p)]
+    d = df.select(F.col(y).cast("double").alias("_y"), F.col(smooth).cast("double").alias("_x"),
+                  *[F.col(c).cast("double").alias(c) for c in linear]).dropna()
+    st = d.agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.avg("_y").alias("mean"),
+               F.var_pop("_y").alias("var"),
+               *[f(c).alias(f"{k}_{i}") for i, c in enumerate(linear) for k, f in (("mean", F.avg), ("sd", F.stddev_pop))],
+               *[F.percentile_approx(c, 0.5, 100_000).alias(f"median_{i}") for i, c in enumerate(linear)]).first()
+    n = int(st["n"])
+    if not n:
+        raise ValueError("no complete case")
+    if family == "binomial" and not 0 < st["mean"] < 1:
+        raise ValueError("the outcome has one value only")
+    lo = float(st["lo"])
+    width = (float(st["hi"]) - lo) / intervals or 1.0
+    m = intervals + 3
+    p = m + len(linear)
+    # linear terms enter standardised, so that the moments are of one scale
+    mean = [float(st[f"mean_{i}"]) for i in range(len(linear))]
+    sd = [float(st[f"sd_{i}"]) or 1.0 for i in range(len(linear))]
+    design = d.select("_y", *[c.alias(f"_f{i}") for i, c in enumerate(basis_columns(F.col("_x"), lo, width, intervals))],
+                      *[((F.col(c) - mean[i]) / sd[i]).alias(f"_f{m + i}") for i, c in enumerate(linear)])
+    roughness = _second_differences(m, p)
     if family == "gaussian":
-        xtx, xty, yty = _moments(d, p, F.lit(1.0), F.col("_y"))
-        gcv, lam, beta, ainv, rss, edf = _solve(xtx, xty, yty, pen, n, lambdas)
-        scale = rss / max(n - edf, 1.0)
-        cov = ainv @ xtx @ ainv * scale
-        deviance = rss
-    elif family == "binomial":
-        # several passes: read the few model columns from a written copy
-        from carelog.session import materialize
-        d = materialize(d, "gam-design")
-        beta = np.zeros(len(feats))
-        ybar = d.agg(F.avg("_y")).first()[0]
-        beta[0] = math.log(ybar / (1 - ybar)) if 0 < ybar < 1 else 0.0
-        for _ in range(max_iter):
-            de = d.select("*", _eta(cols, beta).alias("_eta"))
-            de = de.select("*", (1 / (1 + F.exp(-F.col("_eta")))).alias("_mu"))
-            w = F.greatest(F.col("_mu") * (1 - F.col("_mu")), F.lit(1e-10))
-            z = F.col("_eta") + (F.col("_y") - F.col("_mu")) / w
-            xtx, xty, yty = _moments(de, p, w, z)
-            gcv, lam, new, ainv, rss, edf = _solve(xtx, xty, yty, pen, n, lambdas)
-            done = np.max(np.abs(new - beta)) < tol * (1 + np.max(np.abs(beta)))
-            beta = new
-            if done:
-                break
-        de = d.select("_y", (1 / (1 + F.exp(-_eta(cols, beta)))).alias("_mu"))
-        yy, mu = F.col("_y"), F.col("_mu")
-        dev_row = -2 * (yy * F.log(F.greatest(mu, F.lit(1e-300))) + (1 - yy) * F.log(F.greatest(1 - mu, F.lit(1e-300))))
-        deviance = float(de.agg(F.sum(dev_row)).first()[0])
-        cov = ainv @ xtx @ ainv
+        null = float(st["var"]) * n
+        fits = _gaussian(design, p, n, roughness, lambdas)
     else:
-        raise ValueError(family)
-    return {"names": names, "beta": [float(b) for b in beta], "cov": cov.tolist(), "lambda": float(lam),
-            "edf": float(edf), "deviance": float(deviance), "gcv": float(gcv), "n": n, "basis": basis,
-            "family": family, "smooth": smooth, "linear": linear}
+        rate = float(st["mean"])
+        null = -2 * n * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+        start = np.zeros(p)
+        start[:m] = math.log(rate / (1 - rate))  # the basis adds up to 1
+        design = design.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fits = _binomial(design, p, n, roughness, lambdas, start, max_iter, tol)
+        finally:
+            design.unpersist()
+    best = min(fits, key=lambda f: f["score"])
+    influence = best.pop("inverse") @ best.pop("xtx")
+    back = np.eye(p)  # to the terms' own scales; the smooth takes up their means
+    for i in range(len(linear)):
+        back[:m, m + i], back[m + i, m + i] = -mean[i] / sd[i], 1 / sd[i]
+    best |= {"beta": back @ best["beta"], "cov": back @ best["cov"] @ back.T}
+    return best | {
+        "names": [f"s({smooth}).{i + 1}" for i in range(m)] + linear, "edf": float(np.trace(influence)),
+        "edf_smooth": float(np.trace(influence[:m, :m])) - 1, "null_deviance": null, "n": n, "family": family,
+        "smooth": smooth, "linear": linear, "basis": (lo, width, intervals),
+        "medians": [float(st[f"median_{i}"]) for i in range(len(linear))]}
+
+
+def _gaussian(design, p, n, roughness, lambdas):
+    xtx, xty, yty, _ = _moments(design, p, "gaussian", np.zeros(p))
+    scale = np.trace(xtx) / p
+    for lam in sorted(lambdas, reverse=True):
+        beta, inverse = _solve(xtx, xty, lam * scale * roughness)
+        rss = max(float(yty - 2 * beta @ xty + beta @ xtx @ beta), 0.0)
+        edf = float(np.trace(inverse @ xtx))
+        free = n - edf
+        sigma = rss / free if free > 1e-9 else float("nan")
+        yield {"beta": beta, "inverse": inverse, "xtx": xtx, "cov": inverse @ xtx @ inverse * sigma, "lambda": lam,
+               "deviance": rss, "score": n * rss / free ** 2 if free > 1e-9 else math.inf, "steps": 1, "converged": True}
+
+
+def _binomial(design, p, n, roughness, lambdas, start, max_iter, tol):
+    fits, beta = [], start
+    here = _moments(design, p, "binomial", beta)
+    scale = np.trace(here[0]) / p
+    for lam in sorted(lambdas, reverse=True):
+        penalty = lam * scale * roughness
+        value = here[3] + beta @ penalty @ beta
+        for step in range(1, max_iter + 1):
+            goal, inverse = _solve(here[0], here[1], penalty)
+            share = 1.0
+            while True:
+                tried = beta + share * (goal - beta)
+                there = _moments(design, p, "binomial", tried)
+                new = there[3] + tried @ penalty @ tried
+                if new <= value + tol * (abs(value) + 0.1) or share < 1e-6:
+                    break
+                share /= 2
+            moved = value - new
+            if moved > -tol * (abs(value) + 0.1):
+                beta, here, value = tried, there, new
+            if abs(moved) <= tol * (abs(value) + 0.1):
+                break
+        else:
+            if fits:
+                break  # a rougher fit runs off; the smoother ones stand
+            raise NotConverged(f"penalised deviance still moves by {moved:.3g} after {max_iter} steps")
+        _, inverse = _solve(here[0], here[1], penalty)
+        edf = float(np.trace(inverse @ here[0]))
+        fits.append({"beta": beta, "inverse": inverse, "xtx": here[0], "cov": inverse @ here[0] @ inverse, "lambda": lam,
+                     "deviance": here[3], "score": here[3] / n + 2 * edf / n - 1, "steps": step, "converged": True})
+    return fits
+
+
+def smooth_test(fit: dict) -> tuple[float, int, float]:
+    """Wald statistic, rank and p-value of the smooth's departure from a constant."""
+    m = len(fit["beta"]) - len(fit["linear"])
+    centre = np.eye(m) - np.ones((m, m)) / m
+    b, v = centre @ fit["beta"][:m], centre @ np.asarray(fit["cov"])[:m, :m] @ centre
+    rank = max(1, round(fit["edf_smooth"]))
+    size, axes = np.linalg.eigh(v)
+    keep = np.argsort(-size)[:rank]
+    keep = keep[size[keep] > 1e-12 * max(size.max(), 1e-300)]
+    if not len(keep):
+        return float("nan"), rank, float("nan")
+    stat = float(((axes[:, keep].T @ b) ** 2 / size[keep]).sum())
+    return stat, rank, chisq_sf(stat, rank)
 
 
 def summary_frame(spark: SparkSession, fit: dict) -> DataFrame:
-    """Model summary: one row per coefficient plus the fit statistics."""
-    se = [math.sqrt(max(fit["cov"][i][i], 0.0)) for i in range(len(fit["beta"]))]
-    rows = [(t, b, s, fit["lambda"], fit["edf"], fit["deviance"], fit["gcv"], fit["n"])
-            for t, b, s in zip(fit["names"], fit["beta"], se)]
-    return spark.createDataFrame(rows, "term string, estimate double, se double, lambda double, edf double, "
-                                       "deviance double, gcv double, n long")
-
-
-def partial_effect(spark: SparkSession, fit: dict, points: int = 100, z: float = 1.959963984540054) -> DataFrame:
-    """Fitted smooth on a grid of ``points`` x values with a pointwise band
-    (linear terms at zero; binomial fits also on the probability scale with
-    the intercept)."""
-    lo, span, knots = fit["basis"]
-    x = F.lit(lo) + F.col("id").cast("double") / F.lit(points - 1) * F.lit(span)
-    xs = (x - F.lit(lo)) / F.lit(span)
-    feats = [F.lit(1.0)] + _basis(xs, knots)
-    k = len(feats)
-    beta = fit["beta"][:k]
-    cov = fit["cov"]
-    fitv = _eta(feats, beta)
-    var = F.lit(0.0)
-    for i in range(k):
-        for j in range(k):
-            var = var + feats[i] * feats[j] * F.lit(float(cov[i][j]))
-    se = F.sqrt(F.greatest(var, F.lit(0.0)))
-    out = spark.range(points).select(x.alias(fit["smooth"]), fitv.alias("fit"), se.alias("se"),
-                                     (fitv - z * se).alias("lower"), (fitv + z * se).alias("upper"))
+    """One row for the smooth (Wald statistic in ``z``) and one for each linear term."""
+    stat, rank, p = smooth_test(fit)
+    m = len(fit["beta"]) - len(fit["linear"])
+    rest = (fit["lambda"], fit["edf"], fit["deviance"], fit["null_deviance"], float(fit["score"]), fit["n"], fit["converged"])
+    rows = [(f"s({fit['smooth']})", None, None, stat, p, fit["edf_smooth"], *rest)]
+    for i, name in enumerate(fit["linear"], start=m):
+        b, se = float(fit["beta"][i]), math.sqrt(max(float(fit["cov"][i][i]), 0.0))
+        z = b / se if se > 0 else float("nan")
+        free = fit["n"] - fit["edf"]
+        tail = t_two_sided(z, free) if fit["family"] == "gaussian" else math.erfc(abs(z) / math.sqrt(2))
+        rows.append((name, b, se, z, tail, 1.0, *rest))
+    return spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double, term_edf double, "
+                                       "lambda double, edf double, deviance double, null_deviance double, score double, "
+                                       "n long, converged boolean")
+
+
+def curve(spark: SparkSession, fit: dict, points: int = 100, z: float = 1.959963984540054) -> DataFrame:
+    """Fitted curve with a pointwise band on a grid of the smooth's range, the other
+    terms at their medians; binomial fits also on the probability scale."""
+    lo, width, intervals = fit["basis"]
+    x = lo + np.arange(points) / (points - 1) * width * intervals
+    rows = np.column_stack([*basis_columns(x, lo, width, intervals), *[np.full(points, v) for v in fit["medians"]]])
+    value = rows @ fit["beta"]
+    se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", rows, np.asarray(fit["cov"]), rows), 0))
+    table = np.column_stack([x, value, se, value - z * se, value + z * se])
+    out = spark.createDataFrame([tuple(map(float, r)) for r in table], "x double, fit double, se double, lower double, upper double")
     if fit["family"] == "binomial":
-        out = out.withColumns({"prob": 1 / (1 + F.exp(-F.col("fit"))),
-                               "prob_lower": 1 / (1 + F.exp(-F.col("lower"))),
-                               "prob_upper": 1 / (1 + F.exp(-F.col("upper")))})
+        out = out.withColumns({n: 1 / (1 + F.exp(-F.col(c))) for n, c in (("prob", "fit"), ("prob_lower", "lower"), ("prob_upper", "upper"))})
     return out

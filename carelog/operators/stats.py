@@ -10,8 +10,12 @@ UDF on those few-row results (math only; no data passes through Python).
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,98 +24,62 @@ from carelog.functions.util import col
 
 
 # ----------------------------------------------------- tail probabilities
-def _gammq(a: float, x: float) -> float:
-    """Regularized upper incomplete gamma Q(a, x) (series / continued fraction)."""
-    if x is None or a is None or math.isnan(x) or x < 0 or a <= 0:
+def chisq_sf(stat: float, dof: float) -> float:
+    """P(X > stat) of the chi-square distribution with a whole number of degrees of freedom.
+
+    The finite sum of Poisson terms (even) or of half-integer terms after the
+    normal tail (odd), added up in logarithms.
+    """
+    if stat is None or dof is None or math.isnan(stat) or stat < 0 or dof <= 0 or dof != int(dof):
         return float("nan")
-    if x == 0:
+    if stat == 0:
         return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1:
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(1000):
-            ap += 1
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-15:
-                break
-        return 1.0 - s * math.exp(-x + a * math.log(x) - gln)
-    b = x + 1 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1.0 / d
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1e-300 if abs(d) < 1e-300 else d
-    d = 1 / d
-    h = d
-    for m in range(1, 1000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = 1 + aa / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = 1 + aa / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        de = d * c
-        h *= de
-        if abs(de - 1) < 1e-15:
-            break
-    return h
-
-
-def _betai(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    bt = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    if x < (a + 1) / (a + b + 2):
-        return bt * _betacf(a, b, x) / a
-    return 1 - bt * _betacf(b, a, 1 - x) / b
+    h = stat / 2
+    odd = int(dof) % 2
+    terms = int(dof) // 2
+    tail = math.erfc(math.sqrt(h)) if odd else 0.0
+    if not terms:
+        return tail
+    first = -h + (0.5 * math.log(h) - math.lgamma(1.5) if odd else 0.0)
+    ratios = math.log(h) - np.log(np.arange(1, terms) + (0.5 if odd else 0.0))
+    logs = first + np.concatenate([[0.0], np.cumsum(ratios)])
+    return min(1.0, tail + float(np.exp(logs).sum()))
 
 
-def chisq_sf(stat: float, dof: float) -> float:
-    return _gammq(dof / 2.0, stat / 2.0)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    """P(|T| > |t|), by Gauss-Legendre integration of the density beyond |t|.
+
+    The half line is mapped to (0, 1) by u = |t| + s y / (1 - y), cut into panels
+    that narrow towards 1, where heavy tails end.
+    """
     if t is None or dof is None or math.isnan(t) or math.isnan(dof) or dof <= 0:
         return float("nan")
-    return _betai(dof / 2.0, 0.5, dof / (dof + t * t))
+    t = abs(t)
+    if math.isinf(t):
+        return 0.0
+    half = dof / 2
+    if half > 1e5:  # gamma(half + 1/2) / gamma(half) by its asymptotic series
+        log_ratio = 0.5 * math.log(half) + math.log1p(-1 / (8 * half) + 1 / (128 * half * half))
+    else:
+        log_ratio = math.lgamma(half + 0.5) - math.lgamma(half)
+    constant = log_ratio - 0.5 * math.log(dof * math.pi)
+    edges = np.concatenate([np.linspace(0, 0.9, 31), 1 - 0.1 * 0.5 ** np.arange(1, 60), [1.0]])
+    a, b = edges[:-1, None], edges[1:, None]
+    y = (a + b) / 2 + (b - a) / 2 * _NODES
+    scale = 1 / (1 + t)  # tails fall within about 1/t
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        u = t + scale * y / (1 - y)
+        density = np.exp(constant - (dof + 1) / 2 * np.log1p(u * u / dof))
+        part = density * scale / (1 - y) ** 2 * _WEIGHTS * (b - a) / 2
+    return min(1.0, 2 * float(np.nan_to_num(part).sum()))
 
 
 # The UDFs below and the helpers they call ship to the Python workers by
 # value, so workers need not import this package (executors may run without it).
-try:
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -126,6 +94,10 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
                       for a, b in zip(t, dof)], dtype="float64")
 
 
+#: Absolute log-odds that mark a separated fit.
+SEPARATED = 15.0
+
+
 # --------------------------------------------------------- summaries
 def stratified_mean_sd(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """Per stratum: mean and sample SD of every column (NULLs ignored), one pass."""
@@ -150,8 +122,7 @@ def crosstab(df: DataFrame, row: str, column: str, levels: list) -> DataFrame:
 def proportions(df: DataFrame, by: str, column: str, digits: int = 3) -> DataFrame:
     """Within-stratum share of each value of ``column`` (NULL excluded),
     rounded; the window runs over the small (stratum, value) count table."""
-    counts = frequency(df.select(by, column), column) if by is None else (
-        df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("n")))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(by)
     return counts.withColumn("prop", F.round(F.col("n") / F.sum("n").over(w), digits))
 
@@ -167,55 +138,46 @@ def flag_prevalence(df: DataFrame, by: str, flags: list[str], digits: int = 3) -
 
 
 def exact_quantiles(df: DataFrame, by: str, value: str, probs=(0.25, 0.5, 0.75),
-                    accuracy: int = 10000, with_summary: bool = False) -> DataFrame:
-    """Exact linear-interpolation quantiles (R type 7) per stratum, without
-    gathering a stratum in one task.
+                    with_summary: bool = False) -> DataFrame:
+    """Exact linear-interpolation quantiles (R type 7) per stratum.
 
-    ``percentile_approx`` brackets each target rank with a rank error of at
-    most n/accuracy; only the rows inside the bracket (about 4n/accuracy per
-    target) are ranked to read off the exact order statistics.
+    The input is read once, into counts per (stratum, value).  Those are sorted by
+    ranges, so ties and strata of any size spread over the tasks; the counts of
+    each range give the ranks at which it begins, and only the range that holds a
+    wanted rank is searched for it.
     """
-    raw = df.select(F.col(by).alias("_s"), F.col(value).cast("double").alias("_x"))
-    x = raw.filter(F.col("_x").isNotNull())
-    eps = 2.0 / accuracy
-    los = [max(0.0, p - eps) for p in probs]
-    his = [min(1.0, p + eps) for p in probs]
-    # one pass over the input: counts, extremes, mean, NULL count and brackets
-    stats = raw.groupBy("_s").agg(
-        F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.avg("_x").alias("_mean"), F.count_if(F.col("_x").isNull()).alias("_na"),
-        F.percentile_approx("_x", los, accuracy).alias("_lo"),
-        F.percentile_approx("_x", his, accuracy).alias("_hi"))
-    # with n >= accuracy the rank error (<= n/accuracy, at least one row) keeps
-    # both neighbouring order statistics inside [L, U]; a smaller stratum is
-    # small enough to rank whole
-    small = F.col("_n") < accuracy
-    targets = stats.select(
-        "_s", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p"),
-        "_lo", "_hi", "_min", "_max", small.alias("_small")).select(
-        "_s", "_n", "_k", "_p",
-        F.when(F.col("_small"), F.col("_min")).otherwise(F.col("_lo")[F.col("_k")]).alias("L"),
-        F.when(F.col("_small"), F.col("_max")).otherwise(F.col("_hi")[F.col("_k")]).alias("U"))
-    targets = targets.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
-        .withColumn("_r0", F.floor("_h").cast("long")).withColumn("_r1", F.ceil("_h").cast("long"))
-    joined = x.join(targets, "_s")
-    below = joined.groupBy("_s", "_k").agg(F.count_if(F.col("_x") < F.col("L")).alias("_below"))
-    band = joined.filter(F.col("_x").between(F.col("L"), F.col("U")))
-    w = Window.partitionBy("_s", "_k").orderBy("_x")
-    ranked = band.withColumn("_r", F.row_number().over(w) - 1).join(below, ["_s", "_k"])
-    ranked = ranked.withColumn("_g", F.col("_r") + F.col("_below"))
-    vals = ranked.groupBy("_s", "_k", "_h", "_r0", "_r1").agg(
-        F.max(F.when(F.col("_g") == F.col("_r0"), F.col("_x"))).alias("_v0"),
-        F.max(F.when(F.col("_g") == F.col("_r1"), F.col("_x"))).alias("_v1"))
-    q = vals.select("_s", "_k", (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"))
+    counts = (df.select(F.col(by).alias("_s"), F.col(value).cast("double").alias("_x"))
+              .groupBy("_s", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    counts = (counts.repartitionByRange(F.col("_s"), F.col("_x")).withColumn("_range", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    known = counts.filter(F.col("_x").isNotNull())
+    # what a range adds, and the rank at which it begins (few rows: ranges x strata)
+    sizes = known.groupBy("_s", "_range").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy("_s")
+    starts = sizes.select("_s", "_range", F.sum("_c").over(w).alias("_n"),
+                          (F.sum("_c").over(w.orderBy("_range")) - F.col("_c")).alias("_from"), F.col("_c").alias("_size"))
+    wanted = starts.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p"))
+    wanted = wanted.select("*", ((F.col("_n") - 1) * F.col("_p")).alias("_h"))
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_r"))
+    wanted = wanted.filter((F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_size")))
+    inside = known.select("_s", "_range", "_x", "_c",
+                          F.sum("_c").over(Window.partitionBy("_s", "_range").orderBy("_x")).alias("_upto"))
+    found = wanted.join(inside, (wanted["_s"].eqNullSafe(inside["_s"])) & (wanted["_range"] == inside["_range"])
+                        & (F.col("_r") < F.col("_from") + F.col("_upto"))
+                        & (F.col("_r") >= F.col("_from") + F.col("_upto") - inside["_c"]))
+    ends = found.groupBy(wanted["_s"].alias("_s"), "_k", "_h").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    q = ends.select("_s", "_k", (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))).alias("q"))
     out = q.groupBy("_s").pivot("_k", list(range(len(probs)))).agg(F.first("q"))
-    qcols = [F.col(str(i)).alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)]
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    out = out.select("_s", *[F.col(str(i)).alias(c) for i, c in enumerate(names)])
     if not with_summary:
-        return out.select(F.col("_s").alias(by), *qcols)
-    # strata whose values are all NULL have no quantile row: keep them
-    summ = stats.select("_s", F.col("_min").alias("min"), F.col("_mean").alias("mean"),
-                        F.col("_max").alias("max"), F.col("_na").alias("n_na"))
-    return summ.join(out.select("_s", *qcols), "_s", "left").withColumnRenamed("_s", by)
+        return out.withColumnRenamed("_s", by)
+    # a stratum whose values are all NULL has no quantile row: keep it
+    summary = counts.groupBy("_s").agg(
+        F.min("_x").alias("min"), (F.sum(F.col("_x") * F.col("_c")) / F.sum(F.when(F.col("_x").isNotNull(), F.col("_c")))).alias("mean"),
+        F.max("_x").alias("max"), F.sum(F.when(F.col("_x").isNull(), F.col("_c")).otherwise(0)).alias("n_na"))
+    right = out.withColumnRenamed("_s", "_q")
+    return summary.join(right, F.col("_s").eqNullSafe(F.col("_q")), "left").drop("_q").withColumnRenamed("_s", by)
 
 
 def six_number(df: DataFrame, by: str, value: str, scale: float = 1.0) -> DataFrame:
@@ -229,21 +191,22 @@ def six_number(df: DataFrame, by: str, value: str, scale: float = 1.0) -> DataFr
 
 
 # ----------------------------------------------------------------- tests
-def chisq_from_counts(counts: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
+def chisq_from_counts(counts: DataFrame, row: str, column: str, n: str = "n", by: list[str] | None = None) -> DataFrame:
     """Pearson chi-square (no continuity correction) of a long count table
-    (row, column, n): statistic, degrees of freedom and p-value.
+    (row, column, n): statistic, degrees of freedom and p-value; one test for
+    each group of ``by``.
 
     Uses sum((o-e)^2/e) = N * sum(o^2 / (row_total * col_total)) - N, so only
-    observed cells are visited (empty cells need no grid) and each cell only
-    joins its two margins."""
-    c = counts.filter(F.col(n) > 0)
-    rows = c.groupBy(row).agg(F.sum(n).alias("_rt"))
-    cols = c.groupBy(column).agg(F.sum(n).alias("_ct"))
-    cell = c.join(rows, row).join(cols, column)
-    s = cell.groupBy().agg(F.sum(n).cast("double").alias("_N"),
-                           F.sum(F.col(n).cast("double") ** 2 / (F.col("_rt") * F.col("_ct"))).alias("_S"),
-                           F.countDistinct(row).alias("_r"), F.countDistinct(column).alias("_c"))
-    stat = s.select((F.col("_N") * F.col("_S") - F.col("_N")).alias("statistic"),
+    observed cells are visited.  Margins are windows over the small count table,
+    so the data behind it are read once."""
+    by = list(by or [])
+    key = [F.col(c) for c in by]
+    total = lambda *more: F.sum(n).over(Window.partitionBy(*key, *more))
+    cell = counts.filter(F.col(n) > 0).select("*", total(row).alias("_rt"), total(column).alias("_ct"))
+    s = cell.groupBy(*by).agg(F.sum(n).cast("double").alias("_N"),
+                              F.sum(F.col(n).cast("double") ** 2 / (F.col("_rt") * F.col("_ct"))).alias("_S"),
+                              F.countDistinct(row).alias("_r"), F.countDistinct(column).alias("_c"))
+    stat = s.select(*by, (F.col("_N") * F.col("_S") - F.col("_N")).alias("statistic"),
                     ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df"))
     return stat.withColumn("p_value", chisq_pvalue("statistic", F.col("df").cast("double")))
 
@@ -304,7 +267,9 @@ def logistic_regression(df: DataFrame, label: str, numeric: list[str], factor: s
                         levels: list | None = None, z: float = 1.959963984540054) -> DataFrame:
     """Binomial GLM (logit) fitted by Spark ML's distributed IRLS on complete
     cases; a factor enters as dummies against its first level.  Returns one
-    row per term: estimate, SE, z, p, odds ratio and Wald 95% CI."""
+    row per term: estimate, SE, z, p, odds ratio and Wald 95% CI.  ``converged``
+    is false if the steps ran out; ``separated`` marks log-odds beyond
+    ``SEPARATED``, which data give only when an outcome is (nearly) determined."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -319,25 +284,26 @@ def logistic_regression(df: DataFrame, label: str, numeric: list[str], factor: s
     names += list(numeric)
     d = d.select(F.col(label).cast("double").alias("_y"), *[F.col(n).cast("double").alias(n) for n in names])
     va = VectorAssembler(inputCols=names, outputCol="_f")
+    steps = 60
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_f", labelCol="_y",
-                                      maxIter=50, tol=1e-10)
-    model = glr.fit(va.transform(d))
-    s = model.summary
-    terms = names + ["(Intercept)"]
-    coefs = list(model.coefficients) + [model.intercept]
-
-    def stat(name):
+                                      maxIter=steps, tol=1e-10)
+    data = va.transform(d).persist(StorageLevel.MEMORY_AND_DISK)  # read by every step
+    try:
+        model = glr.fit(data)
+        s = model.summary
+        terms = names + ["(Intercept)"]
+        coefs = list(model.coefficients) + [model.intercept]
+        converged = s.numIterations < steps
         # too few complete cases for the number of terms: no standard errors
-        try:
-            return [float(v) for v in getattr(s, name)]
-        except Exception:  # noqa: BLE001
-            return [None] * len(terms)
-
-    rows = [(t, float(b), se, zv, p)
-            for t, b, se, zv, p in zip(terms, coefs, stat("coefficientStandardErrors"), stat("tValues"),
-                                       stat("pValues"))]
+        free = s.degreesOfFreedom > 0
+        get = lambda name: [float(v) for v in getattr(s, name)] if free else [None] * len(terms)
+        rows = [(t, float(b), se, zv, p, converged, bool(max(map(abs, coefs)) > SEPARATED))
+                for t, b, se, zv, p in zip(terms, coefs, get("coefficientStandardErrors"), get("tValues"), get("pValues"))]
+    finally:
+        data.unpersist()
     spark = df.sparkSession
-    out = spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double")
+    out = spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double, "
+                                      "converged boolean, separated boolean")
     return out.select("*", F.exp("estimate").alias("odds_ratio"),
                       F.exp(F.col("estimate") - z * F.col("se")).alias("ci_low"),
                       F.exp(F.col("estimate") + z * F.col("se")).alias("ci_high"))

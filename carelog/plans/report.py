@@ -10,6 +10,8 @@ term in the smooth).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +123,52 @@ def transition_pf_tests(day12: DataFrame) -> DataFrame:
                                                                    F.lit(b).alias("group_b"), "*")
             out = t if out is None else out.unionByName(t)
     return out
+
+
+#: The study's smooth models: name, outcome, smooth term, linear terms, family.
+#: The linear P/F term that one of them has beside the P/F smooth is left out:
+#: the smooth already contains every straight line.
+SMOOTH_MODELS = [
+    ("compliance~s(pfratio)", "lung_compliance", "pfratio", [], "gaussian"),
+    ("compliance~s(pfratio)+adjusted", "lung_compliance", "pfratio", ["sofatotal", "age", "bmi"], "gaussian"),
+    ("mortality~s(lung_compliance)+adjusted", "mortality_num", "lung_compliance", ADJUSTERS, "binomial"),
+    ("mortality~s(lung_compliance)", "mortality_num", "lung_compliance", [], "binomial"),
+]
+
+
+def smooth_models(df: DataFrame) -> list[tuple[str, dict]]:
+    """The four fits, by name."""
+    from carelog.operators.splines import gam_fit
+    return [(name, gam_fit(df, y, x, list(z), family=family)) for name, y, x, z, family in SMOOTH_MODELS]
+
+
+def smooth_summaries(df: DataFrame) -> DataFrame:
+    from carelog.operators.splines import summary_frame
+    tables = [summary_frame(df.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in smooth_models(df)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def smooth_curves(df: DataFrame) -> DataFrame:
+    """The four curves on 100 points, other terms at their medians."""
+    from carelog.operators.splines import curve
+    tables = [curve(df.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in smooth_models(df)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def transition_chisq(day12: DataFrame) -> DataFrame:
+    """For each day-2 phenotype, each other day-1 phenotype against those that were
+    in it on day 1: 2x2 chi-square (without correction) of being there on day 2.
+
+    One count table; each row of it enters the tests of its destination.
+    """
+    known = day12.filter(F.col("day1_compliance").isNotNull() & F.col("day2_compliance").isNotNull())
+    counts = known.groupBy(F.col("day1_compliance").alias("origin"), F.col("day2_compliance").alias("reached")).agg(
+        F.count(F.lit(1)).alias("c"))
+    goals = F.array(*[F.lit(p) for p in PHENO])
+    tests = counts.select("*", F.explode(goals).alias("destination"))
+    others = F.when(F.col("origin") == F.col("destination"),
+                    F.array_remove(goals, F.col("destination"))).otherwise(F.array("origin"))
+    cells = (tests.select("destination", F.explode(others).alias("against"), "origin",
+                          (F.col("reached") == F.col("destination")).alias("there"), "c")
+             .groupBy("destination", "against", "origin", "there").agg(F.sum("c").alias("n")))
+    return S.chisq_from_counts(cells, "origin", "there", by=["destination", "against"])

@@ -15,8 +15,18 @@ def test_tail_probabilities():
     assert abs(S.chisq_sf(2.5, 1) - math.erfc(math.sqrt(1.25))) < 1e-10
     # t with 1 df is Cauchy: two-sided p = 1 - 2 atan(|t|)/pi
     assert abs(S.t_two_sided(2.0, 1) - (1 - 2 * math.atan(2.0) / math.pi)) < 1e-10
-    # large df approaches the normal
-    assert abs(S.t_two_sided(1.96, 1e7) - 0.05) < 1e-3
+    # t with 2 df: two-sided p = 1 - t / sqrt(2 + t^2)
+    assert abs(S.t_two_sided(3.0, 2) - (1 - 3 / math.sqrt(11))) < 1e-12
+    # any large df is close to the normal, without loss of digits
+    for dof in (1e7, 1e14, 1e16):
+        assert abs(S.t_two_sided(1.959963984540054, dof) - 0.05) < 1e-7
+    assert S.t_two_sided(0.0, 5.5) > 1 - 1e-12 and S.t_two_sided(1e6, 30) < 1e-100
+    # chi-square near its mean for a large df (Wilson-Hilferty), and df 3 in closed form
+    assert abs(S.chisq_sf(2e6, 2e6) - 0.5) < 1e-3
+    x = 4.2
+    want = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    assert abs(S.chisq_sf(x, 3) - want) < 1e-13
+    assert math.isnan(S.chisq_sf(1.0, 0))
 
 
 def test_chisq_typed_2x2(spark):
@@ -72,13 +82,26 @@ def test_exact_quantiles_match_numpy(spark):
     random.seed(7)
     data = [(s, round(random.gauss(0, 1), 3)) for s in ("a", "b") for _ in range(3000)] + [("c", 1.0), ("c", 4.0)]
     df = spark.createDataFrame(data, "s string, x double")
-    got = {r.s: r for r in S.exact_quantiles(df, "s", "x", accuracy=50).collect()}
+    got = {r.s: r for r in S.exact_quantiles(df, "s", "x").collect()}
     for s in ("a", "b", "c"):
         xs = np.array([x for ss, x in data if ss == s])
         for p, c in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
             assert abs(got[s][c] - np.quantile(xs, p)) < 1e-12
 
 
+def test_quantiles_with_ties_spread_over_ranges(spark):
+    """Nine tenths of a stratum tied: counts per value keep every window small."""
+    df = spark.range(40000).select(F.lit("a").alias("s"), F.when(F.col("id") % 10 > 0, 5.0).otherwise(F.col("id") / 7).alias("x"))
+    got = S.exact_quantiles(df, "s", "x", probs=(0.01, 0.5, 0.99)).first()
+    xs = np.array([5.0 if i % 10 else i / 7 for i in range(40000)])
+    for p, c in ((0.01, "q1"), (0.5, "q50"), (0.99, "q99")):
+        assert abs(got[c] - np.quantile(xs, p)) < 1e-9
+    counts = df.groupBy("s", "x").count()
+    assert counts.count() <= 4001  # what is sorted: one row for each value, not for each input row
+    empty = S.exact_quantiles(df.limit(0), "s", "x", with_summary=True)
+    assert empty.count() == 0
+
+
 def test_six_number_na_not_scaled(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 8.0), ("a", None)], "s string, x double")
     r = S.six_number(df, "s", "x", scale=24).first()
@@ -102,29 +125,108 @@ def test_flag_prevalence(spark):
     assert got[("f", True)] == 0.667 and got[("g", True)] == 0.5
 
 
-def test_spline_recovers_smooth_curve(spark):
-    from carelog.operators.splines import gam_fit, partial_effect
-    random.seed(11)
-    xs = [random.random() for _ in range(800)]
-    data = [(x, math.sin(2 * math.pi * x) + random.gauss(0, 0.2), 1.0 if i % 2 else 0.0) for i, x in enumerate(xs)]
-    df = spark.createDataFrame(data, "x double, y double, z double")
-    fit = gam_fit(df, "y", "x", ["z"], family="gaussian")
-    assert 3 < fit["edf"] < 14 and abs(fit["beta"][-1]) < 0.1
-    pe = partial_effect(spark, fit, points=21).collect()
-    err = max(abs(r.fit - math.sin(2 * math.pi * r.x)) for r in pe[2:-2])
-    assert err < 0.2
-
-
-def test_binomial_spline_converges(spark):
+def _bspline_matrix(x, lo, width, intervals):
+    """Cubic B-splines by the recursion over degrees (independent of the library's closed form)."""
+    knots = lo + width * np.arange(-3, intervals + 4)
+    b = [((x >= knots[i]) & (x < knots[i + 1])).astype(float) for i in range(len(knots) - 1)]
+    for d in (1, 2, 3):
+        b = [(x - knots[i]) / (d * width) * b[i] + (knots[i + d + 1] - x) / (d * width) * b[i + 1] for i in range(len(b) - 1)]
+    return np.column_stack(b[:intervals + 3])
+
+
+def test_spline_equals_an_independent_solve(spark):
+    from carelog.operators.splines import curve, gam_fit
+    rng = np.random.default_rng(11)
+    x, z = rng.random(800), rng.integers(0, 2, 800).astype(float)
+    y = np.sin(2 * np.pi * x) + 0.3 * z + rng.normal(0, 0.2, 800)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, z)], "x double, y double, z double")
+    fit = gam_fit(df, "y", "x", ["z"])
+    lo, width, k = fit["basis"]
+    design = np.column_stack([_bspline_matrix(np.minimum(x, lo + width * k - 1e-12), lo, width, k), (z - z.mean()) / z.std()])
+    m = k + 3
+    d2 = np.diff(np.eye(m), 2, axis=0)
+    pen = np.zeros((m + 1, m + 1))
+    pen[:m, :m] = d2.T @ d2
+    gram = design.T @ design
+    scores = {}
+    for lam in (1e4, 1e3, 1e2, 10.0, 1.0, 0.1, 0.01):
+        a = np.linalg.inv(gram + lam * np.trace(gram) / (m + 1) * pen)
+        b = a @ design.T @ y
+        edf = np.trace(a @ gram)
+        scores[lam] = (800 * ((y - design @ b) ** 2).sum() / (800 - edf) ** 2, edf, b)
+    lam = min(scores, key=lambda v: scores[v][0])
+    assert fit["lambda"] == lam and abs(fit["edf"] - scores[lam][1]) < 1e-6
+    assert abs(fit["beta"][-1] - scores[lam][2][-1] / z.std()) < 1e-8 and abs(fit["beta"][-1] - 0.3) < 0.05
+    assert fit["deviance"] < fit["null_deviance"] and 3 < fit["edf_smooth"] < 12
+    err = max(abs(r.fit - (math.sin(2 * math.pi * r.x) + 0.3 * np.median(z))) for r in curve(spark, fit, points=21).collect()[2:-2])
+    assert err < 0.15
+
+
+def test_smooth_of_a_line_is_a_line(spark):
     from carelog.operators.splines import gam_fit
-    random.seed(12)
-    data = []
-    for _ in range(1500):
-        x = random.uniform(-2, 2)
-        p = 1 / (1 + math.exp(-(0.5 + 1.5 * x)))
-        data.append((x, 1.0 if random.random() < p else 0.0))
-    fit = gam_fit(spark.createDataFrame(data, "x double, y double"), "y", "x", [], family="binomial")
-    assert fit["edf"] < 8 and fit["deviance"] > 0
+    rng = np.random.default_rng(3)
+    x = rng.random(600)
+    df = spark.createDataFrame([(float(a), float(2 * a + e)) for a, e in zip(x, rng.normal(0, 0.3, 600))], "x double, y double")
+    assert gam_fit(df, "y", "x")["edf_smooth"] < 1.5
+
+
+def test_binomial_spline_against_newton_steps(spark):
+    from carelog.operators.splines import gam_fit, smooth_test, summary_frame
+    rng = np.random.default_rng(12)
+    x, z = rng.uniform(-2, 2, 900), rng.normal(50, 10, 900)
+    y = (rng.random(900) < 1 / (1 + np.exp(-(0.5 + 1.5 * x + 0.05 * (z - 50))))).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, z)], "x double, y double, z double")
+    fit = gam_fit(df, "y", "x", ["z"], family="binomial")
+    assert fit["converged"] and fit["deviance"] <= fit["null_deviance"] and fit["edf_smooth"] < 4
+    lo, width, k = fit["basis"]
+    design = np.column_stack([_bspline_matrix(np.minimum(x, lo + width * k - 1e-12), lo, width, k), (z - z.mean()) / z.std()])
+    m = k + 3
+    d2 = np.diff(np.eye(m), 2, axis=0)
+    pen = np.zeros((m + 1, m + 1))
+    pen[:m, :m] = d2.T @ d2
+    mu = np.full(900, y.mean())
+    scale = np.trace((design * (mu * (1 - mu))[:, None]).T @ design) / (m + 1)
+    b = np.zeros(m + 1)
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-design @ b))
+        b = b + np.linalg.solve((design * (mu * (1 - mu))[:, None]).T @ design + fit["lambda"] * scale * pen,
+                                design.T @ (y - mu) - fit["lambda"] * scale * pen @ b)
+    mu = 1 / (1 + np.exp(-design @ b))
+    assert abs(fit["deviance"] - -2 * (y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum()) < 1e-5
+    assert abs(fit["beta"][-1] - b[-1] / z.std()) < 1e-5
+    assert smooth_test(fit)[2] < 1e-10
+    rows = {r.term: r for r in summary_frame(spark, fit).collect()}
+    assert rows["z"].p_value < 1e-3 and rows["s(x)"].estimate is None
+
+
+def test_fits_that_run_off_say_so(spark):
+    from carelog.operators.splines import NotConverged, gam_fit
+    import pytest
+    data = [(float(i), float(i >= 50)) for i in range(100)]
+    df = spark.createDataFrame(data, "x double, y double")
+    with pytest.raises(NotConverged):
+        gam_fit(df, "y", "x", family="binomial", max_iter=12)
+    with pytest.raises(ValueError):
+        gam_fit(df.filter("y = 1"), "y", "x", family="binomial")
+    row = S.logistic_regression(df.withColumn("g", F.when(F.col("y") == 1, "a").otherwise("b")), "y", [], factor="g",
+                                levels=["b", "a"]).first()
+    assert row.separated
+
+
+def test_pairwise_transition_chisq(spark):
+    from carelog.plans import report as R
+    low, mid, high = R.PHENO
+    cells = {(low, low): 12, (low, mid): 5, (low, high): 3, (mid, low): 4, (mid, mid): 9, (mid, high): 6, (high, low): 2, (high, high): 20}
+    rows = [(a, b) for (a, b), n in cells.items() for _ in range(n)] + [(None, low), (low, None)]
+    df = spark.createDataFrame(rows, "day1_compliance string, day2_compliance string")
+    got = {(r.destination, r.against): r for r in R.transition_chisq(df).collect()}
+    assert len(got) == 6
+    for (goal, other), r in got.items():
+        n = lambda o, there: sum(c for (a, b), c in cells.items() if a == o and (b == goal) == there)
+        t = np.array([[n(goal, True), n(goal, False)], [n(other, True), n(other, False)]], float)
+        e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
+        want = ((t - e) ** 2 / e).sum()
+        assert abs(r.statistic - want) < 1e-9 and r.df == 1 and abs(r.p_value - math.erfc(math.sqrt(want / 2))) < 1e-9
 
 
 def test_chisq_transpose_invariant(spark):
