@@ -9,6 +9,10 @@ driver tables (``sources.fixtures``).
 
 from __future__ import annotations
 
+import hashlib
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from carelog.plans import combined as CB
@@ -17,37 +21,46 @@ from carelog.plans import oracle_sql as O
 from carelog.plans import oxygen as OX
 from carelog.plans import pf as PF
 from carelog.plans import sofa as SOFA
-from carelog.session import materialize
-from carelog.sources.fixtures import derive
+from carelog.session import step_table
+from carelog.sources.fixtures import derive, source_key
 
 from carelog.plans.registry import ORACLE, QUERIES, register, round_doubles  # noqa: F401
 
 
 # ------------------------------------------------------------- pipelines
-def _t(spark, sf_dir):
-    return derive(spark, sf_dir)
+def _t(spark, sf_dir, *names):
+    return derive(spark, sf_dir, names or None)
 
 
 def _oxygen(t):
     return OX.oxygen_therapy(t["respiratorycharting"], t["nursecharting"], t["treatment"], t["patient"])
 
 
-def _first_pf(t, ox=None):
-    return PF.first_pfratio(t, ox if ox is not None else _oxygen(t))
+@cache
+def _code() -> str:
+    """Names this version of the library's code."""
+    here = Path(__file__).resolve().parent.parent
+    files = [p for d in ("functions", "operators", "plans", "sources") for p in sorted((here / d).glob("*.py"))]
+    return hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:8]
+
+
+def _steps(spark, sf_dir):
+    """``step(name, make)``: the study's table steps, written once for each state of sources and code."""
+    key = f"{source_key(spark, sf_dir)}-{_code()}"
+    return lambda name, make: step_table(spark, name, key, make)
+
+
+def _first_pf(t, step=None):
+    return PF.first_pfratio(t, _oxygen(t), step=step)
 
 
-def _combined(t, persist: bool = False):
-    """Analysis table and compliance rows.  With ``persist`` the study's
-    table steps (compliance, first P/F, SOFA, analysis table) are written to
-    the checkpoint folder and read back, as the study materialises them."""
-    lc = CMP.lung_compliance(t["respiratorycharting"])
-    fp = _first_pf(t)
-    so = SOFA.sofa(t)
-    if persist:
-        lc, fp, so = materialize(lc, "lungcompliance"), materialize(fp, "first_pfratio"), materialize(so, "sofa")
-    cm = CB.combined(fp, lc, so, t["vitalperiodic"], t["lab"], t["diagnosis"])
-    if persist:
-        cm = materialize(cm, "combined")
+def _combined(spark, sf_dir):
+    """Analysis table and compliance rows, as written steps like the study's own tables."""
+    t, step = _t(spark, sf_dir), _steps(spark, sf_dir)
+    lc = step("lungcompliance", lambda: CMP.lung_compliance(t["respiratorycharting"]))
+    fp = step("first_pfratio", lambda: _first_pf(t, step))
+    so = step("sofa", lambda: SOFA.sofa(t))
+    cm = step("combined", lambda: CB.combined(fp, lc, so, t["vitalperiodic"], t["lab"], t["diagnosis"]))
     return cm, lc
 
 
@@ -79,23 +92,22 @@ def pipe_mech_vent(spark, sf_dir):
 
 @register("pipe_compliance", O.compliance_sql())
 def pipe_compliance(spark, sf_dir):
-    return round_doubles(CMP.lung_compliance(_t(spark, sf_dir)["respiratorycharting"]))
+    return round_doubles(CMP.lung_compliance(_t(spark, sf_dir, "respiratorycharting")["respiratorycharting"]))
 
 
 @register("pipe_pf", O.pf_sql())
 def pipe_pf(spark, sf_dir):
-    return round_doubles(_first_pf(_t(spark, sf_dir)))
+    return round_doubles(_first_pf(_t(spark, sf_dir), _steps(spark, sf_dir)))
 
 
 @register("pipe_combined", O.combined_sql())
 def pipe_combined(spark, sf_dir):
-    return round_doubles(_combined(_t(spark, sf_dir), persist=True)[0])
+    return round_doubles(_combined(spark, sf_dir)[0])
 
 
 @register("pipe_day12", O.day12_sql())
 def pipe_day12(spark, sf_dir):
-    cm, lc = _combined(_t(spark, sf_dir), persist=True)
-    return round_doubles(CB.day12(lc, cm))
+    return round_doubles(_day12_df(spark, sf_dir))
 
 
 # --------------------------------------------------------------- report
@@ -103,12 +115,12 @@ from carelog.plans import report as R  # noqa: E402
 
 
 def _report_df(spark, sf_dir):
-    return materialize(R.prepare(_combined(_t(spark, sf_dir), persist=True)[0]), "analysis")
+    return _steps(spark, sf_dir)("analysis", lambda: R.prepare(_combined(spark, sf_dir)[0]))
 
 
 def _day12_df(spark, sf_dir):
-    cm, lc = _combined(_t(spark, sf_dir), persist=True)
-    return materialize(CB.day12(lc, cm), "day12")
+    cm, lc = _combined(spark, sf_dir)
+    return _steps(spark, sf_dir)("day12", lambda: CB.day12(lc, cm))
 
 
 def _prep_sql() -> str:
@@ -166,21 +178,19 @@ def report_durations(spark, sf_dir):
     return round_doubles(R.duration_table(_report_df(spark, sf_dir)), 7)
 
 
-@register("report_mortality_chisq", f"""with p as {_prep_sql()}
-select * from ({_union(
-    f"select '{o}' outcome, round(max(nn) * sum(cast(n as double) * n / (rt * ct)) - max(nn), 6) statistic, "
-    f"cast((count(distinct r) - 1) * (count(distinct k) - 1) as bigint) df from ("
-    f"select *, sum(n) over (partition by r) rt, sum(n) over (partition by k) ct, sum(n) over () nn from ("
-    f"select {c} r, compliance_level k, count(*) n from p where {c} is not null and compliance_level is not null "
-    f"group by 1, 2) a) b" for o, c in (("icu", "unitdischargestatus"), ("hospital", "hospitaldischargestatus")))}) x""")
+@register("report_mortality_chisq", f"""with p as {_prep_sql()},
+t as ({_union(f"select '{o}' outcome, {c} r, compliance_level k from p where {c} is not null and compliance_level is not null"
+              for o, c in (("icu", "unitdischargestatus"), ("hospital", "hospitaldischargestatus")))}),
+c as (select outcome, r, k, count(*) o from t group by all),
+n as (select *, sum(o) over (partition by outcome) total,
+             cast(sum(o) over (partition by outcome, r) as double) * sum(o) over (partition by outcome, k)
+               / sum(o) over (partition by outcome) e from c),
+s as (select outcome, max(total) * (sum(o * o / e / total) - 1) statistic,
+             cast((count(distinct r) - 1) * (count(distinct k) - 1) as bigint) df from n group by outcome)
+select outcome, round(statistic, 6) statistic, df,
+       round(case df when 2 then exp(-statistic / 2) when 4 then exp(-statistic / 2) * (1 + statistic / 2) end, 6) p_value from s""")
 def report_mortality_chisq(spark, sf_dir):
-    """ST1 on the analysis table: ICU and hospital outcome by phenotype."""
-    return round_doubles(R.mortality_tests(_report_df(spark, sf_dir)).select("outcome", "statistic", "df"))
-
-
-@register("report_mortality_chisq_p")
-def report_mortality_chisq_p(spark, sf_dir):
-    """ST1 with p-values (regularized gamma; checked in tests)."""
+    """ST1 on the analysis table: ICU and hospital outcome by phenotype (df 2: p = exp(-x/2))."""
     return round_doubles(R.mortality_tests(_report_df(spark, sf_dir)))
 
 
@@ -223,27 +233,34 @@ def report_transition_pf_tests(spark, sf_dir):
     return round_doubles(R.transition_pf_tests(_day12_df(spark, sf_dir)))
 
 
+@register("report_transition_chisq", f"""with d as ({O.day12_sql(False)}),
+pairs as (select a.p destination, b.p against from (values {", ".join(f"('{p}')" for p in R.PHENO)}) a(p)
+          join (values {", ".join(f"('{p}')" for p in R.PHENO)}) b(p) on a.p <> b.p),
+f as (select destination, against,
+             count(*) filter (where day1_compliance = destination and day2_compliance = destination) a,
+             count(*) filter (where day1_compliance = destination and day2_compliance <> destination) b,
+             count(*) filter (where day1_compliance = against and day2_compliance = destination) c,
+             count(*) filter (where day1_compliance = against and day2_compliance <> destination) d
+      from pairs, d group by all),
+s as (select *, cast(a + b + c + d as double) * power(a * d - b * c, 2)
+                / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) x from f where a + b + c + d > 0)
+select destination, against, round(coalesce(x, 0), 6) statistic, cast(case when x is null then 0 else 1 end as bigint) df,
+       round({O.chisq1_tail("x")}, 6) p_value from s""")
+def report_transition_chisq(spark, sf_dir):
+    """ST2: the six pairwise 2x2 tests of day-2 phenotypes, from the pairs' counts."""
+    return round_doubles(R.transition_chisq(_day12_df(spark, sf_dir)))
+
+
 @register("report_gam")
 def report_gam(spark, sf_dir):
-    """ST6/ST8 on the analysis table: compliance ~ s(P/F) + SOFA + age + BMI
-    (gaussian) and hospital death ~ s(compliance) + P/F + age + BMI + SOFA
-    (binomial); the study's duplicated linear P/F term is left out."""
-    from carelog.operators.splines import gam_fit, summary_frame
-    d = _report_df(spark, sf_dir)
-    a = gam_fit(d, "lung_compliance", "pfratio", ["sofatotal", "age", "bmi"], family="gaussian")
-    b = gam_fit(d, "mortality_num", "lung_compliance", ["pfratio", "age", "bmi", "sofatotal"], family="binomial")
-    out = (summary_frame(spark, a).withColumn("model", F.lit("compliance~s(pfratio)"))
-           .unionByName(summary_frame(spark, b).withColumn("model", F.lit("mortality~s(lung_compliance)"))))
-    return round_doubles(out)
+    """ST6/ST8: the four smooth models' terms (checked in tests against an independent solve)."""
+    return round_doubles(R.smooth_summaries(_report_df(spark, sf_dir)))
 
 
 @register("report_gam_curves")
 def report_gam_curves(spark, sf_dir):
-    """ST7 on the analysis table: probability of death along compliance, with band."""
-    from carelog.operators.splines import gam_fit, partial_effect
-    d = _report_df(spark, sf_dir)
-    b = gam_fit(d, "mortality_num", "lung_compliance", [], family="binomial")
-    return round_doubles(partial_effect(spark, b))
+    """ST7: the four fitted curves with bands, other terms at their medians."""
+    return round_doubles(R.smooth_curves(_report_df(spark, sf_dir)))
 
 
 # driver-table queries register themselves on import

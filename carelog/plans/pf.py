@@ -96,17 +96,14 @@ def ards_stays(diagnosis: DataFrame) -> DataFrame:
     return diagnosis.filter(pred).select(STAY).distinct()
 
 
-def first_pfratio(t: dict[str, DataFrame], oxygen: DataFrame, ibw_formula: str = "study",
-                  persist: bool = True) -> DataFrame:
+def first_pfratio(t: dict[str, DataFrame], oxygen: DataFrame, ibw_formula: str = "study", step=None) -> DataFrame:
     """The study's ``patient_first_pfratio`` table (one row per stay).
 
-    The cohort (one row per qualifying stay-session) feeds three branches; with
-    ``persist`` it is written once to the checkpoint folder, so the oxygen
-    sessions behind it are computed once instead of per branch."""
-    cohort = ventilated_cohort(t["patient"], t["apachepredvar"], oxygen, ibw_formula)
-    if persist:
-        from carelog.session import materialize
-        cohort = materialize(cohort, "ventilated_cohort")
+    The cohort (one row per qualifying stay-session) feeds three branches.  With
+    ``step(name, make)`` (see ``session.step_table``) it is a written table, so the
+    oxygen sessions behind it are computed once instead of per branch."""
+    make = lambda: ventilated_cohort(t["patient"], t["apachepredvar"], oxygen, ibw_formula)
+    cohort = step("ventilated_cohort", make) if step else make()
     best = index_pf(t["lab"], t["respiratorycharting"], cohort)
     # earliest qualifying session of the stay carries the session columns
     first_session = pick_first(cohort, STAY, ["vent_start", "vent_duration"],

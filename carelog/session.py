@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +30,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
                .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # local data is a few MB: without this AQE folds each shuffle into
-            # one partition and the CPU-heavy stage after it onto one core.
-            # Cluster sessions keep the defaults.
-            builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**_JOB_CONF, **(extra or {})}.items():
@@ -50,26 +44,58 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present; a private temporary
-    folder is created only when the session has none (local runs, tests).
+    The cluster's setting is always used.  Without one, a private temporary folder
+    serves local runs and tests; elsewhere executors would write to their own disks,
+    so this raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="carelog-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back
-    (the drop-and-create table step of a pipeline).
+def _path(spark: SparkSession, path: str):
+    """Hadoop path and its file system (any store that Spark reads)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    Cuts lineage (a lost executor recomputes from the written table, not from
-    the raw scans), keeps later plans small, and lets AQE see real sizes.
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """A finished write lies at ``path``."""
+    where, fs = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *more: str) -> str:
+    """Changes when a file below ``paths`` changes in name, size or time, or ``more`` does."""
+    found = []
+    for path in paths:
+        where, fs = _path(spark, path)
+        for f in fs.globStatus(where) or []:
+            files = fs.listStatus(f.getPath()) if f.isDirectory() else [f]
+            found += sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in files)
+    return hashlib.sha1(repr((found, more)).encode()).hexdigest()[:16]
+
+
+def step_table(spark: SparkSession, name: str, key: str, make) -> DataFrame:
+    """The table ``name`` for ``key``: written once from ``make()``, then read by all later steps.
+
+    Cuts lineage (a lost executor recomputes from the written table), keeps later
+    plans small, and lets AQE see real sizes.  Tables of the same name with another
+    key, whose sources or code have changed, are removed when it is written.
     """
-    spark = spark or df.sparkSession
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    base = f"{checkpoint_dir(spark)}/carelog-steps"
+    path = f"{base}/{name}/{key}"
+    df = make()
+    if not table_exists(spark, path):
+        df.write.mode("overwrite").parquet(path)
+        where, fs = _path(spark, f"{base}/{name}")
+        for other in fs.listStatus(where):
+            if other.getPath().getName().split("-")[0] == key.split("-")[0] and other.getPath().getName() != key:
+                fs.delete(other.getPath(), True)
     return spark.read.schema(df.schema).parquet(path)
