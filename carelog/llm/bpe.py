@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import append, free_name, pieces, table, texts_of
+from .common import append, free_name, pieces, table, texts_of, tidy
 
-MAX_WORDS = 300_000
+MAX_WORDS = 250_000
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int32).max
@@ -143,7 +143,7 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, i
             got = [x.tolist() for x in bpe.encode(texts_of(b, text))]
             yield append(b, [ids], [pa.array(got, pa.list_(pa.int32()))])
 
-    return docs.mapInArrow(run, _with(docs, f"{ids} array<int>"))
+    return docs.mapInArrow(tidy(run), _with(docs, f"{ids} array<int>"))
 
 
 def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
@@ -156,7 +156,7 @@ def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None, text:
             got = [bpe.decode(np.array(x or [], np.int32)) for x in b.column(ids).to_pylist()]
             yield append(b, [text], [pa.array(got, pa.string())])
 
-    return docs.mapInArrow(run, _with(docs, f"{text} string"))
+    return docs.mapInArrow(tidy(run), _with(docs, f"{text} string"))
 
 
 def round_trip_digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -172,14 +172,14 @@ def round_trip_digests(docs: DataFrame, text: str = "text", path: str | None = N
 
     def run(batches):
         bpe = Bpe(path)
-        for b in pieces(batches, text, 4 << 20):
+        for b in pieces(batches, text, 2 << 20):
             ids = bpe.encode(texts_of(b, text))
             made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(bpe.listed(x)) for x in ids]),
                     pa.array([sha(bpe.decode(x)) for x in ids])]
             yield append(b.select(rest), names, made)
 
     kept = docs.select(*rest)
-    return docs.mapInArrow(run, _with(kept, f"{names[0]} long, {names[1]} string, {names[2]} string"))
+    return docs.mapInArrow(tidy(run), _with(kept, f"{names[0]} long, {names[1]} string, {names[2]} string"))
 
 
 def _with(docs: DataFrame, more: str) -> StructType:

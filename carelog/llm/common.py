@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -69,6 +70,22 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             yield b.slice(a, z - a)
 
 
+def tidy(run):
+    """``run`` (batches in, batches out), with its memory given back when it ends.
+
+    Python workers are reused, and what the allocators keep would count against the
+    tasks that come after.
+    """
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(text).to_pylist()]
@@ -109,4 +126,4 @@ def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             yield b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).drop_columns([name])
 
     keyed = df.withColumn(name, F.pmod(F.xxhash64(column), F.lit(cells)))
-    return keyed.mapInArrow(run, df.schema)
+    return keyed.mapInArrow(tidy(run), df.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import UPPER, append, free_name, pieces, saved, table, texts_of
+from .common import UPPER, append, free_name, pieces, saved, table, texts_of, tidy
 
 #: Fixed values of the contract.
 WINDOW = 13
@@ -77,7 +77,7 @@ def windows_of(benchmark: DataFrame, text: str, item: str) -> DataFrame:
                                               pa.array(terms, pa.list_(pa.string()))], ["item", "wid", "terms"])
 
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    return items.mapInArrow(run, "item string, wid string, terms array<string>")
+    return items.mapInArrow(tidy(run), "item string, wid string, terms array<string>")
 
 
 def bitmaps(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -91,7 +91,7 @@ def bitmaps(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 cells.update(((1 << TERM_BITS) + _pair_cells(h).astype(np.int64)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(sorted(cells), pa.int64())], ["cell"])
 
-    cells = windows.select("terms").mapInArrow(run, "cell long").select((F.col("cell") + 1).alias("c"))
+    cells = windows.select("terms").mapInArrow(tidy(run), "cell long").select((F.col("cell") + 1).alias("c"))
     got = (cells.groupBy(F.expr("bitmap_bucket_number(c)").alias("b"))
            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect())
     bits = np.zeros((1 << TERM_BITS) + (1 << PAIR_BITS), bool)
@@ -137,7 +137,7 @@ def postings(docs: DataFrame, maps: tuple[np.ndarray, np.ndarray, int], text: st
             yield append(b.select(rest), names, [pa.array(keys), pa.array(sizes, pa.int64()), pa.array(lists, kind)])
 
     more = StructType.fromDDL(f"{names[0]} string, {names[1]} long, {names[2]} array<struct<term:string,positions:array<int>>>")
-    return docs.mapInArrow(run, StructType([*docs.select(*rest).schema.fields, *more.fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.select(*rest).schema.fields, *more.fields]))
 
 
 def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, likely, lower_bytes, pieces, saved, table, texts_of
+from .common import discard, likely, lower_bytes, pieces, saved, table, texts_of, tidy
 from .components import components
 
 #: Shingles counted this often in one task enter the global count.
@@ -122,7 +122,7 @@ def describe(docs: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(s.view(np.int64)), pa.array(c)], names)
 
     slim = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "id long, n long, sid long, token long, count long")
+    return slim.mapInArrow(tidy(run), "id long, n long, sid long, token long, count long")
 
 
 def frequent_order(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: st
                 yield pa.RecordBatch.from_arrays([pa.array(made[0].view(np.int64)), *map(pa.array, made[1:])],
                                                  ["token", "part", "sid", "n", "pos"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, part int, sid long, n int, pos int")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "token long, part int, sid long, n int, pos int")
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, text: str, row_id: str, width
 
     texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = likely(texts, "id", wanted.select("id"))
-    return texts.join(wanted, "id").select("sid", "text").mapInArrow(run, "sid long, s binary")
+    return texts.join(wanted, "id").select("sid", "text").mapInArrow(tidy(run), "sid long, s binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lower_bytes, pieces, saved, table, texts_of
+from .common import lower_bytes, pieces, saved, table, texts_of, tidy
 
 CONTEXT, SCORED = 8, 16
 DIM, CLASSES, ROWS = 16, 32, 8192
@@ -406,7 +406,7 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
         if streams:
             yield from flush()
 
-    return docs.select("text", "pick").mapInArrow(run, "kind string, key long, count long, ids binary")
+    return docs.select("text", "pick").mapInArrow(tidy(run), "kind string, key long, count long, ids binary")
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -442,7 +442,7 @@ def train(gathered: DataFrame, shared) -> np.ndarray:
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([model.theta.tobytes()], pa.binary()), pa.array([float(used)])], ["theta", "used"])
 
-        done = gathered.where((F.col("kind") == "window") & (F.col("key") == turn)).select("ids").mapInArrow(run, "theta binary, used double")
+        done = gathered.where((F.col("kind") == "window") & (F.col("key") == turn)).select("ids").mapInArrow(tidy(run), "theta binary, used double")
         sums = done.rdd.map(lambda r: (np.frombuffer(r["theta"], np.float32) * np.float32(r["used"]), r["used"]))
         add = lambda a, x: (a[0] + x[0], a[1] + x[1])
         total = sums.treeAggregate((np.float32(0), 0.0), add, add, 2)
@@ -484,7 +484,7 @@ def score_texts(docs: DataFrame, vocab, shared, theta: np.ndarray) -> DataFrame:
             number += len(rows)
 
     more = StructType.fromDDL("row long, n_tokens long, base_known double, n_sent long, rare array<long>, score double")
-    return docs.mapInArrow(run, StructType([*docs.select(*rest).schema.fields, *more.fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.select(*rest).schema.fields, *more.fields]))
 
 
 def lm_scores(docs: DataFrame, text: str = "text", row_id: str = "doc_id", held_out=None,

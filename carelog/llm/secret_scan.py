@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, free_name, pieces, table, texts_of
+from .common import append, free_name, pieces, table, texts_of, tidy
 
 #: Fixed values of the contract.
 KINDS = ("assign", "access", "hex", "random")
@@ -98,7 +98,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", vocab: tuple[str, str] | N
                      for t in texts_of(b, text)]
             yield append(b, [spans], [pa.array(found, kind)])
 
-    return docs.mapInArrow(scan, _schema(docs, f"{spans} array<struct<start:int,end:int,kind:string>>"))
+    return docs.mapInArrow(tidy(scan), _schema(docs, f"{spans} array<struct<start:int,end:int,kind:string>>"))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]",
@@ -124,7 +124,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]",
             new = pa.array([clean(scanner, t) for t in b.column(text).to_pylist()], b.schema.field(text).type)
             yield b.set_column(b.schema.names.index(text), text, new)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)
 
 
 def _schema(docs: DataFrame, more: str):

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, saved, table
+from .common import pieces, saved, table, tidy
 
 LENGTH, GRAM = 400, 128
 GROUP, BATCH = 512, 4096
@@ -129,7 +129,7 @@ def find_contexts(docs: DataFrame, text: str) -> DataFrame:
                 made = [pa.array(np.concatenate(c)) for c in cols[:5]]
                 yield pa.RecordBatch.from_arrays([*made, pa.array(cols[5], pa.binary())], ["t", "h", "pos", "lo", "hi", "digest"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "t long, h long, pos long, lo long, hi long, digest binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "t long, h long, pos long, lo long, hi long, digest binary")
 
 
 def text_key(data: bytes) -> int:
@@ -204,7 +204,7 @@ def sort_groups(rows: DataFrame) -> DataFrame:
             yield flush(held)
 
     return (rows.select("t", "g", "pos", "lo", "hi", "bytes").repartition("g").sortWithinPartitions("g")
-            .mapInArrow(run, "t long, a long, z long"))
+            .mapInArrow(tidy(run), "t long, a long, z long"))
 
 
 def fetch_bytes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -226,10 +226,10 @@ def fetch_bytes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds)], ["t", "g", "pos", "lo", "hi", "bytes"])
 
-    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(keyed, "t long, text string")
+    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(tidy(keyed), "t long, text string")
     lists = wanted.groupBy("t").agg(F.collect_list(F.struct("g", "pos", "lo", "hi")).alias("wanted"))
     return (texts.join(lists, "t").select("t", "text", "wanted")
-            .mapInArrow(run, "t long, g binary, pos long, lo long, hi long, bytes binary").dropDuplicates(["t", "g", "lo"]))
+            .mapInArrow(tidy(run), "t long, g binary, pos long, lo long, hi long, bytes binary").dropDuplicates(["t", "g", "lo"]))
 
 
 def narrow(rows: DataFrame, width: int) -> DataFrame:
@@ -256,7 +256,7 @@ def narrow(rows: DataFrame, width: int) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(m, x) for m, x in zip(made, kinds)], ["t", "g", "pos", "lo", "hi", "bytes", "digest"])
 
-    return rows.mapInArrow(run, "t long, g binary, pos long, lo long, hi long, bytes binary, digest binary")
+    return rows.mapInArrow(tidy(run), "t long, g binary, pos long, lo long, hi long, bytes binary, digest binary")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -337,13 +337,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                                              [*rest, "n_bytes", "kept", "spans"])
 
     with_key = StructType([*docs.schema.fields, *StructType.fromDDL("t long").fields])
-    rows = docs.mapInArrow(keyed, with_key)
+    rows = docs.mapInArrow(tidy(keyed), with_key)
     copies = rows.groupBy("t").agg(F.count("*").alias("copies")).where("copies > 1")
     notes = found.join(copies, "t", "full_outer")
     joined = rows.join(notes, "t", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     schema = StructType([*docs.select(*rest).schema.fields,
                          *StructType.fromDDL("n_bytes long, kept binary, spans array<struct<a:long,z:long>>").fields])
-    return joined.select(*docs.columns, "found", "copies").mapInArrow(run, schema)
+    return joined.select(*docs.columns, "found", "copies").mapInArrow(tidy(run), schema)
 
 
 def op9_suffix_dedup(spark, sf_dir):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import append, free_name, likely, lower_bytes, pieces, saved, table, texts_of
+from .common import append, free_name, likely, lower_bytes, pieces, saved, table, texts_of, tidy
 
 #: Category: SQL condition on a row of labels, in the order of the chain.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     texts = likely(docs.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")), "id", drawn.select("id"))
     joined = texts.join(drawn, "id").select("id", "text", *marks)
     schema = StructType([f for f in joined.schema.fields if f.name != "text"] + StructType.fromDDL("words binary").fields)
-    got = joined.mapInArrow(to_words, schema).collect()
+    got = joined.mapInArrow(tidy(to_words), schema).collect()
     if not got:
         return []
     got.sort(key=lambda r: (r["id"], bytes(r["words"])))
@@ -216,7 +216,7 @@ def score(docs: DataFrame, chain: list[Linear], names: list[str], text: str = "t
             yield append(b, names, [pa.array(m, pa.float64()) for m in made])
 
     fields = StructType.fromDDL(", ".join(f"`{n}` double" for n in names)).fields
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id",
