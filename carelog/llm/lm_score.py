@@ -69,7 +69,7 @@ class Words:
 
     LIMIT = 400_000
 
-    def __init__(self, vocab: tuple[str, str], counts: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, vocab: tuple[str, str], counts: tuple[np.ndarray, np.ndarray] | None = None, forget: bool = True):
         import tiktoken
         import xxhash
         path, pattern = vocab
@@ -81,6 +81,7 @@ class Words:
         self.size[list(ranks.values())] = [len(b) for b in ranks]
         # (bytes that may begin) white space that does not part words, and what is no UTF-8
         self.odd_space = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a|\xe2[\x80\x81]|\xe3\x80\x80|\xed[\xa0-\xbf]").search
+        self.forget = forget
         self.clear()
 
     def clear(self) -> None:
@@ -91,11 +92,11 @@ class Words:
 
     def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Rows of the words of each text."""
-        if len(self.row) > self.LIMIT:
+        if self.forget and len(self.row) > self.LIMIT:
             self.clear()
         new = set().union(*texts) - self.row.keys()
         if new:
-            odd = [w for w in new if self.odd_space(w)]
+            odd = [w for w in new if self.odd_space(w)] if self.odd_space(b" ".join(new)) else []
             new = [*(new - set(odd)), *odd]
             first = len(self.row)
             self.row.update(zip(new, range(first, first + len(new))))
@@ -249,7 +250,7 @@ class Attention:
         order = np.lexsort((ids, -c))
         ids, c = ids[order], c[order]
         # the most frequent ids have rows of their own, the others share them by remainder
-        self.row = np.arange(1 << 16) % (ROWS - 2)
+        self.row = np.arange(1 << 16, dtype=np.int32) % (ROWS - 2)
         self.row[ids[:ROWS - 2]] = np.arange(min(len(ids), ROWS - 2))
         self.row[START], self.row[PAD] = ROWS - 2, ROWS - 1
         share = np.full(1 << 16, 0.1)
@@ -290,8 +291,8 @@ class Attention:
         q, k, v = self.q[r[:, CONTEXT:]], self.k[r], self.v[r]
         z = q @ k.transpose(0, 2, 1)
         z += np.where(self.causal, self.far[self.distance], -1e9).astype(np.float32)
-        if (seen[:, 0] == PAD).any():
-            z += np.where(seen == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        early = np.flatnonzero(seen[:, 0] == PAD)  # windows that begin before their text
+        z[early] += np.where(seen[early] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
         a, weight = _odds(z)
         h = (a @ v) / weight
         e, total = _odds((h.reshape(-1, DIM) @ self.out + self.bias).reshape(*h.shape[:2], CLASSES))
@@ -367,14 +368,15 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(n, pa.binary())], names)
 
     def run(batches):
-        words = Words(vocab)
+        words = Words(vocab, forget=False)  # flushed with the counts
         met: list[np.ndarray] = []
         streams: list[np.ndarray] = []
         size = 0
 
         def flush():
-            h, c = np.unique(np.concatenate(met), return_counts=True)
-            yield block("word", h, c)
+            c = np.bincount(np.concatenate(met), minlength=len(words.hashes))
+            yield block("word", words.hashes[c > 0], c[c > 0])
+            words.clear()  # rows are counted, so they may change
             s = np.concatenate(streams).astype(np.int64)
             k, c = np.unique(s, return_counts=True)
             yield block("id1", k[k != PAD], c[k != PAD])
@@ -392,7 +394,7 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
             rows = words.rows([lower_bytes(t).split() for t in texts_of(b, "text")])
             ids = [words.subwords(r) for r in rows]
             for r, s in zip(rows, ids):
-                met.append(words.hashes[r])
+                met.append(r)
                 streams += [edge, s]
                 size += len(s)
             w, owner = windows(ids, b.column("pick").to_pylist())
