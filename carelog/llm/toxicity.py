@@ -39,6 +39,7 @@ from .common import append, free_name, likely, lower_bytes, pieces, saved, table
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SIGN = b"sign "
+CLIP = 8.0  # log-odds that a link passes on
 STEMS = (4, 5, 6)  # bytes of a word's beginning, which inflected forms share
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -71,7 +72,7 @@ class Linear:
     def log_odds(self, words: set[bytes], earlier: list[float]) -> float:
         z = self.bias + sum(map(self.words.__getitem__, words & self.words.keys()))
         z += sum(w * e for w, e in zip(self.earlier, earlier))
-        return max(-30.0, min(30.0, z))
+        return max(-CLIP, min(CLIP, z))
 
 
 class Rows:
@@ -100,12 +101,17 @@ class Rows:
     def log_odds(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         weight = np.array([model.words.get(w, 0.0) for w in self.vocabulary])
         z = model.bias + np.bincount(self.row, weight[self.col], self.n) + earlier @ np.array(model.earlier)
-        return np.clip(z, -30, 30)
+        return np.clip(z, -CLIP, CLIP)
 
 
 def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, use: np.ndarray,
         features: int, least_rows: int = 5, penalty: float = 5e-4, rounds: int = 250) -> Linear:
-    """L1-penalised weighted logistic regression on the rows ``use``, by accelerated proximal steps."""
+    """L1-penalised weighted logistic regression on the rows ``use``, by accelerated proximal steps.
+
+    The penalty grows as the rows get fewer, and holds for the earlier log-odds too,
+    which are scaled to the range of the other features.
+    """
+    earlier = earlier / CLIP
     w = np.where(use, weight, 0.0)
     total, positive = w.sum(), (w * y).sum()
     bias = math.log((positive + 0.5) / (total - positive + 0.5))
@@ -123,6 +129,8 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, use:
     inside = new[col] >= 0
     row, col = row[inside], new[col[inside]]
     k, m = len(chosen), earlier.shape[1]
+    rare = min(rate, 1 - rate)
+    penalty = max(penalty * rare, 0.03 * math.sqrt(rare / max(int(use.sum()), 1)))
     scale = w / max(total, 1e-9)
 
     def score(t):
@@ -144,12 +152,12 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, use:
         g = scale * (1 / (1 + np.exp(-np.clip(score(ahead), -30, 30))) - y)
         grad = np.concatenate([[g.sum()], earlier.T @ g, np.bincount(col, g[row], k)])
         moved = ahead - step * grad
-        moved[1 + m:] = np.sign(moved[1 + m:]) * np.maximum(np.abs(moved[1 + m:]) - step * penalty * min(rate, 1 - rate), 0)
+        moved[1:] = np.sign(moved[1:]) * np.maximum(np.abs(moved[1:]) - step * penalty, 0)
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead = moved + (t - 1) / t_next * (moved - theta)
         theta, t = moved, t_next
     words = {rows.vocabulary[c]: float(x) for c, x in zip(chosen, theta[1 + m:]) if x}
-    return Linear(float(theta[0]), words, [float(x) for x in theta[1:1 + m]])
+    return Linear(float(theta[0]), words, [float(x) / CLIP for x in theta[1:1 + m]])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, text: str = "text",
