@@ -57,19 +57,26 @@ def stay_reference_values(resp: DataFrame) -> DataFrame:
     """Per stay: ``first_tv`` (the smallest tidal volume, NULL when any TV entry
     is out of range - NULLs sort first), ``max_peep`` (day 1, offset <= 1440)
     and ``TV_IBW`` of the last-charted row of any label (NULL unless that row
-    is a TV/IBW entry; ties at the last minute take the largest value)."""
-    t = _typed(resp)
-    return t.groupBy(STAY).agg(
+    is a TV/IBW entry; ties at the last minute take the largest value).
+
+    The last minute is a plain maximum over all rows; only TV/IBW entries are
+    parsed to find the value charted at it."""
+    label = F.col("respchartvaluelabel")
+    t = _typed(resp.filter(label.isin(*TIDAL_VOLUME_LABELS, *PEEP_LABELS)))
+    ranges = t.groupBy(STAY).agg(
         F.when(F.count_if(F.col("is_tv") & F.col("tidal_volume").isNull()) > 0, F.lit(None))
          .otherwise(F.min("tidal_volume")).alias("first_tv"),
-        F.max(F.when(F.col("offset") <= 1440, F.col("peep"))).alias("max_peep"),
-        F.max_by("TV_IBW", F.struct("offset", "TV_IBW")).alias("TV_IBW"))
+        F.max(F.when(F.col("offset") <= 1440, F.col("peep"))).alias("max_peep"))
+    last = resp.groupBy(STAY).agg(F.max("respchartoffset").alias("offset"))
+    ibw = _typed(resp.filter(label == TV_IBW_LABEL)).groupBy(STAY, "offset").agg(F.max("TV_IBW").alias("TV_IBW"))
+    return ranges.join(last.join(ibw, [STAY, "offset"]).select(STAY, "TV_IBW"), STAY, "left")
 
 
 def lung_compliance(resp: DataFrame) -> DataFrame:
     """Rows of (stay, PEEP minute) with matched TV and plateau, compliance and
     phenotype label (L > 50, I 40..50, H < 40)."""
-    t = (_typed(resp).filter(F.col("offset").between(0, BUCKET_MIN * N_BUCKETS))
+    entries = resp.filter(F.col("respchartvaluelabel").isin(*TIDAL_VOLUME_LABELS, *PEEP_LABELS, PLATEAU_LABEL))
+    t = (_typed(entries).filter(F.col("offset").between(0, BUCKET_MIN * N_BUCKETS))
          .filter(F.col("peep").isNotNull() | F.col("tidal_volume").isNotNull()
                  | F.col("plateau_pressure").isNotNull())
          .withColumn("lung_time", C.bucket_label("offset", BUCKET_MIN, N_BUCKETS)))

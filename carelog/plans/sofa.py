@@ -115,7 +115,8 @@ def lab_aggregates(lab: DataFrame, window=DAY1) -> DataFrame:
     lowest platelets over the window (lower-cased name prefixes)."""
     name = F.lower("labname")
     v = F.col("labresult")
-    return (lab.filter(_between("labresultoffset", window))
+    wanted = name.startswith("pao2") | name.startswith("creatin") | name.startswith("total bili") | name.startswith("platelet")
+    return (lab.filter(_between("labresultoffset", window) & wanted)
             .groupBy(STAY).agg(F.min(F.when(name.startswith("pao2"), v)).alias("pao2"),
                                F.max(F.when(name.startswith("creatin"), v)).alias("creat"),
                                F.max(F.when(name.startswith("total bili"), v)).alias("bili"),

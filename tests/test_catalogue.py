@@ -88,6 +88,15 @@ def test_scan_pushdown_and_pruning(spark):
     assert len(patient) == 1 and "ReadSchema: struct<patientunitstayid:bigint,unitdischargeoffset:bigint>" in patient[0]
 
 
+def test_labels_reach_the_scan(spark):
+    from carelog.plans import compliance as CMP
+    from carelog.sources.fixtures import derive
+    plan = _plan(CMP.lung_compliance(derive(spark, SF001, ["respiratorycharting"])["respiratorycharting"]))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    labelled = [line for line in scans if "In(respchartvaluelabel, [" in line or "EqualTo(respchartvaluelabel," in line]
+    assert len(labelled) >= 3 and len(scans) - len(labelled) == 1  # the last one takes the last minute of any label
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
