@@ -130,7 +130,7 @@ def proportions(df: DataFrame, by: str, column: str, digits: int = 3) -> DataFra
 def flag_prevalence(df: DataFrame, by: str, flags: list[str], digits: int = 3) -> DataFrame:
     """For each boolean flag, the within-stratum share of FALSE and TRUE (each
     flag over its own non-NULL total)."""
-    pairs = ", ".join(f"'{f}', cast(`{f}` as boolean)" for f in flags)
+    pairs = ", ".join(f"'{_quoted(f)}', cast(`{f}` as boolean)" for f in flags)
     long = df.select(by, F.expr(f"stack({len(flags)}, {pairs}) as (flag, value)"))
     counts = long.filter(F.col("value").isNotNull()).groupBy(by, "flag", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(by, "flag")
@@ -237,6 +237,11 @@ def welch_t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return out.withColumn("p_value", t_pvalue("t", "df"))
 
 
+def _quoted(text) -> str:
+    """Text inside a SQL string literal."""
+    return str(text).replace("\\", "\\\\").replace("'", "\\'")
+
+
 def odds_ratios(df: DataFrame, outcome: str, group: str, levels: list, z: float = 1.959963984540054) -> DataFrame:
     """Unadjusted odds ratio of ``outcome`` (0/1) for each level of ``group``
     against the first level: cross-product ratio and Wald 95% CI.  Equal to the
@@ -249,10 +254,14 @@ def odds_ratios(df: DataFrame, outcome: str, group: str, levels: list, z: float
     for i, lv in enumerate(levels):
         g = F.col(group) == F.lit(lv)
         aggs += [F.count_if(g & (y == 1)).alias(f"e{i}"), F.count_if(g & (y == 0)).alias(f"n{i}")]
-    c = df.groupBy().agg(*aggs)
+    other = F.count_if(~F.col(group).isin(*levels) & y.isNotNull()).alias("_other")
+    c = df.groupBy().agg(*aggs, other)
+    # a value outside the levels would be lost without a word
+    c = c.filter(F.when(F.col("_other") == 0, True).otherwise(
+        F.raise_error(F.concat(F.col("_other").cast("string"), F.lit(f" rows of {group} are in none of the levels"))).cast("boolean")))
     parts = []
     for i, lv in enumerate(levels[1:], start=1):
-        parts.append(f"'{lv}', e{i}, n{i}, e0, n0")
+        parts.append(f"'{_quoted(lv)}', e{i}, n{i}, e0, n0")
     long = c.select(F.expr(f"stack({len(parts)}, {', '.join(parts)}) as ({group}, events, nonevents, _re, _rn)"))
     # an empty cell leaves the ratio undefined (NULL), not an error
     ok = (F.col("events") > 0) & (F.col("nonevents") > 0) & (F.col("_re") > 0) & (F.col("_rn") > 0)

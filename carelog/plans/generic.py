@@ -4,6 +4,8 @@ operator to whole tables, with a DuckDB oracle where SQL can express it."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from carelog.functions import clinical as C
@@ -16,7 +18,7 @@ from carelog.operators.flags import any_flags
 from carelog.operators.match import nearest_events, pick_first, rank_filter, within_window
 from carelog.plans.oracle_sql import rounded, rule_case, safe_dbl, safe_dec, safe_int as sql_int, t_tail
 from carelog.plans.registry import register, round_doubles
-from carelog.sources.tables import read_table
+from carelog.sources.tables import create_view, export_csv, read_csv, read_table, write_table
 
 # event time in whole minutes since the first day of the log
 MINUTE_SPARK = "timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
@@ -686,3 +688,46 @@ def partial_effect_q(spark, sf):
     from carelog.operators.splines import curve, gam_fit
     fit = gam_fit(_doc_quality(spark, sf), "quality", "kchars", ["toxic"], family="binomial")
     return round_doubles(curve(spark, fit))
+
+
+# ------------------------------------------------------ sources and sinks
+def _io_folder(spark, sf, name):
+    from carelog.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/carelog-io/{name}-{hashlib.sha1(str(sf).encode()).hexdigest()[:8]}"
+
+
+_CSV_SQL = """select c_custkey, case when c_mktsegment <> 'BUILDING' then c_mktsegment end segment,
+       case when c_acctbal >= 0 then c_acctbal end balance, round(c_acctbal, 2) < 100 low from customer"""
+
+
+def _csv_back(spark, sf, na, name):
+    """Writes customers as CSV and reads them back, with ``na`` as the text of NULL."""
+    customers = _t(spark, sf, "customer")
+    customers = customers.selectExpr("c_custkey", "case when c_mktsegment <> 'BUILDING' then c_mktsegment end segment",
+                                     "case when c_acctbal >= 0 then c_acctbal end balance", "round(c_acctbal, 2) < 100 low")
+    path = _io_folder(spark, sf, name)
+    export_csv(customers, path, na=na)
+    return read_csv(spark, path, schema=customers.schema, na=na)
+
+
+@register("csv_empty_na", _CSV_SQL)
+def csv_empty_na(spark, sf):
+    """SRC4, SNK3: CSV export and read, an empty field is NULL."""
+    return _csv_back(spark, sf, "", "csv-empty")
+
+
+@register("csv_na", _CSV_SQL)
+def csv_na(spark, sf):
+    """SRC5, SNK3: CSV export and read, ``NA`` is NULL."""
+    return _csv_back(spark, sf, "NA", "csv-na")
+
+
+@register("table_and_view", """select o_orderstatus status, count(*) n, round(sum(o_totalprice), 2) total,
+       count(distinct o_custkey) customers from orders where o_totalprice > 1000 group by 1""")
+def table_and_view(spark, sf):
+    """SNK1, SNK2: a written table, a view over it, and a query of the view."""
+    path = _io_folder(spark, sf, "orders")
+    write_table(_t(spark, sf, "orders").select("o_orderstatus", "o_custkey", "o_totalprice"), f"{path}/large.parquet")
+    create_view(read_table(spark, path, "large").filter("o_totalprice > 1000"), "large_orders")
+    return spark.sql("""select o_orderstatus status, count(*) n, round(sum(o_totalprice), 2) total,
+                               count(distinct o_custkey) customers from large_orders group by o_orderstatus""")

@@ -89,6 +89,15 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[s][c] - np.quantile(xs, p)) < 1e-12
 
 
+def test_levels_are_complete_and_may_hold_quotes(spark):
+    import pytest
+    df = spark.createDataFrame([("it's", 1), ("it's", 0), ("b", 1), ("b", 0), ("c", 1)], "g string, y int")
+    got = S.odds_ratios(df.filter("g <> 'c'"), "y", "g", ["b", "it's"]).first()
+    assert got.g == "it's" and abs(got.odds_ratio - 1) < 1e-12
+    with pytest.raises(Exception, match="none of the levels"):
+        S.odds_ratios(df, "y", "g", ["b", "it's"]).collect()
+
+
 def test_quantiles_with_ties_spread_over_ranges(spark):
     """Nine tenths of a stratum tied: counts per value keep every window small."""
     df = spark.range(40000).select(F.lit("a").alias("s"), F.when(F.col("id") % 10 > 0, 5.0).otherwise(F.col("id") / 7).alias("x"))
