@@ -208,7 +208,7 @@ def sort_groups(rows: DataFrame) -> DataFrame:
 
 
 def fetch_bytes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``wanted`` (t, g, pos, lo, hi) with the bytes from lo to hi + LENGTH."""
+    """``wanted`` (t, g, pos, lo, hi, k) with the bytes from lo to hi + LENGTH."""
     def keyed(batches):
         for b in pieces(batches, "text"):
             keys = [text_key(_data(v)) for v in b.column("text").to_pylist()]
@@ -216,20 +216,20 @@ def fetch_bytes(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches, "text"):
-            made = [[] for _ in range(6)]
+            made = [[] for _ in range(7)]
             for t, v, list_ in zip(b.column("t").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
                 data = _data(v)
                 for w in list_:
-                    row = (t, w["g"], w["pos"], w["lo"], w["hi"], data[w["lo"]:w["hi"] + LENGTH])
+                    row = (t, w["g"], w["pos"], w["lo"], w["hi"], data[w["lo"]:w["hi"] + LENGTH], w["k"])
                     for m, x in zip(made, row):
                         m.append(x)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds)], ["t", "g", "pos", "lo", "hi", "bytes"])
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(m, x) for m, x in zip(made, kinds)], ["t", "g", "pos", "lo", "hi", "bytes", "k"])
 
     texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(tidy(keyed), "t long, text string")
-    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("g", "pos", "lo", "hi")).alias("wanted"))
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "k")).alias("wanted"))
     return (texts.join(lists, "t").select("t", "text", "wanted")
-            .mapInArrow(tidy(run), "t long, g binary, pos long, lo long, hi long, bytes binary").dropDuplicates(["t", "g", "lo"]))
+            .mapInArrow(tidy(run), "t long, g binary, pos long, lo long, hi long, bytes binary, k long").dropDuplicates(["t", "g", "lo"]))
 
 
 def narrow(rows: DataFrame, width: int) -> DataFrame:
@@ -271,10 +271,9 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     groups = kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("twice").alias("all_twice")).where("k > 1 and not all_twice").drop("all_twice")
     wanted = saved(kinds.join(groups, "h").select(F.col("one.t").alias("t"), F.encode(F.hex("h"), "utf-8").alias("g"), F.col("one.pos").alias("pos"),
                                                   F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "k"), "wanted")
-    fetched = saved(fetch_bytes(docs, wanted.drop("k"), text), "bytes")
-    large = groups.where(F.col("k") > GROUP).select(F.encode(F.hex("h"), "utf-8").alias("g"))
-    spans = [whole, sort_groups(fetched.join(large, "g", "left_anti"))]
-    rest = fetched.join(large, "g", "left_semi")
+    fetched = saved(fetch_bytes(docs, wanted, text), "bytes")
+    spans = [whole, sort_groups(fetched.where(F.col("k") <= GROUP))]
+    rest = fetched.where(F.col("k") > GROUP)
     for width in WIDTHS:
         cut = saved(narrow(rest, width), "ranges")
         if not cut.limit(1).count():
