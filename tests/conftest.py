@@ -15,7 +15,7 @@ def spark():
 
     from carelog.session import get_spark
 
-    builder_conf = {}
+    builder_conf = {"spark.driver.memory": "4g", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
     active = SparkSession.getActiveSession()
     if active is None or not active.conf.get("spark.checkpoint.dir", None):
         # tests only: a private checkpoint folder when the session names none

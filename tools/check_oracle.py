@@ -41,7 +41,7 @@ def rows_of(cols, rows):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[8]", 8, extra={"spark.driver.memory": "4g"})
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
