@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelog.functions import clinical as C
-from carelog.functions.parse import digits_only, safe_decimal, safe_int
+from carelog.functions.parse import digits_only, safe_decimal, safe_int, to_numeric
 from carelog.functions.util import first_match
 
 STAY = "patientunitstayid"
@@ -76,15 +76,6 @@ def _between(c, lo_hi):
     return F.col(c).between(*lo_hi)
 
 
-def map_floor(vitalaperiodic: DataFrame, vitalperiodic: DataFrame, window=DAY1) -> DataFrame:
-    """Lowest non-invasive mean pressure, else lowest invasive mean pressure."""
-    nim = (vitalaperiodic.filter(_between("observationoffset", window))
-           .groupBy(STAY).agg(F.min("noninvasivemean").alias("_nim")))
-    im = (vitalperiodic.filter(_between("observationoffset", window))
-          .groupBy(STAY).agg(F.min("systemicmean").alias("_im")))
-    return nim.join(im, STAY, "full").select(STAY, F.coalesce("_nim", "_im").alias("map"))
-
-
 def vital_aggregates(vitalaperiodic: DataFrame, vitalperiodic: DataFrame, window=DAY1) -> DataFrame:
     """Per stay: lowest MAP (non-invasive first) and lowest SaO2 over the window."""
     vp = (vitalperiodic.filter(_between("observationoffset", window))
@@ -95,13 +86,13 @@ def vital_aggregates(vitalaperiodic: DataFrame, vitalperiodic: DataFrame, window
             .select(STAY, F.coalesce("_nim", "_im").alias("map"), "sao2"))
 
 
-def infusion_aggregates(infusiondrug: DataFrame, window=DRUG_WINDOW) -> DataFrame:
+def infusion_aggregates(infusiondrug: DataFrame, window=DRUG_WINDOW, strict: bool = False) -> DataFrame:
     """Per stay: max dopamine and norepinephrine rate (mcg/kg/min) and whether
     dobutamine ran at a non-zero rate.  Rates must be integer text of up to
     five digits."""
     name = F.lower("drugname")
     rate_ok = digits_only("drugrate", 1, 5)
-    rate = safe_decimal("drugrate")
+    rate = to_numeric("drugrate", strict)
     dopa = F.when(name.contains("dopamine"), C.vasopressor_rate("drugname", rate, "dopamine"))
     norepi = F.when(name.contains("norepinephrine"), C.vasopressor_rate("drugname", rate, "norepinephrine"))
     dobu = F.when(name.contains("dobutamin") & (F.col("drugrate") != "0"), F.lit(1))
@@ -146,7 +137,7 @@ def urine_day1(intakeoutput: DataFrame) -> DataFrame:
     return io.groupBy(STAY).agg(F.sum("outputtotal").alias("uo"))
 
 
-def gcs_sum(physicalexam: DataFrame, window=DAY1, how: str = "study") -> DataFrame:
+def gcs_sum(physicalexam: DataFrame, window=DAY1, how: str = "study", strict: bool = False) -> DataFrame:
     """GCS per stay from eye/verbal/motor entries in the window.
 
     ``study``: the sum of all entries of the window (may exceed 15, as the
@@ -155,9 +146,9 @@ def gcs_sum(physicalexam: DataFrame, window=DAY1, how: str = "study") -> DataFra
     is_gcs = path.contains("gcs/eyes") | path.contains("gcs/verbal") | path.contains("gcs/motor")
     rows = physicalexam.filter(is_gcs & _between("physicalexamoffset", window))
     if how == "worst":
-        per_exam = rows.groupBy(STAY, "physicalexamoffset").agg(F.sum(safe_decimal("physicalexamvalue")).alias("_t"))
+        per_exam = rows.groupBy(STAY, "physicalexamoffset").agg(F.sum(to_numeric("physicalexamvalue", strict)).alias("_t"))
         return per_exam.groupBy(STAY).agg(F.min("_t").alias("gcs"))
-    return rows.groupBy(STAY).agg(F.sum(safe_decimal("physicalexamvalue")).alias("gcs"))
+    return rows.groupBy(STAY).agg(F.sum(to_numeric("physicalexamvalue", strict)).alias("gcs"))
 
 
 def mech_vent(respiratorycare: DataFrame, resp: DataFrame, treatment: DataFrame,
@@ -189,15 +180,18 @@ def mech_vent(respiratorycare: DataFrame, resp: DataFrame, treatment: DataFrame,
     return j.select(STAY, F.when(any_, F.lit(1)).alias("mechvent"))
 
 
-def sofa_components(t: dict[str, DataFrame], gcs: str = "study") -> DataFrame:
-    """Per stay inputs and the six sub-scores (stay spine = patient table)."""
+def sofa_components(t: dict[str, DataFrame], gcs: str = "study", strict: bool = False) -> DataFrame:
+    """Per stay inputs and the six sub-scores (stay spine = patient table).
+
+    ``strict`` casts drug rates and exam values hard: malformed text fails the
+    query instead of counting as missing."""
     spine = t["patient"].select(STAY)
     vit = vital_aggregates(t["vitalaperiodic"], t["vitalperiodic"])
-    inf = infusion_aggregates(t["infusiondrug"])
+    inf = infusion_aggregates(t["infusiondrug"], strict=strict)
     lab = lab_aggregates(t["lab"])
     fio2 = fio2_pick(t["respiratorycharting"], t["nursecharting"])
     uo = urine_day1(t["intakeoutput"])
-    gcs = gcs_sum(t["physicalexam"], how=gcs)
+    gcs = gcs_sum(t["physicalexam"], how=gcs, strict=strict)
     j = (spine.join(vit, STAY, "left").join(inf, STAY, "left").join(lab, STAY, "left")
          .join(fio2, STAY, "left").join(uo, STAY, "left").join(gcs, STAY, "left"))
     pf = C.ratio_with_defaults("pao2", "fio2")
@@ -212,9 +206,9 @@ def sofa_components(t: dict[str, DataFrame], gcs: str = "study") -> DataFrame:
         C.sofa_cns("gcs").alias("sofacns"))
 
 
-def sofa(t: dict[str, DataFrame], gcs: str = "study") -> DataFrame:
+def sofa(t: dict[str, DataFrame], gcs: str = "study", strict: bool = False) -> DataFrame:
     """patientunitstayid, sofatotal (every stay of the patient table)."""
-    c = sofa_components(t, gcs)
+    c = sofa_components(t, gcs, strict)
     total = (F.col("sofa_cv") + F.col("sofa_respi") + F.col("sofarenal") + F.col("sofacoag")
              + F.col("sofaliver") + F.col("sofacns"))
     return c.select(STAY, total.cast("int").alias("sofatotal"))

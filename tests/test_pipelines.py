@@ -77,3 +77,14 @@ def test_gcs_options_and_vent_grouping(spark):
     study = {r.patientunitstayid: r.mechvent for r in mech_vent(rc, resp, tr, pat).collect()}
     strict = {r.patientunitstayid: r.mechvent for r in mech_vent(rc, resp, tr, pat, compat=False).collect()}
     assert study == {1: 1, 2: None} and strict == {1: None, 2: None}
+
+
+def test_strict_casts_fail_on_bad_text(spark):
+    import pytest
+
+    from carelog.plans.sofa import gcs_sum
+    exams = spark.createDataFrame([(1, 10, "notes/GCS/Eyes Score/4", "4"), (1, 10, "notes/GCS/Motor Score/x", "six")],
+                                  "patientunitstayid long, physicalexamoffset int, physicalexampath string, physicalexamvalue string")
+    assert gcs_sum(exams).first().gcs == 4
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|six"):
+        gcs_sum(exams, strict=True).collect()
