@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[DataFrame]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The written table cuts the lineage, is visible to every executor, and goes
-    when the application ends.
+    when the application ends, or with the ``scratch()`` block that it is written
+    in (``keep``: with the block around that one).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -47,9 +52,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    blocks = _SCRATCH[:-1] if keep else _SCRATCH
+    if blocks:
+        blocks[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """Tables saved inside go at the end: nothing that is returned may read them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        discard(*_SCRATCH.pop())
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of ``saved()`` that no later result reads."""
     for df in frames:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import UPPER, append, free_name, pieces, saved, table, texts_of, tidy
+from .common import UPPER, append, discard, free_name, pieces, saved, table, texts_of, tidy
 
 #: Fixed values of the contract.
 WINDOW = 13
@@ -190,6 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
              .select("key", F.explode("p").alias("p")).select("p.term", "key", "p.positions"))
     index = saved(index, "index")
     matches = saved(search(index, windows.select("wid", "terms").dropDuplicates(["wid"]), slop), "matches")
+    discard(index)
 
     ends = matches.groupBy("key", "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, likely, lower_bytes, pieces, saved, table, texts_of, tidy
+from .common import discard, likely, lower_bytes, pieces, saved, scratch, table, texts_of, tidy
 from .components import components
 
 #: Shingles counted this often in one task enter the global count.
@@ -363,8 +363,13 @@ def similar_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     """(id, n_shingles, class, component_id) of every row; ``class`` names the shingle set.
 
     ``component_id`` is the smallest id reachable over links and copies, the row's
-    own included.
+    own included.  The result is a written table; what it is made from goes.
     """
+    with scratch():
+        return saved(_groups(docs, text, row_id, width, num, block_shingles), "groups", keep=True)
+
+
+def _groups(docs: DataFrame, text: str, row_id: str, width: int, num: int, block_shingles: int) -> DataFrame:
     described = saved(describe(docs, text, row_id, width), "sets")
     everything = described.where("token is null").select("id", "n", "sid")
     rows = everything.where("id is not null")
