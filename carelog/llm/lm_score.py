@@ -49,8 +49,8 @@ from pyspark.sql.types import StructType
 from .common import lower_bytes, pieces, saved, table, texts_of, tidy
 
 CONTEXT, SCORED = 8, 16
-DIM, CLASSES, ROWS = 16, 32, 8192
-WINDOW_RATE, ROUNDS, RATE = 32, 3, 0.15
+DIM, CLASSES, ROWS = 16, 24, 8192
+WINDOW_RATE, ROUNDS, RATE = 64, 3, 0.15
 #: Most words sent out with their counts, and slots of the memory tables.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
 #: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids.
