@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from .common import append, free_name, pieces, table, texts_of, tidy
 
-MAX_WORDS = 250_000
+MAX_WORDS = 150_000
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int32).max

@@ -22,7 +22,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _UP_TO_LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+#: Rows of a batch sent to Python at most: texts are long, and batches are held in both processes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +58,7 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     in (``keep``: with the block around that one).
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelog.llm import bpe, decontaminate, jaccard_join, secret_scan, toxicity
-from carelog.llm.common import free_name, saved, table
+from carelog.llm.common import free_name, saved, small_batches, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -40,6 +40,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def redact_secrets(spark, docs, sf_dir):
     """Operator 7: secrets are replaced by a mark; ``n_chars`` follows the new text."""
+    small_batches(spark)
     clean = secret_scan.redact_secrets(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,6 +49,7 @@ def redact_secrets(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """Operator 4: token count and digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe.round_trip_digests(docs.select("doc_id", "text"))
 
 
