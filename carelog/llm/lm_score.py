@@ -18,8 +18,8 @@ Both parts are proper distributions, and so is their mixture.
 
 Training is data-parallel: in each round every task takes gradient steps from the
 common parameters over its windows, and the parameters are averaged by a tree
-reduction weighted by windows.  Every training text gives one window of each
-``WINDOW_RATE`` to the gradient, and everything to the counts.
+reduction weighted by windows.  Every window of every training text enters the
+gradient, in one of the rounds (``WINDOW_RATE`` is 1: one window of each so many).
 
 Scoring cuts a text into windows of ``SCORED`` ids with ``CONTEXT`` ids before them;
 windows overlap in their contexts and each id is scored once.  Many windows go
@@ -48,9 +48,9 @@ from pyspark.sql.types import StructType
 
 from .common import lower_bytes, pieces, saved, table, texts_of, tidy
 
-CONTEXT, SCORED = 8, 16
-DIM, CLASSES, ROWS = 16, 24, 8192
-WINDOW_RATE, ROUNDS, RATE = 64, 3, 0.15
+CONTEXT, SCORED = 16, 16
+DIM, CLASSES, ROWS = 16, 64, 8192
+WINDOW_RATE, ROUNDS, RATE = 1, 3, 0.15
 #: Most words sent out with their counts, and slots of the memory tables.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
 #: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids.

@@ -106,6 +106,21 @@ def test_windows_score_each_id_once_and_see_only_the_past():
     assert sum(map(len, taken)) == len(w)
 
 
+def test_every_window_of_a_training_text_trains_once(spark, monkeypatch):
+    docs = [(i, f"short text {i} " * (1 + i % 9)) for i in range(60)]
+    words = L.Words(L.vocabulary())
+    ids = [words.subwords(words.rows([t.encode().split()])[0]) for i, t in docs if not held(i)]
+    seen, train = [], L.train
+
+    def watched(gathered, shared):
+        seen.extend(bytes(r["ids"]) for r in gathered.where("kind = 'window'").collect())
+        return train(gathered, shared)
+
+    monkeypatch.setattr(L, "train", watched)
+    L.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(seen) == sorted(w.tobytes() for w in L.windows(ids)[0])
+
+
 def test_empty(spark, no_docs):
     assert L.lm_scores(no_docs).count() == 0
     only_held = [i for i in range(200) if held(i)][:2]
