@@ -7,7 +7,9 @@ encoded with a tiktoken vocabulary, and a ratio below ``MAX_RATIO`` marks it.
 
 Excluded: digests of known lengths in hexadecimal, UUIDs, numbers, and
 identifiers (runs whose parts between separators are words: one case of letters,
-or capitalised, with at most a short number at the end).
+or capitalised, with at most a short number at the end).  Such a part is a word only
+if it passes the ratio test on its own, or has at most ``MAX_SHORT`` characters and
+its letters are one token.
 
 Spans are code points, end exclusive, as (start, end, kind).  Pattern spans
 (assign, access, hex) are found leftmost without overlap for each kind; the
@@ -31,7 +33,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Parameters of the method.
-MIN_RUN, MAX_RATIO = 20, 1.9
+MIN_RUN, MAX_RATIO, MAX_SHORT = 20, 1.9, 2
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 
@@ -66,11 +68,16 @@ class Scanner:
     def known(self, run: str) -> bool:
         if self.digest.fullmatch(run) and len(run) in DIGEST_LENGTHS or self.uuid.fullmatch(run):
             return True
-        return all(self.name.fullmatch(x) or x.isdigit() for x in self.part.split(run))
+        return all(not x or x.isdigit() or self.name.fullmatch(x) and self.word(x) for x in self.part.split(run))
+
+    def dense(self, part: str) -> bool:
+        return len(part) < self.max_ratio * len(self.encode(part))
+
+    def word(self, part: str) -> bool:
+        return not self.dense(part) or len(part) <= MAX_SHORT and len(self.encode(part.rstrip("0123456789"))) == 1
 
     def random(self, text: str) -> list[tuple[int, int, int]]:
-        return [(m.start(), 3, m.end()) for m in self.run.finditer(text)
-                if not self.known(m[0]) and len(m[0]) < self.max_ratio * len(self.encode(m[0]))]
+        return [(m.start(), 3, m.end()) for m in self.run.finditer(text) if self.dense(m[0]) and not self.known(m[0])]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         base = self.patterns(text)

@@ -33,6 +33,18 @@ def test_method_finds_random_strings_only(spark):
     assert not found[6] and not found[8]
 
 
+def randoms(spark, texts):
+    found = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [[t[s["start"]:s["end"]] for s in found[k]["spans"] if s["kind"] == "random"] for k, t in enumerate(texts)]
+
+
+def test_letters_alone_can_be_random(spark):
+    keys = ["qzxvkjwpqzxvkjwpqzxvbnmk", "QWZXKJVBNMPLQWZXKJVBRTHG", "XKJQZ-PLMWN-RTVBC-HGFDZ", "ZxQmLrVtKpWnYbHcGdFs", "Q7342-Z9184-X2231-K8841"]
+    names = ["SOME_CONSTANT_NAME_IN_CAPITALS", "internationalization_of_names", "getUserIdOfSessionById", "x_1_y_2_z_3_a_4_b_5_c_6", "-" * 30]
+    assert randoms(spark, keys) == [[k] for k in keys]
+    assert randoms(spark, names) == [[]] * len(names)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = scan_secrets(odd_docs)
     assert got.columns == [*odd_docs.columns, "spans_"] and got.count() == odd_docs.count()
