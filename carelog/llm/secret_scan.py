@@ -13,8 +13,9 @@ its letters are one token.
 
 Spans are code points, end exclusive, as (start, end, kind).  Pattern spans
 (assign, access, hex) are found leftmost without overlap for each kind; the
-method adds ``random`` spans where no pattern span overlaps.  Null counts as
-empty.  The work is per row: repeated rows, ties and row order do not matter.
+method adds ``random`` spans for the parts of random runs that no pattern span
+covers.  Such a part beside a pattern span stays out if it is an excluded form by
+itself, with a separator or an assignment next to it.  Null counts as empty.  The work is per row: repeated rows, ties and row order do not matter.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Parameters of the method.
 MIN_RUN, MAX_RATIO, MAX_SHORT = 20, 1.9, 2
+SEPARATORS = "+/_=-"
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 
@@ -81,9 +83,22 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         base = self.patterns(text)
-        more = [r for r in self.random(text) if not any(r[0] < b[2] and b[0] < r[2] for b in base)]
+        more = [(s, 3, e) for start, _, end in self.random(text) for s, e in self.uncovered(text, start, end, base)]
         return sorted(base + more)
 
+    def uncovered(self, text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """Parts of a random run outside the (sorted) pattern spans, without words that only stand beside one."""
+        out, at, before = [], start, True
+        for s, k, e in [*(b for b in base if b[0] < end and b[2] > start), (end, None, end)]:
+            if s > at:
+                part = text[at:s]
+                left, right = before or part[0] in SEPARATORS, k in (None, 0) or part[-1] in SEPARATORS
+                if not (left and right and (at, s) != (start, end) and self.known(part)):
+                    out.append((at, s))
+            if e > at:
+                at, before = e, False
+        return out
+
 
 def vocabulary() -> tuple[str, str]:
     """Default tiktoken file and split pattern of the installed tokenizers."""

@@ -45,6 +45,15 @@ def test_letters_alone_can_be_random(spark):
     assert randoms(spark, names) == [[]] * len(names)
 
 
+def test_rest_of_a_key_around_a_pattern(spark):
+    a, z, h = "Zx9Qm2Lr7Vt4", "Kp8Wn3Yb6Hc1", "3f9a07c2e81b46d50f7ca932"  # the last digit of a goes to the hex span
+    texts = [a + h + z, f"{a}{z}_token=abcdef", f"my_token={a}{z}", f"objects/{h}/file", f"AB{h}"]
+    assert randoms(spark, texts) == [[a[:-1], z], [f"{a}{z}_"], [], [], ["AB"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ["[secret][secret][secret]", "[secret][secret]", "my_[secret]", "objects/[secret]/file", "[secret][secret]"]
+    assert [r["text"] for r in redact_secrets(docs).orderBy("doc_id").collect()] == want
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = scan_secrets(odd_docs)
     assert got.columns == [*odd_docs.columns, "spans_"] and got.count() == odd_docs.count()
