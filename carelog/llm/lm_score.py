@@ -11,8 +11,9 @@ every id after those before it.  It is trained here, in two parts:
   also computed from the attention output, mixes this with
 - memory.  Counts of ids, pairs and triples from all training texts, with absolute
   discounting: what a context gives away goes to the next shorter one, so the
-  probabilities of all ids add up to 1.  The most frequent pairs and triples are
-  kept, one for each slot of tables of fixed size.
+  probabilities of all ids add up to 1.  All pairs and triples are
+  counted; the most frequent ones (``PAIR_SLOTS``, ``TRIPLE_SLOTS``) are sent out, and
+  a rarer one counts as not met.
 
 Both parts are proper distributions, and so is their mixture.
 
@@ -51,12 +52,11 @@ from .common import lower_bytes, pieces, saved, table, texts_of, tidy
 CONTEXT, SCORED = 16, 16
 DIM, CLASSES, ROWS = 16, 64, 8192
 WINDOW_RATE, ROUNDS, RATE = 1, 3, 0.15
-#: Most words sent out with their counts, and slots of the memory tables.
+#: Most words, pairs and triples sent out with their counts.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
-#: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids.
-LOCAL_PAIR, LOCAL_TRIPLE, CHUNK = 2, 5, 5_000_000
+#: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids: all do.
+LOCAL_PAIR, LOCAL_TRIPLE, CHUNK = 1, 1, 5_000_000
 IDS, START, END, PAD = 50_258, 50_257, 50_256, 65_535  # START is never predicted
-_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary() -> tuple[str, str]:
@@ -162,22 +162,21 @@ def windows(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.
     return view[starts], np.concatenate(owner)
 
 
-class Slots:
-    """Keys with a value each; of keys with the same slot the one put in last stays."""
+class Lookup:
+    """Keys with a value each, sorted."""
 
-    def __init__(self, size: int, keys: np.ndarray, values: np.ndarray):
-        self.size = size
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
-        at = self.at(keys)
-        self.keys[at], self.values[at] = keys, values
-        self.kept = self.keys[at] == keys
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = np.concatenate([[-1], keys[order]]).astype(np.int64)  # row 0 is no key's
+        self.values = np.concatenate([[0], values[order]]).astype(np.float32)
 
     def at(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - self.size.bit_length() + 1)).astype(np.int64)
+        """The row of each key, 0 where it is not held."""
+        at = np.searchsorted(self.keys, keys, "right") - 1
+        return np.where(self.keys[at] == keys, at, 0)
 
-    def get(self, keys: np.ndarray, other: float = 0.0) -> np.ndarray:
-        at = self.at(keys)
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(other))
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.at(keys)]
 
 
 class Memory:
@@ -196,25 +195,20 @@ class Memory:
         count_of[START] = 0
         self.single = ((count_of + 0.1) / (total + 0.1 * (IDS - 1))).astype(np.float32)
         self.single[START] = self.single[IDS:] = 0
-        key, c = _by_count(*pairs)
+        key, c = pairs[0], pairs[1].astype(np.float64)
         first = key >> 16
         value = np.maximum(c - d, 0) / np.maximum(count[first], c)
-        self.pair = Slots(PAIR_SLOTS, key, value.astype(np.float32))
-        kept = self.pair.kept
-        self.pair_rest = (1 - np.bincount(first[kept], self.pair.values[self.pair.at(key[kept])], 1 << 16)).astype(np.float32)
-        np.maximum(self.pair_rest, 1e-6, out=self.pair_rest)
-        # contexts of triples are pairs; a triple stays if its context has a slot
-        context = Slots(PAIR_SLOTS, key, c.astype(np.float32))
-        context.values[context.keys < 0] = 0
-        tkey, tc = _by_count(*triples)
-        tfirst = tkey >> 16
-        of = context.get(tfirst)
-        tkey, tc, tfirst, of = (x[of > 0] for x in (tkey, tc, tfirst, of))
-        self.triple = Slots(TRIPLE_SLOTS, tkey, (np.maximum(tc - d, 0) / np.maximum(of, tc)).astype(np.float32))
-        kept = self.triple.kept
-        given = np.bincount(context.at(tfirst[kept]), self.triple.values[self.triple.at(tkey[kept])], PAIR_SLOTS)
-        self.context, self.triple_rest = context.values, np.maximum(1 - given, 1e-6).astype(np.float32)
-        self.contexts = context
+        self.pair = Lookup(key, value)
+        self.pair_rest = np.maximum(1 - np.bincount(first, value, 1 << 16), 1e-6).astype(np.float32)
+        # contexts of triples are pairs; a triple stays if its context does
+        self.contexts = Lookup(key, c)
+        tkey, tc = triples[0], triples[1].astype(np.float64)
+        at = self.contexts.at(tkey >> 16)
+        tkey, tc, at = tkey[at > 0], tc[at > 0], at[at > 0]
+        value = np.maximum(tc - d, 0) / np.maximum(self.contexts.values[at], tc)
+        self.triple = Lookup(tkey, value)
+        self.context = self.contexts.values
+        self.triple_rest = np.maximum(1 - np.bincount(at, value, len(self.context)), 1e-6).astype(np.float32)
 
     def __call__(self, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool = False) -> np.ndarray:
         """Probability of ``x`` after (two, one); with ``itself``, as if this occurrence were not counted.
@@ -225,7 +219,7 @@ class Memory:
         two, one, x = (a.astype(np.int64) for a in (two, one, x))
         pair = one << 16 | x
         at = self.contexts.at(two << 16 | one)
-        met = self.contexts.keys[at] == two << 16 | one
+        met = at > 0
         p2, p3 = self.pair.get(pair), self.triple.get(two << 32 | pair)
         if itself:
             n2, n3 = self.count[one], self.context[at]
@@ -235,11 +229,6 @@ class Memory:
         return np.where(met, p3 + self.triple_rest[at] * p, p)
 
 
-def _by_count(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((key, c))  # the most frequent last, where Slots keeps it
-    return key[order], c[order].astype(np.float64)
-
-
 class Attention:
     """Parameters, probabilities and gradients of the attention part."""
 
@@ -364,8 +353,9 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
     names = ["kind", "key", "count", "ids"]
 
     def block(kind, keys, counts):
-        n = len(keys)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(n, pa.binary())], names)
+        for k in range(0, len(keys), 100_000):
+            part, c = keys[k:k + 100_000], counts[k:k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part)), pa.array(part, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(part), pa.binary())], names)
 
     def run(batches):
         words = Words(vocab, forget=False)  # flushed with the counts
@@ -375,19 +365,19 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
 
         def flush():
             c = np.bincount(np.concatenate(met), minlength=len(words.hashes))
-            yield block("word", words.hashes[c > 0], c[c > 0])
+            yield from block("word", words.hashes[c > 0], c[c > 0])
             words.clear()  # rows are counted, so they may change
             s = np.concatenate(streams).astype(np.int64)
             k, c = np.unique(s, return_counts=True)
-            yield block("id1", k[k != PAD], c[k != PAD])
+            yield from block("id1", k[k != PAD], c[k != PAD])
             two = s[:-1] << 16 | s[1:]
             two = two[(s[:-1] != PAD) & (s[1:] != PAD)]
             k, c = np.unique(two, return_counts=True)
-            yield block("id2", k[c >= LOCAL_PAIR], c[c >= LOCAL_PAIR])
+            yield from block("id2", k[c >= LOCAL_PAIR], c[c >= LOCAL_PAIR])
             three = s[:-2] << 32 | s[1:-1] << 16 | s[2:]
             three = three[(s[:-2] != PAD) & (s[1:-1] != PAD) & (s[2:] != PAD)]
             k, c = np.unique(three, return_counts=True)
-            yield block("id3", k[c >= LOCAL_TRIPLE], c[c >= LOCAL_TRIPLE])
+            yield from block("id3", k[c >= LOCAL_TRIPLE], c[c >= LOCAL_TRIPLE])
 
         edge = np.array([PAD, START], np.uint16)
         for b in pieces(batches, "text", 4 << 20):

@@ -121,6 +121,18 @@ def test_every_window_of_a_training_text_trains_once(spark, monkeypatch):
     assert sorted(seen) == sorted(w.tobytes() for w in L.windows(ids)[0])
 
 
+def test_counts_do_not_depend_on_partitions_and_no_key_is_lost(spark):
+    docs = spark.createDataFrame([(f"one two three {i % 3}", 0) for i in range(24)], "text string, pick int")
+    gathered = lambda n: L.gather(docs.repartition(n), L.vocabulary()).where("kind <> 'window'")
+    counts = lambda n: sorted((r["kind"], r["key"], r["c"]) for r in gathered(n).groupBy("kind", "key").agg(F.sum("count").alias("c")).collect())
+    assert counts(1) == counts(12)
+    assert sum(c for kind, _, c in counts(12) if kind == "id3") == sum(c for kind, _, c in counts(12) if kind == "id1") - 48
+    keys = np.arange(1, 5001, dtype=np.int64) << 32 | 7 << 16 | 9
+    pairs = (keys >> 16, np.full(5000, 3))
+    memory = L.Memory((np.array([7]), np.array([15000])), pairs, (keys, np.full(5000, 2)))
+    assert (memory.triple.get(keys) > 0).all() and (memory.pair.get(pairs[0]) > 0).all()
+
+
 def test_empty(spark, no_docs):
     assert L.lm_scores(no_docs).count() == 0
     only_held = [i for i in range(200) if held(i)][:2]
