@@ -10,14 +10,14 @@ first ``n - ceil(t n) + 1`` of their order, so these prefixes are indexed:
 (shingle, set, size, position).  Lists of one set are dropped.
 
 Skipping inside lists.  Entries lie in blocks by size; a set meets only the blocks
-its size can link to, and in them only entries whose position still allows the
-overlap that the threshold needs.
+its size can link to.  There the join makes all pairs, and a filter leaves those
+whose positions still allow the overlap that the threshold needs.
 
 Skipping by relations between sets.  The smallest set of a list is its leader, and
 a set joins the family of the leader with which it shares most lists.  Sets of a
-family are like their leader, so their answers are derived together: overlaps of
-all of them come from one matrix product over the shingles they have in common,
-plus the few shared rare ones.  Sets linked through others need no comparison of
+family are like their leader, so they are compared together: overlaps of all pairs
+of them come from one matrix product over the shingles they have in common, plus
+the few shared rare ones (none is derived from another set's answers).  Sets linked through others need no comparison of
 their own: in large families, cut into blocks, only sets outside the largest
 component meet the other blocks; between families, lists are searched only for
 pairs of different components.
