@@ -21,8 +21,8 @@ Equal texts are indexed once, by the MD5 of the text; results are joined back to
 their rows.
 
 Defined results: a null text has no words, no hits and is clean; benchmark rows
-with a null id or without words have no windows; rows of one id that repeat count
-as one item; an empty benchmark leaves all clean; repeated rows are judged alike.
+without words have no windows; windows of rows with a null id count as hits but add
+nothing to the items; rows of one id that repeat count as one item; an empty benchmark leaves all clean; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def windows_of(benchmark: DataFrame, text: str, item: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(digests, pa.string()),
                                               pa.array(terms, pa.list_(pa.string()))], ["item", "wid", "terms"])
 
-    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     return items.mapInArrow(tidy(run), "item string, wid string, terms array<string>")
 
 

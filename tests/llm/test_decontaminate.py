@@ -57,6 +57,13 @@ def test_odd_and_empty(odd_docs, no_docs, spark):
     assert contamination(odd_docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_still_hit(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (2, "delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma delta epsilon"), (3, "beta delta")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in contamination(docs, bench).collect()}
+    assert got == {1: (3, [], True), 2: (5, ["2"], True), 3: (0, [], False)}
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha x x x beta gamma delta"), (3, "alpha beta gamma delta")], "doc_id long, text string")
