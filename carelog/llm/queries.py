@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, lm_score, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, filter_audit, jaccard_join, lm_score, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
-ORACLE = {"op10_url_filter": url_filter.OP10_SQL}
+ORACLE = {"op10_url_filter": url_filter.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
