@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, filter_audit, hard_negatives, jaccard_join, lm_score, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, filter_audit, hard_negatives, jaccard_join, lm_score, minhash, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 ORACLE = {"op10_url_filter": url_filter.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL,
           "op12_hard_negatives": hard_negatives.OP12_SQL}
