@@ -9,12 +9,14 @@ onto one bit a position and counting bits, and the share that agrees by chance,
 2^-BITS, is taken out.  Pairs whose estimate lies ``SIGMAS`` standard errors below the
 threshold go; the others are confirmed on the full sets.
 
-Pairs of a bucket are not all made.  First every class meets one class only, the
-leader (smallest number) with which it shares most buckets.  Confirmed links make
-components.  Then, in buckets that still hold several components, classes outside the
-bucket's largest component meet the others, in blocks of ``BLOCK`` signatures inside a
-task; a row is made only for a pair of different components whose estimate is high
-enough.  Whatever is linked but never met this way is already in one component.
+Pairs of a bucket are not all made.  First every class meets only the leaders (smallest
+numbers) of its buckets and joins the smallest one that its signature calls similar;
+what this connects is a family.  The sets of a family are confirmed together, in
+blocks inside tasks that return links enough to connect what is linked.  Then, in
+buckets that still hold several components, classes outside the bucket's largest
+component meet those of other families, in blocks of ``BLOCK`` signatures inside a
+task; a row is made only for a pair of different components and families whose
+estimate is high enough.
 
 A pair at the threshold shares no band with probability (1 - t^BAND)^bands, 4e-7 at
 0.85, and is lost by its estimate with probability 3e-7; confirmed links are exact.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import likely, pieces, saved, scratch, table, texts_of, tidy
 from .components import components
-from .jaccard_join import shingles
+from .jaccard_join import family_edges, shingles
 
 #: Minima of a set, minima of a band, bits kept of each, and bits of a class number.
 HASHES, BAND, BITS, NUMBER_BITS = 128, 5, 4, 57
@@ -165,13 +167,15 @@ def buckets(reps: DataFrame) -> DataFrame:
     return postings.join(ends, "key").select("key", "cls", "leader")
 
 
-def leaders(shared: DataFrame) -> DataFrame:
-    """(x, y): each class with the leader of its buckets that it shares most buckets with, the smaller of ties."""
-    shared = shared.where("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("c"))
-    top = (1 << NUMBER_BITS) - 1
-    # one long holds count and leader, so that the choice is a plain maximum
-    best = shared.groupBy("cls").agg(F.max(F.shiftleft(F.col("c"), NUMBER_BITS) + (F.lit(top) - F.col("leader"))).alias("best"))
-    return best.select(F.col("cls").alias("x"), (F.lit(top) - F.col("best").bitwiseAND(F.lit(top))).alias("y"))
+def families(shared: DataFrame, reps: DataFrame, num: int) -> DataFrame:
+    """(cls, family): classes joined to the smallest leader that their signatures call similar.
+
+    A family is what such steps connect, named by its smallest class; a class
+    without a similar leader is in none.
+    """
+    pairs = shared.where("cls <> leader").select(F.col("cls").alias("x"), F.col("leader").alias("y")).distinct()
+    steps = similar(pairs, reps, num).groupBy("x").agg(F.min("y").alias("y"))
+    return components(steps.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("family"))
 
 
 def similar(pairs: DataFrame, reps: DataFrame, num: int) -> DataFrame:
@@ -210,8 +214,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return pairs.join(of("x"), "x").join(of("y"), "y").where(reach("s_x", "s_y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def open_pairs(shared: DataFrame, root: DataFrame, met: DataFrame, reps: DataFrame, num: int, block: int) -> DataFrame:
-    """Pairs (x, y) of different components that share a bucket and whose estimate is high enough.
+def open_pairs(shared: DataFrame, root: DataFrame, family: DataFrame, reps: DataFrame, num: int, block: int) -> DataFrame:
+    """Pairs (x, y) of different components and families that share a bucket and whose estimate is high enough.
 
     In each bucket the classes outside its largest component (``rest``) meet all
     others; both sides are cut into blocks by hash, and a task takes two blocks.
@@ -223,10 +227,10 @@ def open_pairs(shared: DataFrame, root: DataFrame, met: DataFrame, reps: DataFra
     main = counted.groupBy("key").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main"), F.sum("k").alias("k"),
                                       (F.sum("k") - F.max("k")).alias("others"))
     part = lambda size: F.ceil(F.col(size) / block).cast("int")
-    placed = (members.join(main, "key").join(met.select(F.col("x").alias("cls"), F.col("y").alias("leader")), "cls", "left")
+    placed = (members.join(main, "key").join(family, "cls", "left").withColumn("family", F.coalesce("family", "cls"))
               .join(reps.select("cls", "n", "sig"), "cls")
               .withColumns({"own": F.pmod(F.xxhash64("cls"), part("k")).cast("int"), "turn": F.pmod(F.xxhash64("cls", F.lit(1)), part("others")).cast("int")}))
-    what = ["key", "own", "turn", "rest", "cls", "root", "leader", "n", "sig"]
+    what = ["key", "own", "turn", "rest", "cls", "root", "family", "n", "sig"]
     rest = (placed.where("root <> main").withColumn("own", F.explode(F.sequence(F.lit(0), part("k") - 1)))
             .withColumn("rest", F.lit(True)).select(*what))
     every = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), part("others") - 1))).withColumn("rest", F.lit(False)).select(*what)
@@ -244,7 +248,7 @@ def open_pairs(shared: DataFrame, root: DataFrame, met: DataFrame, reps: DataFra
                 fits = t["root"][i][:, None] != t["root"][j][None, :]
                 ni, nj = t["n"][i][:, None], t["n"][j][None, :]
                 fits &= 100 * np.minimum(ni, nj) >= num * np.maximum(ni, nj)
-                fits &= (t["leader"][i][:, None] != t["cls"][j][None, :]) & (t["leader"][j][None, :] != t["cls"][i][:, None])
+                fits &= t["family"][i][:, None] != t["family"][j][None, :]
                 if not fits.any():
                     continue
                 fits &= differing(t["sig"][i], t["sig"][j]) <= limit
@@ -257,8 +261,7 @@ def open_pairs(shared: DataFrame, root: DataFrame, met: DataFrame, reps: DataFra
 
     def run(batches):
         def arrays(b):
-            out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "own", "turn", "rest", "cls", "root", "n")}
-            out["leader"] = b.column("leader").fill_null(-1).to_numpy(zero_copy_only=False)
+            out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "own", "turn", "rest", "cls", "root", "family", "n")}
             out["sig"] = np.asarray(b.column("sig").flatten()).view(np.uint64).reshape(-1, LONGS)
             return out
 
@@ -309,19 +312,19 @@ def _components(docs: DataFrame, text: str, row_id: str, width: int, num: int, b
     repeated = rows.groupBy("id", "digest").count().where("count > 1").limit(1).count()  # whole rows that repeat
     docs = docs.where(F.col(row_id).isNotNull())
 
-    def confirmed(pairs):
-        wanted = pairs.select(F.col("x").alias("cls")).unionAll(pairs.select("y")).distinct()
+    def fetched(wanted):
         sets = fetch_sets(docs, saved(reps.select("cls", "id", "digest").join(wanted, "cls", "left_semi"), "wanted"), text, row_id, width)
-        sets = saved(sets.dropDuplicates(["cls"]) if repeated else sets, "hashes")
-        return saved(confirm(pairs, sets, num), "links")
+        return saved(sets.dropDuplicates(["cls"]) if repeated else sets, "hashes")
 
     shared = saved(buckets(reps), "buckets")
-    first = saved(leaders(shared), "first")
-    edges = confirmed(saved(similar(first, reps, num), "pairs"))
+    family = saved(families(shared, reps, num), "families")
+    members = saved(family.join(reps.select("cls", "n"), "cls").select("family", F.col("cls").alias("sid"), "n"), "members")
+    edges = saved(family_edges(members, fetched(family.select("cls")).withColumnRenamed("cls", "sid"), num), "links")
     root = saved(components(edges).select(F.col("node").alias("cls"), "root"), "roots")
-    more = saved(open_pairs(shared, root, first, reps, num, block), "pairs")
+    more = saved(open_pairs(shared, root, family, reps, num, block), "pairs")
     if more.limit(1).count():
-        root = components(edges.unionAll(confirmed(more))).select(F.col("node").alias("cls"), "root")
+        sets = fetched(more.select(F.col("x").alias("cls")).unionAll(more.select("y")).distinct())
+        root = components(edges.unionAll(confirm(more, sets, num))).select(F.col("node").alias("cls"), "root")
     known = saved(classes.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "classes")
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))
     named = known.join(least, "root").select("digest", "component_id")
