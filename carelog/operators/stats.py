@@ -94,10 +94,6 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
                       for a, b in zip(t, dof)], dtype="float64")
 
 
-#: Absolute log-odds that mark a separated fit.
-SEPARATED = 15.0
-
-
 # --------------------------------------------------------- summaries
 def stratified_mean_sd(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """Per stratum: mean and sample SD of every column (NULLs ignored), one pass."""
@@ -273,49 +269,11 @@ def odds_ratios(df: DataFrame, outcome: str, group: str, levels: list, z: float
 
 
 def logistic_regression(df: DataFrame, label: str, numeric: list[str], factor: str | None = None,
-                        levels: list | None = None, z: float = 1.959963984540054) -> DataFrame:
-    """Binomial GLM (logit) fitted by Spark ML's distributed IRLS on complete
-    cases; a factor enters as dummies against its first level.  Returns one
-    row per term: estimate, SE, z, p, odds ratio and Wald 95% CI.  ``converged``
-    is false if the steps ran out; ``separated`` marks log-odds beyond
-    ``SEPARATED``, which data give only when an outcome is (nearly) determined."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    cols = [label] + list(numeric) + ([factor] if factor else [])
-    d = df.select(*cols).dropna()
-    names = []
-    if factor:
-        for lv in levels[1:]:
-            nm = f"{factor}_{lv}"
-            d = d.withColumn(nm, (F.col(factor) == F.lit(lv)).cast("double"))
-            names.append(nm)
-    names += list(numeric)
-    d = d.select(F.col(label).cast("double").alias("_y"), *[F.col(n).cast("double").alias(n) for n in names])
-    va = VectorAssembler(inputCols=names, outputCol="_f")
-    steps = 60
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_f", labelCol="_y",
-                                      maxIter=steps, tol=1e-10)
-    data = va.transform(d).persist(StorageLevel.MEMORY_AND_DISK)  # read by every step
-    try:
-        model = glr.fit(data)
-        s = model.summary
-        terms = names + ["(Intercept)"]
-        coefs = list(model.coefficients) + [model.intercept]
-        converged = s.numIterations < steps
-        # too few complete cases for the number of terms: no standard errors
-        free = s.degreesOfFreedom > 0
-        get = lambda name: [float(v) for v in getattr(s, name)] if free else [None] * len(terms)
-        rows = [(t, float(b), se, zv, p, converged, bool(max(map(abs, coefs)) > SEPARATED))
-                for t, b, se, zv, p in zip(terms, coefs, get("coefficientStandardErrors"), get("tValues"), get("pValues"))]
-    finally:
-        data.unpersist()
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "term string, estimate double, se double, z double, p_value double, "
-                                      "converged boolean, separated boolean")
-    return out.select("*", F.exp("estimate").alias("odds_ratio"),
-                      F.exp(F.col("estimate") - z * F.col("se")).alias("ci_low"),
-                      F.exp(F.col("estimate") + z * F.col("se")).alias("ci_high"))
+                        levels: list | None = None, z: float = 1.959963984540054, profile: bool = False) -> DataFrame:
+    """One binomial GLM (logit), a row for each term; see ``glm.logistic_models``."""
+    from carelog.operators.glm import Model, logistic_models
+    model = Model(label, label, tuple(numeric), factor, tuple(levels or ()))
+    return logistic_models(df, [model], profile=profile, z=z).drop("model")
 
 
 # ----------------------------------------------------------- transitions

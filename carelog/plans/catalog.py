@@ -194,10 +194,48 @@ def report_mortality_chisq(spark, sf_dir):
     return round_doubles(R.mortality_tests(_report_df(spark, sf_dir)))
 
 
-@register("report_models")
+def _models_sql() -> str:
+    parts = []
+    for outcome in ("mortality_num", "icu_mortality"):
+        for adjusted in (False, True):
+            more = R.ADJUSTERS if adjusted else []
+            cases = " and ".join(f"{c} is not null" for c in [outcome, "compliance_level", *more])
+            terms = ["(Intercept)", *[f"compliance_level_{v}" for v in R.LEVELS[1:]], *more]
+            xs = ["cast(1 as double)", *[f"cast(compliance_level = '{v}' as double)" for v in R.LEVELS[1:]], *[f"cast({c} as double)" for c in more]]
+            rows = f"select {outcome} y, {', '.join(f'{x} x{i}' for i, x in enumerate(xs))} from p where {cases}"
+            parts.append(f"select '{outcome}' outcome, {str(adjusted).lower()} adjusted, * from ({O.logit_sql(rows, terms)}) m")
+    rounded = ", ".join(f"round({c}, 6) as {c}" for c in O.LOGIT_COLUMNS)
+    return f"with p as materialized {_prep_sql()} select * replace ({rounded}) from ({_union(parts)}) u"
+
+
+@register("report_models", _models_sql())
 def report_models(spark, sf_dir):
-    """ST4/ST5/ST8: unadjusted and adjusted logistic models, odds ratios, CI."""
-    return round_doubles(R.odds_ratio_models(_report_df(spark, sf_dir)))
+    """ST4/ST5/ST8: unadjusted and adjusted logistic models, odds ratios, Wald intervals."""
+    fits = R.odds_ratio_models(_report_df(spark, sf_dir), profile=False)
+    return round_doubles(fits.drop("profile_low", "profile_high", "steps"))
+
+
+_PROFILE = ["outcome", "term", "estimate", "odds_ratio", "profile_low", "profile_high", "separated"]
+
+
+def _profile_sql() -> str:
+    cells = lambda y: f"select compliance_level as level, count(*) filter ({y} = 1) e, count(*) filter ({y} = 0) n from p where {y} is not null and compliance_level is not null group by 1"
+    parts = [f"select '{y}' outcome, * from ({O.profile_sql(cells(y), R.LEVELS[0], 'compliance_level_')}) m" for y in ("mortality_num", "icu_mortality")]
+    rounded = ", ".join(f"round({c}, 6) as {c}" for c in _PROFILE[2:6])
+    return f"with p as materialized {_prep_sql()} select * replace ({rounded}) from ({_union(parts)}) u"
+
+
+@register("report_odds_ratios", _profile_sql())
+def report_odds_ratios(spark, sf_dir):
+    """ST5: unadjusted odds ratios of hospital and ICU death with profile-likelihood intervals."""
+    fits = R.odds_ratio_models(_report_df(spark, sf_dir), adjusted=(False,))
+    return round_doubles(fits.filter("term <> '(Intercept)'").select(*_PROFILE))
+
+
+@register("report_odds_ratios_adjusted")
+def report_odds_ratios_adjusted(spark, sf_dir):
+    """ST5: adjusted odds ratios of all terms with profile-likelihood intervals (tests compare with refits)."""
+    return round_doubles(R.odds_ratio_models(_report_df(spark, sf_dir), adjusted=(True,)).select(*_PROFILE))
 
 
 _PHENO_GRID = ", ".join(f"('{a}', '{b}')" for a in R.PHENO for b in R.PHENO)

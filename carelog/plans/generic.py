@@ -16,7 +16,7 @@ from carelog.operators import stats as S
 from carelog.operators.events import dedupe_events, session_summary, sessions, union_events
 from carelog.operators.flags import any_flags
 from carelog.operators.match import nearest_events, pick_first, rank_filter, within_window
-from carelog.plans.oracle_sql import rounded, rule_case, safe_dbl, safe_dec, safe_int as sql_int, t_tail
+from carelog.plans.oracle_sql import LOGIT_COLUMNS, logit_sql, profile_sql, rounded, rule_case, safe_dbl, safe_dec, safe_int as sql_int, t_tail
 from carelog.plans.registry import register, round_doubles
 from carelog.sources.tables import create_view, export_csv, read_csv, read_table, write_table
 
@@ -594,13 +594,34 @@ def odds_ratio(spark, sf):
     return round_doubles(S.odds_ratios(d, "quality", "lang", _LANGS))
 
 
-@register("logistic_adjusted")
-def logistic_adjusted(spark, sf):
-    """ST4/ST5/ST8: adjusted binomial GLM (Spark ML IRLS), odds ratios and CI."""
+_LOGIT_ROWS = f"""select quality y, cast(1 as double) x0, {", ".join(f"cast(lang = '{v}' as double) x{i}" for i, v in enumerate(_LANGS[1:], start=1))},
+       n_chars / 1000.0 x4, cast(toxic as double) x5 from {_LD_SQL} z
+where lang in {tuple(_LANGS)} and quality is not null and n_chars is not null and toxic is not null"""
+
+
+def _quality_rows(spark, sf):
     lab = _t(spark, sf, "labels")
     doc = _t(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") / 1000.0).alias("kchars"))
-    d = lab.join(doc, "doc_id").filter(F.col("lang").isin(*_LANGS))
-    return round_doubles(S.logistic_regression(d, "quality", ["kchars", "toxic"], factor="lang", levels=_LANGS))
+    return lab.join(doc, "doc_id").filter(F.col("lang").isin(*_LANGS))
+
+
+@register("logistic_adjusted", f"""select * replace ({", ".join(f"round({c}, 6) as {c}" for c in LOGIT_COLUMNS)})
+from ({logit_sql(_LOGIT_ROWS, ["(Intercept)", *[f"lang_{v}" for v in _LANGS[1:]], "kchars", "toxic"])}) m""")
+def logistic_adjusted(spark, sf):
+    """ST4/ST5/ST8: adjusted binomial GLM by shared Newton passes, odds ratios and Wald intervals."""
+    fit = S.logistic_regression(_quality_rows(spark, sf), "quality", ["kchars", "toxic"], factor="lang", levels=_LANGS)
+    return round_doubles(fit.drop("profile_low", "profile_high", "steps"))
+
+
+_CELLS = f"""select lang as level, count(*) filter (quality = 1) e, count(*) filter (quality = 0) n from {_LD_SQL} x where lang in {tuple(_LANGS)} group by 1"""
+
+
+@register("odds_ratio_profile", f"""select term, round(estimate, 6) estimate, round(odds_ratio, 6) odds_ratio, round(profile_low, 6) profile_low,
+       round(profile_high, 6) profile_high, separated from ({profile_sql(_CELLS, "en", "lang_")}) m""")
+def odds_ratio_profile(spark, sf):
+    """ST5 (single factor): odds ratios against the reference level with profile-likelihood intervals."""
+    fit = S.logistic_regression(_quality_rows(spark, sf), "quality", [], factor="lang", levels=_LANGS, profile=True)
+    return round_doubles(fit.filter("term <> '(Intercept)'").select("term", "estimate", "odds_ratio", "profile_low", "profile_high", "separated"))
 
 
 # ----------------------------------------------------------- transitions

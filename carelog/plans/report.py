@@ -90,17 +90,16 @@ def mortality_tests(df: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def odds_ratio_models(df: DataFrame) -> DataFrame:
+def odds_ratio_models(df: DataFrame, profile: bool = True, adjusted: tuple[bool, ...] = (False, True)) -> DataFrame:
     """Unadjusted and adjusted logistic models of hospital and ICU death on the
-    compliance level (reference L)."""
-    out = None
-    for outcome in ("mortality_num", "icu_mortality"):
-        for adjusted in (False, True):
-            m = S.logistic_regression(df, outcome, ADJUSTERS if adjusted else [], factor="compliance_level",
-                                      levels=LEVELS)
-            m = m.withColumn("outcome", F.lit(outcome)).withColumn("adjusted", F.lit(adjusted))
-            out = m if out is None else out.unionByName(m)
-    return out
+    compliance level (reference L), fitted together; odds ratios with Wald and
+    profile-likelihood intervals."""
+    from carelog.operators.glm import Model, logistic_models
+    names = {f"{y}{'+adjusted' * more}": (y, more) for y in ("mortality_num", "icu_mortality") for more in adjusted}
+    models = [Model(name, y, tuple(ADJUSTERS) if more else (), "compliance_level", tuple(LEVELS)) for name, (y, more) in names.items()]
+    fits = logistic_models(df, models, profile=profile)
+    return fits.select(F.substring_index("model", "+", 1).alias("outcome"), F.endswith("model", F.lit("+adjusted")).alias("adjusted"),
+                       *[c for c in fits.columns if c != "model"])
 
 
 def transition_tables(day12: DataFrame) -> tuple[DataFrame, DataFrame]:
