@@ -10,8 +10,7 @@ onto one bit a position and counting bits, and the share that agrees by chance,
 threshold go; the others are confirmed on the full sets.
 
 Pairs of a bucket are not all made.  First every class meets only the leaders (smallest
-numbers) of its buckets and joins the smallest one that its signature calls similar;
-what this connects is a family.  The sets of a family are confirmed together, in
+numbers) of its buckets; what pairs that signatures call similar connect is a family.  The sets of a family are confirmed together, in
 blocks inside tasks that return links enough to connect what is linked.  Then, in
 buckets that still hold several components, classes outside the bucket's largest
 component meet those of other families, in blocks of ``BLOCK`` signatures inside a
@@ -168,14 +167,13 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def families(shared: DataFrame, reps: DataFrame, num: int) -> DataFrame:
-    """(cls, family): classes joined to the smallest leader that their signatures call similar.
+    """(cls, family): what is connected by classes and leaders of their buckets that signatures call similar.
 
-    A family is what such steps connect, named by its smallest class; a class
-    without a similar leader is in none.
+    A family is named by its smallest class; a class without a similar leader or member is in none.
     """
     pairs = shared.where("cls <> leader").select(F.col("cls").alias("x"), F.col("leader").alias("y")).distinct()
-    steps = similar(pairs, reps, num).groupBy("x").agg(F.min("y").alias("y"))
-    return components(steps.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+    steps = similar(pairs, reps, num).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(steps).select(F.col("node").alias("cls"), F.col("root").alias("family"))
 
 
 def similar(pairs: DataFrame, reps: DataFrame, num: int) -> DataFrame:
