@@ -108,10 +108,20 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def listed(df: DataFrame, levels: list, *columns: str) -> DataFrame:
+    """``df``; reading it raises where a column has a value that is in none of the levels
+    (NULL passes): such rows would be lost from a table of the levels without a word."""
+    for c in columns:
+        known = F.col(c).isNull() | F.col(c).isin(*levels)
+        message = F.concat(F.lit(f"a value of {c} is in none of the levels: "), F.col(c).cast("string"))
+        df = df.filter(F.when(known, True).otherwise(F.raise_error(message).cast("boolean")))
+    return df
+
+
 def crosstab(df: DataFrame, row: str, column: str, levels: list) -> DataFrame:
     """Two-way table, one output column per listed level of ``column`` (0 when
-    empty); rows or columns with NULL are left out."""
-    return (df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
+    empty); rows or columns with NULL are left out, a value outside the levels raises."""
+    return (listed(df, levels, column).filter(F.col(row).isNotNull() & F.col(column).isNotNull())
             .groupBy(row).pivot(column, levels).count().na.fill(0))
 
 
@@ -219,13 +229,15 @@ def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
          .groupBy().agg(*[f(F.when(F.col(group) == g, F.col(value))).alias(f"{nm}_{i}")
                           for i, g in enumerate((a, b))
                           for nm, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]))
-    se2 = F.col("v_0") / F.col("n_0") + F.col("v_1") / F.col("n_1")
-    out = s.select(
-        F.col("m_0").alias("mean_a"), F.col("m_1").alias("mean_b"),
-        F.try_divide(F.col("m_0") - F.col("m_1"), F.sqrt(se2)).alias("t"),
-        F.try_divide(se2 ** 2, F.try_divide((F.col("v_0") / F.col("n_0")) ** 2, F.col("n_0") - 1)
-                     + F.try_divide((F.col("v_1") / F.col("n_1")) ** 2, F.col("n_1") - 1)).alias("df"))
-    return out
+    return welch_from_moments(s, ("m_0", "v_0", "n_0"), ("m_1", "v_1", "n_1")).select("mean_a", "mean_b", "t", "df")
+
+
+def welch_from_moments(df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str]) -> DataFrame:
+    """Adds mean_a, mean_b, t and df of the Welch test, from columns with (mean, variance, count) of two groups."""
+    (ma, va, na), (mb, vb, nb) = ([F.col(c) for c in g] for g in (a, b))
+    ea, eb = F.try_divide(va, na), F.try_divide(vb, nb)
+    freedom = F.try_divide((ea + eb) ** 2, F.try_divide(ea ** 2, na - 1) + F.try_divide(eb ** 2, nb - 1))
+    return df.withColumns({"mean_a": ma, "mean_b": mb, "t": F.try_divide(ma - mb, F.sqrt(ea + eb)), "df": freedom})
 
 
 def welch_t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -283,8 +295,8 @@ def level_grid(spark: SparkSession, a: str, b: str, levels: list[str]) -> DataFr
 
 
 def transition_matrix(df: DataFrame, src: str, dst: str, levels: list[str], digits: int = 3) -> DataFrame:
-    """Counts and row-normalised proportions of src -> dst over the full level grid."""
-    counts = (df.filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    """Counts and row-normalised proportions of src -> dst over the full level grid; a value outside the levels raises."""
+    counts = (listed(df, levels, src, dst).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
               .groupBy(src, dst).agg(F.count(F.lit(1)).alias("n")))
     g = level_grid(df.sparkSession, src, dst, levels).join(counts, [src, dst], "left").fillna({"n": 0})
     w = Window.partitionBy(src)
@@ -294,8 +306,8 @@ def transition_matrix(df: DataFrame, src: str, dst: str, levels: list[str], digi
 
 def transition_outcomes(df: DataFrame, src: str, dst: str, status: str, event_value: str, mean_of: str,
                         levels: list[str], digits: int = 3) -> DataFrame:
-    """Per transition cell: patients, events, event rate and mean of ``mean_of``."""
-    agg = (df.filter(F.col(status).isNotNull()).groupBy(src, dst)
+    """Per transition cell: patients, events, event rate and mean of ``mean_of``; a value outside the levels raises."""
+    agg = (listed(df, levels, src, dst).filter(F.col(status).isNotNull()).groupBy(src, dst)
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) == event_value).alias("events"),
                 F.avg(mean_of).alias("mean_value")))
     g = level_grid(df.sparkSession, src, dst, levels).join(agg, [src, dst], "left").fillna({"n": 0, "events": 0})

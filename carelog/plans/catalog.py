@@ -265,7 +265,15 @@ def report_transition_mortality(spark, sf_dir):
     return round_doubles(R.transition_tables(_day12_df(spark, sf_dir))[1])
 
 
-@register("report_transition_pf_tests")
+@register("report_transition_pf_tests", f"""with d as ({O.day12_sql(False)}),
+c as (select day1_compliance d1, day2_compliance d2, avg(pfratio) m, var_samp(pfratio) v, count(pfratio) n from d group by all),
+g as (select a.p || ' -> ' || b.p group_a, a.p || ' -> {R.PHENO[2]}' group_b, a.p d1, b.p d2
+      from (values {", ".join(f"('{p}')" for p in R.PHENO)}) a(p), (values {", ".join(f"('{p}')" for p in R.PHENO[:2])}) b(p)),
+w as (select group_a, group_b, x.m mean_a, y.m mean_b, x.v / x.n ea, y.v / y.n eb, x.n na, y.n nb from g
+      left join c x on x.d1 = g.d1 and x.d2 = g.d2 left join c y on y.d1 = g.d1 and y.d2 = '{R.PHENO[2]}'),
+t as (select *, (mean_a - mean_b) / sqrt(ea + eb) t, power(ea + eb, 2) / (power(ea, 2) / (na - 1) + power(eb, 2) / (nb - 1)) df from w)
+select group_a, group_b, round(mean_a, 6) mean_a, round(mean_b, 6) mean_b, round(t, 6) t, round(df, 6) df,
+       case when df is not null then round({O.t_tail("t", "df")}, 6) end p_value from t""")
 def report_transition_pf_tests(spark, sf_dir):
     """ST3 on the day-1/day-2 pairs: Welch t-tests of P/F between transitions."""
     return round_doubles(R.transition_pf_tests(_day12_df(spark, sf_dir)))
@@ -289,16 +297,28 @@ def report_transition_chisq(spark, sf_dir):
     return round_doubles(R.transition_chisq(_day12_df(spark, sf_dir)))
 
 
+def _fits(spark, sf_dir):
+    """The fitted smooth models, a written step that the three queries below share."""
+    df = _report_df(spark, sf_dir)
+    return df, _steps(spark, sf_dir)("smooth_fits", lambda: R.smooth_models(df))
+
+
 @register("report_gam")
 def report_gam(spark, sf_dir):
     """ST6/ST8: the four smooth models' terms (checked in tests against an independent solve)."""
-    return round_doubles(R.smooth_summaries(_report_df(spark, sf_dir)))
+    return round_doubles(R.smooth_summaries(_fits(spark, sf_dir)[1]))
 
 
 @register("report_gam_curves")
 def report_gam_curves(spark, sf_dir):
     """ST7: the four fitted curves with bands, other terms at their medians."""
-    return round_doubles(R.smooth_curves(_report_df(spark, sf_dir)))
+    return round_doubles(R.smooth_curves(_fits(spark, sf_dir)[1]))
+
+
+@register("report_gam_points")
+def report_gam_points(spark, sf_dir):
+    """ST7: points (partial residuals) and rug of the four curves, a row for each complete case and model."""
+    return round_doubles(R.smooth_points(*_fits(spark, sf_dir)))
 
 
 # driver-table queries register themselves on import

@@ -16,7 +16,7 @@ from carelog.operators import stats as S
 from carelog.operators.events import dedupe_events, session_summary, sessions, union_events
 from carelog.operators.flags import any_flags
 from carelog.operators.match import nearest_events, pick_first, rank_filter, within_window
-from carelog.plans.oracle_sql import LOGIT_COLUMNS, logit_sql, profile_sql, rounded, rule_case, safe_dbl, safe_dec, safe_int as sql_int, t_tail
+from carelog.plans.oracle_sql import LOGIT_COLUMNS, logit_sql, profile_sql, rounded, rule_case, safe_dbl, safe_dec, safe_int as sql_int, spline_sql, t_tail
 from carelog.plans.registry import register, round_doubles
 from carelog.sources.tables import create_view, export_csv, read_csv, read_table, write_table
 
@@ -703,6 +703,42 @@ def spline_fit(spark, sf):
     return round_doubles(summary_frame(spark, fit))
 
 
+_PRICES = "select l_extendedprice / 1000 y, cast(l_quantity as double) x, cast(l_discount as double) z from lineitem"
+
+
+def _price_fit(spark, sf):
+    from carelog.operators.splines import gam_fit
+    d = _t(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").cast("double").alias("x"),
+                                         F.col("l_discount").cast("double").alias("z"))
+    return d, gam_fit(d, "y", "x", ["z"], intervals=4, penalty=0.5)
+
+
+@register("spline_coefficients", f"""select term, round(estimate, 6) estimate, round(edf, 6) edf, round(deviance, 3) deviance
+from ({spline_sql(_PRICES, 4, 0.5)}) x""")
+def spline_coefficients(spark, sf):
+    """ST6: gaussian P-spline of price on quantity with a given penalty; SQL solves the normal equations."""
+    from carelog.operators.splines import coefficient_frame
+    out = coefficient_frame(spark, _price_fit(spark, sf)[1]).select("term", "estimate", "edf", F.round("deviance", 3).alias("deviance"))
+    return round_doubles(out)
+
+
+@register("curve_points", f"""with c as materialized ({spline_sql(_PRICES, 4, 0.5)}),
+w as (select {", ".join(f"max(estimate) filter (term = 's(x).{i + 1}') b{i}" for i in range(7))}, max(estimate) filter (term = 'z') bz from c),
+d as (select y, x, z, quantile_disc(z, 0.5) over () mid, (x - min(x) over ()) / ((max(x) over () - min(x) over ()) / 4) u from ({_PRICES}) q),
+f as (select d.*, bz, {" + ".join(
+    f"b{j} * (" + " + ".join(f"({s}) * power(greatest(u - {j - 3 + k}, 0), 3)" for k, s in enumerate((1, -4, 6, -4, 1))) + ") / 6" for j in range(7))} + bz * mid curve from d, w),
+p as (select x, curve, y - curve - bz * (z - mid) residual, bz from f)
+select x, round(avg(curve), 6) curve, count(*) n, round(avg(curve + residual), 5) partial,
+       cast(sum(case when residual > 0 then 1 else 0 end) as bigint) above from p group by x""")
+def curve_points(spark, sf):
+    """ST7: partial residuals and rug sides of the fitted curve, summed up by quantity (every row enters)."""
+    from carelog.operators.splines import points
+    d, fit = _price_fit(spark, sf)
+    p = points(d, fit).groupBy("x").agg(F.avg("curve").alias("curve"), F.count("*").alias("n"), F.avg("partial").alias("partial"),
+                                        F.count_if(F.col("rug") == "above").alias("above"))
+    return round_doubles(p.withColumn("partial", F.round("partial", 5)))
+
+
 @register("partial_effect")
 def partial_effect_q(spark, sf):
     """ST7: fitted smooth with a 95% band on a grid (the data behind the plot)."""

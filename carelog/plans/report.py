@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from carelog.functions import clinical as C
 from carelog.operators import stats as S
+from carelog.operators.stats import t_pvalue
 
 LEVELS = ["L", "I", "H"]
 PHENO = list(C.PHENOTYPE_NAMES)
@@ -112,16 +113,19 @@ def transition_tables(day12: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def transition_pf_tests(day12: DataFrame) -> DataFrame:
     """Welch t-tests of P/F: for each day-1 phenotype, staying/moving to L or I
-    against moving to H (the notebook's six comparisons)."""
-    d = day12.withColumn("_cell", F.concat_ws(" -> ", "day1_compliance", "day2_compliance"))
-    out = None
-    for d1 in PHENO:
-        for d2 in PHENO[:2]:
-            a, b = f"{d1} -> {d2}", f"{d1} -> {PHENO[2]}"
-            t = S.welch_t_test(d, "pfratio", "_cell", a, b).select(F.lit(a).alias("group_a"),
-                                                                   F.lit(b).alias("group_b"), "*")
-            out = t if out is None else out.unionByName(t)
-    return out
+    against moving to H (the notebook's six comparisons).
+
+    One aggregate gives count, mean and variance of each cell; the tests are joins of
+    its few rows.  A cell without rows leaves its tests empty.
+    """
+    cells = day12.groupBy(F.col("day1_compliance").alias("d1"), F.col("day2_compliance").alias("d2")).agg(
+        F.avg("pfratio").alias("m"), F.var_samp("pfratio").alias("v"), F.count("pfratio").alias("n"))
+    pairs = day12.sparkSession.createDataFrame([(a, b, PHENO[2]) for a in PHENO for b in PHENO[:2]], "d1 string, to_a string, to_b string")
+    side = lambda s: cells.select("d1", F.col("d2").alias(f"to_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("m", "v", "n")])
+    found = pairs.join(side("a"), ["d1", "to_a"], "left").join(side("b"), ["d1", "to_b"], "left")
+    tests = S.welch_from_moments(found, ("m_a", "v_a", "n_a"), ("m_b", "v_b", "n_b"))
+    name = lambda c: F.concat_ws(" -> ", "d1", c)
+    return tests.select(name("to_a").alias("group_a"), name("to_b").alias("group_b"), "mean_a", "mean_b", "t", "df", t_pvalue("t", "df").alias("p_value"))
 
 
 #: The study's smooth models: name, outcome, smooth term, linear terms, family.
@@ -135,25 +139,47 @@ SMOOTH_MODELS = [
 ]
 
 
-def smooth_models(df: DataFrame) -> list[tuple[str, dict]]:
-    """The four fits, by name."""
+def smooth_models(df: DataFrame) -> DataFrame:
+    """The four fits as a table of (model, fit): what summaries, curves and points are made from."""
+    import json
+
     from carelog.operators.splines import gam_fit
-    return [(name, gam_fit(df, y, x, list(z), family=family)) for name, y, x, z, family in SMOOTH_MODELS]
+    rows = []
+    for name, y, x, z, family in SMOOTH_MODELS:
+        fit = gam_fit(df, y, x, list(z), family=family)
+        rows.append((name, json.dumps(fit | {k: fit[k].tolist() for k in ("beta", "cov")})))
+    return df.sparkSession.createDataFrame(rows, "model string, fit string")
+
 
+def _fits(table: DataFrame) -> list[tuple[str, dict]]:
+    """Fits of ``smooth_models``, by name (one row a model)."""
+    import json
 
-def smooth_summaries(df: DataFrame) -> DataFrame:
+    import numpy as np
+    found = {r["model"]: json.loads(r["fit"]) for r in table.collect()}
+    return [(name, found[name] | {k: np.array(found[name][k]) for k in ("beta", "cov")}) for name, *_ in SMOOTH_MODELS]
+
+
+def smooth_summaries(fits: DataFrame) -> DataFrame:
     from carelog.operators.splines import summary_frame
-    tables = [summary_frame(df.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in smooth_models(df)]
+    tables = [summary_frame(fits.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in _fits(fits)]
     return reduce(DataFrame.unionByName, tables)
 
 
-def smooth_curves(df: DataFrame) -> DataFrame:
+def smooth_curves(fits: DataFrame) -> DataFrame:
     """The four curves on 100 points, other terms at their medians."""
     from carelog.operators.splines import curve
-    tables = [curve(df.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in smooth_models(df)]
+    tables = [curve(fits.sparkSession, fit).withColumn("model", F.lit(name)) for name, fit in _fits(fits)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def smooth_points(df: DataFrame, fits: DataFrame) -> DataFrame:
+    """Points and rug of the four curves: a row for each complete case of each model."""
+    from carelog.operators.splines import points
+    tables = [points(df, fit, ["patientunitstayid"]).withColumn("model", F.lit(name)) for name, fit in _fits(fits)]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def transition_chisq(day12: DataFrame) -> DataFrame:
     """For each day-2 phenotype, each other day-1 phenotype against those that were
     in it on day 1: 2x2 chi-square (without correction) of being there on day 2.

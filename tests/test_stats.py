@@ -144,7 +144,7 @@ def _bspline_matrix(x, lo, width, intervals):
 
 
 def test_spline_equals_an_independent_solve(spark):
-    from carelog.operators.splines import curve, gam_fit
+    from carelog.operators.splines import curve, gam_fit, points, summary_frame
     rng = np.random.default_rng(11)
     x, z = rng.random(800), rng.integers(0, 2, 800).astype(float)
     y = np.sin(2 * np.pi * x) + 0.3 * z + rng.normal(0, 0.2, 800)
@@ -157,16 +157,27 @@ def test_spline_equals_an_independent_solve(spark):
     pen = np.zeros((m + 1, m + 1))
     pen[:m, :m] = d2.T @ d2
     gram = design.T @ design
-    scores = {}
-    for lam in (1e4, 1e3, 1e2, 10.0, 1.0, 0.1, 0.01):
+
+    def solve(lam):
         a = np.linalg.inv(gram + lam * np.trace(gram) / (m + 1) * pen)
         b = a @ design.T @ y
         edf = np.trace(a @ gram)
-        scores[lam] = (800 * ((y - design @ b) ** 2).sum() / (800 - edf) ** 2, edf, b)
-    lam = min(scores, key=lambda v: scores[v][0])
-    assert fit["lambda"] == lam and abs(fit["edf"] - scores[lam][1]) < 1e-6
-    assert abs(fit["beta"][-1] - scores[lam][2][-1] / z.std()) < 1e-8 and abs(fit["beta"][-1] - 0.3) < 0.05
+        return 800 * ((y - design @ b) ** 2).sum() / (800 - edf) ** 2, edf, b
+    score, edf, beta = solve(fit["lambda"])
+    assert abs(fit["score"] - score) < 1e-9 and abs(fit["edf"] - edf) < 1e-6
+    assert fit["score"] <= min(solve(lam)[0] for lam in np.geomspace(1e-6, 1e6, 200)) + 1e-12
+    assert abs(fit["beta"][-1] - beta[-1] / z.std()) < 1e-8 and abs(fit["beta"][-1] - 0.3) < 0.05
     assert fit["deviance"] < fit["null_deviance"] and 3 < fit["edf_smooth"] < 12
+    row = summary_frame(spark, fit).first()
+    rss = ((y - design @ beta) ** 2).sum()
+    assert abs(row.deviance_explained - (1 - rss / ((y - y.mean()) ** 2).sum())) < 1e-9
+    assert abs(row.adjusted_r2 - (1 - rss / (800 - edf) / y.var(ddof=1))) < 1e-9 and abs(row.scale - rss / (800 - edf)) < 1e-9
+    got = {round(r.x, 12): r for r in points(df, fit).collect()}
+    fitted = design @ beta
+    for k in range(0, 800, 37):
+        r = got[round(x[k], 12)]
+        assert abs(r.residual - (y[k] - fitted[k])) < 1e-8 and r.rug == ("above" if y[k] > fitted[k] else "below")
+        assert abs(r.curve - (fitted[k] - 0.0) - fit["beta"][-1] * (np.median(z) - z[k])) < 1e-8 and abs(r.partial - r.curve - r.residual) < 1e-12
     err = max(abs(r.fit - (math.sin(2 * math.pi * r.x) + 0.3 * np.median(z))) for r in curve(spark, fit, points=21).collect()[2:-2])
     assert err < 0.15
 
@@ -208,13 +219,72 @@ def test_binomial_spline_against_newton_steps(spark):
     assert rows["z"].p_value < 1e-3 and rows["s(x)"].estimate is None
 
 
+def test_points_of_a_binomial_fit(spark):
+    """Working residuals on the logit scale; rows with a null in any term have no point."""
+    from carelog.operators.splines import gam_fit, points
+    rng = np.random.default_rng(21)
+    x = rng.uniform(0, 10, 500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x - 5) / 2))).astype(float)
+    rows = [(k, float(a), float(b), float(k % 7)) for k, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows + [(900, None, 1.0, 1.0), (901, 2.0, None, 1.0), (902, 2.0, 1.0, None)], "id int, x double, y double, z double")
+    fit = gam_fit(df, "y", "x", ["z"], family="binomial")
+    got = {r.id: r for r in points(df, fit, ["id"]).collect()}
+    assert sorted(got) == list(range(500))
+    lo, width, k = fit["basis"]
+    basis = _bspline_matrix(np.minimum(x, lo + width * k - 1e-12), lo, width, k)
+    eta = basis @ fit["beta"][:-1] + fit["beta"][-1] * (np.arange(500) % 7)
+    mu = 1 / (1 + np.exp(-eta))
+    for j in range(0, 500, 29):
+        r = got[j]
+        assert abs(r.response_residual - (y[j] - mu[j])) < 1e-7 and abs(r.residual - (y[j] - mu[j]) / (mu[j] * (1 - mu[j]))) < 1e-5
+        assert (r.rug == "above") == (y[j] == 1)
+
+
+def test_penalty_search_of_the_working_model(spark):
+    """The score of the last working model is no worse than on a grid of 200, and its derivatives are those of the score."""
+    from carelog.operators.splines import LOG_RANGE, Penalty
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 9))
+    x[:, 8] = x[:, 7]  # two columns alike
+    z = x @ rng.normal(0, 1, 9) + rng.normal(0, 2, 300)
+    d2 = np.diff(np.eye(9), 2, axis=0)
+    for family in ("gaussian", "binomial"):
+        s = Penalty(x.T @ x, x.T @ z, z @ z, 300, d2.T @ d2, family)
+        assert s.score(s.best())[0] <= min(s.score(r)[0] for r in np.linspace(*LOG_RANGE, 200)) + 1e-12
+        for rho in (-3.0, 0.5, 4.0):
+            up, down, (v, first, second) = s.score(rho + 1e-4)[0], s.score(rho - 1e-4)[0], s.score(rho)
+            assert abs((up - down) / 2e-4 - first) < 1e-6 * max(1, abs(v)) and abs((up - 2 * v + down) / 1e-8 - second) < 1e-3 * max(1, abs(v))
+
+
+def test_weighted_chi_square_tail_against_simulation():
+    from carelog.operators.splines import weighted_chisq_sf
+    rng = np.random.default_rng(1)
+    n = 400_000
+    for whole, f in ((0, 0.5), (2, 0.25), (5, 0.8)):
+        half = math.sqrt(1 - f * f)
+        w = (1 + f + half) / 2, (1 + f - half) / 2
+        q = rng.chisquare(1, n) * w[0] + rng.chisquare(1, n) * w[1] + (rng.chisquare(whole, n) if whole else 0)
+        for x in (0.5, 2.0, 6.0, 12.0):
+            assert abs(weighted_chisq_sf(x, whole, *w) - (q > x).mean()) < 4 * math.sqrt(0.25 / n)
+    assert abs(weighted_chisq_sf(3.0, 3, 1.0, 1.0) - S.chisq_sf(3.0, 5)) < 1e-9
+    assert abs(weighted_chisq_sf(3.0, 3, 1.0, 1e-12) - S.chisq_sf(3.0, 4)) < 1e-3
+
+
+def test_levels_outside_the_list_raise(spark):
+    import pytest
+    df = spark.createDataFrame([("a", "L"), ("b", "Q")], "r string, c string").withColumns({"st": F.lit("x"), "v": F.lit(1.0)})
+    for made in (S.crosstab(df, "r", "c", ["L"]), S.transition_matrix(df, "r", "c", ["a", "b", "L"]), S.transition_outcomes(df, "r", "c", "st", "x", "v", ["a", "b", "L"])):
+        with pytest.raises(Exception, match="none of the levels"):
+            made.collect()
+
+
 def test_fits_that_run_off_say_so(spark):
     from carelog.operators.splines import NotConverged, gam_fit
     import pytest
     data = [(float(i), float(i >= 50)) for i in range(100)]
     df = spark.createDataFrame(data, "x double, y double")
     with pytest.raises(NotConverged):
-        gam_fit(df, "y", "x", family="binomial", max_iter=12)
+        gam_fit(df, "y", "x", family="binomial", max_iter=12, penalty=0.01)
     with pytest.raises(ValueError):
         gam_fit(df.filter("y = 1"), "y", "x", family="binomial")
     row = S.logistic_regression(df.withColumn("g", F.when(F.col("y") == 1, "a").otherwise("b")), "y", [], factor="g",
