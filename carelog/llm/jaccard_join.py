@@ -13,9 +13,10 @@ Skipping inside lists.  Entries lie in blocks by size; a set meets only the bloc
 its size can link to.  There the join makes all pairs, and a filter leaves those
 whose positions still allow the overlap that the threshold needs.
 
-Skipping by relations between sets.  The smallest set of a list is its leader, and
-a set joins the family of the leader with which it shares most lists.  Sets of a
-family are like their leader, so they are compared together: overlaps of all pairs
+Skipping by relations between sets.  The smallest set of a list is its leader; a set
+and a leader are alike if they share one in ``FAMILY_SHARE`` of the set's prefix, and
+what this connects is a family.  Sets of a
+family are like each other, so they are compared together: overlaps of all pairs
 of them come from one matrix product over the shingles they have in common, plus
 the few shared rare ones (none is derived from another set's answers).  Sets linked through others need no comparison of
 their own: in large families, cut into blocks, only sets outside the largest
@@ -50,7 +51,7 @@ LOCAL_COUNT = 4
 CHUNK = 1_000_000
 #: At most this many shingles are sent out as frequent ones (8 MB).
 MOST_FREQUENT = 1 << 20
-#: A set joins a family if it shares one in so many of its prefix shingles with the leader.
+#: A set and a leader are alike if they share one in so many of the set's prefix shingles.
 FAMILY_SHARE = 8
 #: Shingles and sets of a family that one task compares with each other.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
@@ -378,17 +379,16 @@ def _groups(docs: DataFrame, text: str, row_id: str, width: int, num: int, block
     shared = saved(shared_lists(prefix_index(docs, order, text, width, num)), "shared")
 
     counted = shared.where("sid <> leader").groupBy("sid", "n", "leader").agg(F.count("*").alias("c"))
-    best = counted.groupBy("sid", "n").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"), F.max("c").alias("c"))
     alike = FAMILY_SHARE * F.col("c") >= F.col("n") - F.ceil(F.col("n") * num / 100) + 1
-    members = saved(best.where(alike).select(F.col("leader").alias("family"), "sid", "n"), "members")
+    steps = counted.where(alike).select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+    grouped = saved(components(steps).select(F.col("node").alias("sid"), F.col("root").alias("family")), "families")
     own = shared.groupBy("sid").agg(F.first("n").alias("n"))
-    centres = members.select(F.col("family").alias("sid")).distinct().join(own, "sid").select(F.col("sid").alias("family"), "sid", "n")
-    family = own.join(members.select("sid", "family"), "sid", "left").select("sid", F.coalesce("family", "sid").alias("family"))
+    family = own.join(grouped, "sid", "left").select("sid", F.coalesce("family", "sid").alias("family"))
 
     first = rows.groupBy("sid").agg(F.min("id").alias("id"))  # a text with each set
     fetch = lambda sids, name: saved(fetch_sets(docs, saved(first.join(sids, "sid", "left_semi"), "wanted"), text, row_id, width), name)
-    everyone = saved(members.unionAll(centres), "members")
-    sets = fetch(everyone.select("sid").distinct(), "hashes")
+    everyone = saved(grouped.join(own, "sid").select("family", "sid", "n"), "members")
+    sets = fetch(everyone.select("sid"), "hashes")
     near = saved(family_edges(everyone, sets, num, block_shingles), "links")
     root = components(near).select(F.col("node").alias("sid"), "root")
     pairs = cross_pairs(shared, family, root, num)
