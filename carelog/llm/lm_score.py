@@ -170,6 +170,12 @@ class Lookup:
         self.keys = np.concatenate([[-1], keys[order]]).astype(np.int64)  # row 0 is no key's
         self.values = np.concatenate([[0], values[order]]).astype(np.float32)
 
+    @classmethod
+    def of(cls, arrays: tuple) -> Lookup:
+        out = cls.__new__(cls)
+        out.keys, out.values = arrays
+        return out
+
     def at(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, 0 where it is not held."""
         at = np.searchsorted(self.keys, keys, "right") - 1
@@ -210,6 +216,18 @@ class Memory:
         self.context = self.contexts.values
         self.triple_rest = np.maximum(1 - np.bincount(at, value, len(self.context)), 1e-6).astype(np.float32)
 
+    def arrays(self) -> tuple:
+        """What the object holds, as plain arrays: a broadcast must not name this package's classes, which workers may lack."""
+        plain = (self.count, self.single, self.pair_rest, self.context, self.triple_rest)
+        return plain, *((x.keys, x.values) for x in (self.pair, self.contexts, self.triple))
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Memory:
+        out = cls.__new__(cls)
+        (out.count, out.single, out.pair_rest, out.context, out.triple_rest), *lookups = arrays
+        out.pair, out.contexts, out.triple = map(Lookup.of, lookups)
+        return out
+
     def __call__(self, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool = False) -> np.ndarray:
         """Probability of ``x`` after (two, one); with ``itself``, as if this occurrence were not counted.
 
@@ -416,11 +434,12 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def train(gathered: DataFrame, shared) -> np.ndarray:
-    """Parameters after all rounds; ``shared`` is a broadcast of (single, memory, words)."""
+    """Parameters after all rounds; ``shared`` is a broadcast of (single, arrays of the memory, words)."""
     theta = Attention(shared.value[0]).theta
     for turn in range(ROUNDS):
         def run(batches, theta=theta):
             single, memory, _ = shared.value
+            memory = Memory.of(memory)
             model = Attention(single, theta.copy())
             past = np.full(len(theta), 1e-6, np.float32)
             used = 0
@@ -449,6 +468,7 @@ def score_texts(docs: DataFrame, vocab, shared, theta: np.ndarray) -> DataFrame:
 
     def run(batches):
         single, memory, common = shared.value
+        memory = Memory.of(memory)
         words = Words(vocab, common)
         model = Attention(single, theta.copy())
         number = TaskContext.get().partitionId() << 40
@@ -501,7 +521,7 @@ def lm_scores(docs: DataFrame, text: str = "text", row_id: str = "doc_id", held_
     single = most_frequent(counts("id1"), IDS)
     memory = Memory(single, most_frequent(saved(counts("id2"), "pairs"), PAIR_SLOTS),
                     most_frequent(saved(counts("id3"), "triples"), TRIPLE_SLOTS))
-    shared = docs.sparkSession.sparkContext.broadcast((single, memory, most_frequent(words, WORDS)))
+    shared = docs.sparkSession.sparkContext.broadcast((single, memory.arrays(), most_frequent(words, WORDS)))
     theta = train(gathered, shared)
     scored = saved(score_texts(rows.drop("pick"), vocab, shared, theta), "scored")
     shared.unpersist()
