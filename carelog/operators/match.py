@@ -110,14 +110,34 @@ def _reduce_per_time(df: DataFrame, by: list[str], time: str, structs: dict[str,
     return df.groupBy(*by, time).agg(*aggs).select(*by, time, *post)
 
 
-def within_window(events: DataFrame, windows: DataFrame, key: str, t: str,
-                  start: str, length, how: str = "left_semi") -> DataFrame:
+def within_window(events: DataFrame, windows: DataFrame, key: str, t: str, start: str, length: int) -> DataFrame:
     """Events of ``key`` whose time lies in ``[start, start + length]`` of at
-    least one window row of the same key (semi-join: each event once).
-
-    An equi-join on the key with a range condition; AQE splits skewed key
-    partitions of the event side.
+    least one window row of the same key (each event once).
+
+    Windows are of one length, so an event is covered if the latest start at or
+    before it is not further back than that: one running maximum over starts and events
+    sorted by time replaces the pairs.  Time is cut into blocks of that length: a
+    window lies in the block of its start and the next one, so a key's events are
+    sorted block by block, and a hot key spreads over many tasks.  Starts are reduced to
+    one for each key, block and time first.  Rows without key or time match nothing.
     """
-    w = windows.select(F.col(key).alias("_wk"), F.col(start).alias("_ws"))
-    cond = (F.col(key) == F.col("_wk")) & F.col(t).between(F.col("_ws"), F.col("_ws") + F.lit(length))
-    return events.join(w, cond, how)
+    block = lambda c: F.floor(F.col(c) / F.lit(max(length, 1)))
+    taken = [*events.columns, key]
+    at, first, cell, is_event = (_free(taken, n) for n in ("_at", "_start", "_block", "_event"))
+    starts = (windows.filter(F.col(key).isNotNull() & F.col(start).isNotNull())
+              .select(F.col(key), F.col(start).alias(first)).distinct()
+              .select(key, first, F.col(first).alias(at), F.explode(F.array(block(first), block(first) + 1)).alias(cell), F.lit(False).alias(is_event)))
+    rows = (events.filter(F.col(key).isNotNull() & F.col(t).isNotNull())
+            .withColumns({at: F.col(t), cell: block(t), is_event: F.lit(True)}))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    w = (Window.partitionBy(key, cell).orderBy(at, is_event)  # a start before the events of its time
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = _free([*taken, at, first, cell, is_event], "_last")
+    return (both.withColumn(last, F.max(first).over(w))
+            .filter(F.col(is_event) & (F.col(at) <= F.col(last) + F.lit(length))).select(*events.columns))
+
+
+def _free(taken: list[str], name: str) -> str:
+    while name in taken:
+        name += "_"
+    return name

@@ -22,7 +22,7 @@ from carelog.plans import oxygen as OX
 from carelog.plans import pf as PF
 from carelog.plans import sofa as SOFA
 from carelog.session import step_table
-from carelog.sources.fixtures import derive, source_key
+from carelog.sources.fixtures import STAY, derive, source_key, stay_buckets
 
 from carelog.plans.registry import ORACLE, QUERIES, register, round_doubles  # noqa: F401
 
@@ -36,32 +36,79 @@ def _oxygen(t):
     return OX.oxygen_therapy(t["respiratorycharting"], t["nursecharting"], t["treatment"], t["patient"])
 
 
+#: The study's table steps: the modules of ``plans`` that make each, and the steps that it reads.
+STEPS = {
+    "lungcompliance": (["compliance"], []),
+    "ventilated_cohort": (["pf", "oxygen"], []),
+    "first_pfratio": (["pf", "oxygen"], ["ventilated_cohort"]),
+    "sofa": (["sofa"], []),
+    "combined": (["combined"], ["lungcompliance", "first_pfratio", "sofa"]),
+    "day12": (["combined"], ["lungcompliance", "combined"]),
+    "analysis": (["report"], ["combined"]),
+    "smooth_fits": (["report"], ["analysis"]),
+}
+
+
 @cache
-def _code() -> str:
-    """Names this version of the library's code."""
+def _code(*modules: str) -> str:
+    """Names this version of some plan modules and of the functions and operators that all of them use."""
     here = Path(__file__).resolve().parent.parent
-    files = [p for d in ("functions", "operators", "plans", "sources") for p in sorted((here / d).glob("*.py"))]
-    return hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:8]
+    shared = [p for d in ("functions", "operators", "sources") for p in sorted((here / d).glob("*.py"))]
+    own = [here / "plans" / f"{m}.py" for m in modules]
+    return hashlib.sha1(b"".join(p.read_bytes() for p in [*shared, *own])).hexdigest()
+
+
+@cache
+def step_version(name: str) -> str:
+    """Changes with the code of a step and of all steps before it, and with no other."""
+    modules, inputs = STEPS[name]
+    return hashlib.sha1("".join([name, _code(*modules), *map(step_version, inputs)]).encode()).hexdigest()[:8]
+
+
+class Study:
+    """The study's steps over one folder of tables: each is written once for the state of its sources and code.
 
+    A step that is already written is read without looking at those before it.
+    """
 
-def _steps(spark, sf_dir):
-    """``step(name, make)``: the study's table steps, written once for each state of sources and code."""
-    key = f"{source_key(spark, sf_dir)}-{_code()}"
-    return lambda name, make: step_table(spark, name, key, make)
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir, self.key = spark, sf_dir, source_key(spark, sf_dir)
+        self.buckets = stay_buckets(spark, sf_dir)
 
+    def step(self, name, make, by=STAY):
+        """All steps but the fits are laid out by stay, so that joins between them need no shuffle."""
+        return step_table(self.spark, name, f"{self.key}-{step_version(name)}", make, by, self.buckets)
 
-def _first_pf(t, step=None):
-    return PF.first_pfratio(t, _oxygen(t), step=step)
+    def tables(self, *names):
+        return _t(self.spark, self.sf_dir, *names)
 
+    def lungcompliance(self):
+        return self.step("lungcompliance", lambda: CMP.lung_compliance(self.tables("respiratorycharting")["respiratorycharting"]))
 
-def _combined(spark, sf_dir):
-    """Analysis table and compliance rows, as written steps like the study's own tables."""
-    t, step = _t(spark, sf_dir), _steps(spark, sf_dir)
-    lc = step("lungcompliance", lambda: CMP.lung_compliance(t["respiratorycharting"]))
-    fp = step("first_pfratio", lambda: _first_pf(t, step))
-    so = step("sofa", lambda: SOFA.sofa(t))
-    cm = step("combined", lambda: CB.combined(fp, lc, so, t["vitalperiodic"], t["lab"], t["diagnosis"]))
-    return cm, lc
+    def first_pfratio(self):
+        def make():
+            t = self.tables()
+            return PF.first_pfratio(t, _oxygen(t), step=self.step)
+        return self.step("first_pfratio", make)
+
+    def sofa(self):
+        return self.step("sofa", lambda: SOFA.sofa(self.tables()))
+
+    def combined(self):
+        def make():
+            t = self.tables("vitalperiodic", "lab", "diagnosis")
+            return CB.combined(self.first_pfratio(), self.lungcompliance(), self.sofa(), t["vitalperiodic"], t["lab"], t["diagnosis"])
+        return self.step("combined", make)
+
+    def day12(self):
+        return self.step("day12", lambda: CB.day12(self.lungcompliance(), self.combined()))
+
+    def analysis(self):
+        return self.step("analysis", lambda: R.prepare(self.combined()))
+
+    def smooth_fits(self):
+        """The fitted smooth models, shared by their summaries, curves and points."""
+        return self.step("smooth_fits", lambda: R.smooth_models(self.analysis()), by=None)
 
 
 @register("pipe_oxygen", O.oxygen_sql())
@@ -97,12 +144,12 @@ def pipe_compliance(spark, sf_dir):
 
 @register("pipe_pf", O.pf_sql())
 def pipe_pf(spark, sf_dir):
-    return round_doubles(_first_pf(_t(spark, sf_dir), _steps(spark, sf_dir)))
+    return round_doubles(Study(spark, sf_dir).first_pfratio())
 
 
 @register("pipe_combined", O.combined_sql())
 def pipe_combined(spark, sf_dir):
-    return round_doubles(_combined(spark, sf_dir)[0])
+    return round_doubles(Study(spark, sf_dir).combined())
 
 
 @register("pipe_day12", O.day12_sql())
@@ -115,12 +162,11 @@ from carelog.plans import report as R  # noqa: E402
 
 
 def _report_df(spark, sf_dir):
-    return _steps(spark, sf_dir)("analysis", lambda: R.prepare(_combined(spark, sf_dir)[0]))
+    return Study(spark, sf_dir).analysis()
 
 
 def _day12_df(spark, sf_dir):
-    cm, lc = _combined(spark, sf_dir)
-    return _steps(spark, sf_dir)("day12", lambda: CB.day12(lc, cm))
+    return Study(spark, sf_dir).day12()
 
 
 def _prep_sql() -> str:
@@ -297,28 +343,22 @@ def report_transition_chisq(spark, sf_dir):
     return round_doubles(R.transition_chisq(_day12_df(spark, sf_dir)))
 
 
-def _fits(spark, sf_dir):
-    """The fitted smooth models, a written step that the three queries below share."""
-    df = _report_df(spark, sf_dir)
-    return df, _steps(spark, sf_dir)("smooth_fits", lambda: R.smooth_models(df))
-
-
 @register("report_gam")
 def report_gam(spark, sf_dir):
     """ST6/ST8: the four smooth models' terms (checked in tests against an independent solve)."""
-    return round_doubles(R.smooth_summaries(_fits(spark, sf_dir)[1]))
+    return round_doubles(R.smooth_summaries(Study(spark, sf_dir).smooth_fits()))
 
 
 @register("report_gam_curves")
 def report_gam_curves(spark, sf_dir):
     """ST7: the four fitted curves with bands, other terms at their medians."""
-    return round_doubles(R.smooth_curves(_fits(spark, sf_dir)[1]))
+    return round_doubles(R.smooth_curves(Study(spark, sf_dir).smooth_fits()))
 
 
 @register("report_gam_points")
 def report_gam_points(spark, sf_dir):
     """ST7: points (partial residuals) and rug of the four curves, a row for each complete case and model."""
-    return round_doubles(R.smooth_points(*_fits(spark, sf_dir)))
+    return round_doubles(R.smooth_points(_report_df(spark, sf_dir), Study(spark, sf_dir).smooth_fits()))
 
 
 # driver-table queries register themselves on import

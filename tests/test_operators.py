@@ -115,3 +115,28 @@ def test_nearest_reduction_is_hash_aggregated(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     r = m.first()
     assert (r.t, r.c.t, r.c.v.cv) == (5, 7, 2.0)
+
+
+def test_windows_are_swept_without_pairs(spark):
+    """One key holds half of all events and 1,000 windows; nulls, ties and both ends of a window."""
+    import random
+
+    from carelog.operators.match import within_window
+    rng = random.Random(4)
+    events = [(k if k % 2 else 0, rng.randint(-500, 200_000), k) for k in range(4000)]
+    events += [(0, None, -1), (None, 5, -2), (7, 100, -3), (7, 110, -4), (7, 111, -5), (7, 99, -6), (7, 100, -7)]
+    windows = [(0, rng.randint(-500, 200_000)) for _ in range(1000)] + [(k, rng.randint(0, 200_000)) for k in range(1, 4000, 7)]
+    windows += [(7, 100), (7, 100), (None, 5), (7, None)]
+    e = spark.createDataFrame(events, "key long, t int, _start int")
+    w = spark.createDataFrame(windows, "key long, s int")
+    for length in (10, 0, 1440):
+        out = within_window(e, w, "key", "t", "s", length)
+        assert out.columns == e.columns
+        starts = {}
+        for k, s in windows:
+            if k is not None and s is not None:
+                starts.setdefault(k, set()).add(s)
+        want = sorted(x for k, t, x in events if t is not None and any(s <= t <= s + length for s in starts.get(k, ())))
+        assert sorted(r["_start"] for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
