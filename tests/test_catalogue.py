@@ -39,7 +39,7 @@ def duck():
 
 
 #: The analysis table of sf0.001 has four stays: too few for models of seven terms.
-LARGER = {"report_models", "report_odds_ratios", "report_odds_ratios_adjusted"}
+LARGER = {"report_models", "report_odds_ratios", "report_odds_ratios_adjusted", "report_gam", "report_gam_curves", "report_gam_points"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -57,17 +57,22 @@ def test_queries_without_sql_have_sound_values(spark):
     (and compared with independent solves in test_stats)."""
     rest = set(QUERIES) - set(ORACLE)
     fits = {"report_gam": 11, "report_gam_curves": 400, "spline_fit": 2, "partial_effect": 100}
-    assert rest <= {*fits, "report_odds_ratios_adjusted", "report_transition_pf_tests"}, rest
-    for name in ("spline_fit", "partial_effect", "report_odds_ratios_adjusted", "report_transition_pf_tests"):
+    assert rest <= {*fits, "report_gam_points", "report_odds_ratios_adjusted"}, rest
+    for name in ("spline_fit", "partial_effect", "report_gam", "report_gam_curves", "report_gam_points", "report_odds_ratios_adjusted"):
         rows = QUERIES[name](spark, SF01 if name in LARGER else SF001).collect()
         if name == "spline_fit":
             assert len(rows) == 2 and all(r.converged and r.deviance <= r.null_deviance and 0 <= r.p_value <= 1 for r in rows)
         elif name == "partial_effect":
             assert len(rows) == 100 and all(0 <= r.prob_lower <= r.prob <= r.prob_upper <= 1 for r in rows)
-        elif name == "report_odds_ratios_adjusted":
-            assert len(rows) == 14 and all(r.separated or r.profile_low < r.odds_ratio < r.profile_high for r in rows)
+        elif name == "report_gam":
+            assert len(rows) == fits[name] and all(r.converged and r.deviance <= r.null_deviance + 1e-6 and r.deviance_explained < 1 for r in rows)
+        elif name == "report_gam_curves":
+            assert len(rows) == fits[name] and all(r.lower <= r.fit <= r.upper for r in rows)
+        elif name == "report_gam_points":
+            assert {r.rug for r in rows} <= {"above", "below"} and all((r.residual > 0) == (r.rug == "above") or abs(r.residual) < 1e-6 for r in rows)
+            assert all(abs(r.partial - r.curve - r.residual) < 1e-5 * max(1, abs(r.partial)) for r in rows)
         else:
-            assert all(r.p_value is None or 0 <= r.p_value <= 1 for r in rows)
+            assert len(rows) == 14 and all(r.separated or r.profile_low < r.odds_ratio < r.profile_high for r in rows)
 
 
 def _plan(df):
