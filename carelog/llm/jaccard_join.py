@@ -14,8 +14,8 @@ its size can link to.  There the join makes all pairs, and a filter leaves those
 whose positions still allow the overlap that the threshold needs.
 
 Skipping by relations between sets.  The smallest set of a list is its leader; a set
-and a leader are alike if they share one in ``FAMILY_SHARE`` of the set's prefix, and
-what this connects is a family.  Sets of a
+and a leader are alike if they share one in ``FAMILY_SHARE`` of the set's prefix and
+``FAMILY_LEAST`` shingles, and what this connects is a family.  Sets of a
 family are like each other, so they are compared together: overlaps of all pairs
 of them come from one matrix product over the shingles they have in common, plus
 the few shared rare ones (none is derived from another set's answers).  Sets linked through others need no comparison of
@@ -51,12 +51,13 @@ LOCAL_COUNT = 4
 CHUNK = 1_000_000
 #: At most this many shingles are sent out as frequent ones (8 MB).
 MOST_FREQUENT = 1 << 20
-#: A set and a leader are alike if they share one in so many of the set's prefix shingles.
-FAMILY_SHARE = 8
+#: A set and a leader are alike if they share one in so many of the set's prefix shingles,
+#: and at least so many (or all): one shingle in common joins short sets that are not alike.
+FAMILY_SHARE, FAMILY_LEAST = 8, 3
 #: Shingles and sets of a family that one task compares with each other.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1000
-#: Parts of the list of a frequent shingle.
-PARTS = 64
+#: Parts of the list of a shingle counted 2 ** SPLIT_CLASS times or more.
+PARTS, SPLIT_CLASS = 64, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,16 +128,24 @@ def describe(docs: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
 
 
 def frequent_order(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles (sorted) and the rank class of each; a bounded number."""
-    total = described.agg(F.sum("n")).first()[0] or 0
-    least = max(64, total // MOST_FREQUENT)
-    got = (described.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
-           .where(F.col("c") >= least).select("token", "c").toArrow())
+    """Frequent shingles (sorted) and the class of each, its count's power of two.
+
+    Those of the highest classes that fit ``MOST_FREQUENT`` shingles together are
+    told apart; all others count as class 0, the rarest.
+    """
+    counts = (described.where("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
+              .select("token", F.floor(F.log2(F.col("c").cast("double"))).cast("int").alias("class")))
+    sizes = {r["class"]: r["count"] for r in counts.groupBy("class").count().collect()}
+    least, held = 64, 0
+    for c in sorted(sizes, reverse=True):
+        held += sizes[c]
+        if held > MOST_FREQUENT:
+            break
+        least = c
+    got = counts.where(F.col("class") >= least).toArrow()
     tokens = got.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    c = got.column("c").to_numpy().astype(np.int64)
     order = np.argsort(tokens)
-    classes = np.minimum(np.log2(np.maximum(c, 1) / least).astype(np.int64) + 1, 60).astype(np.uint8)
-    return tokens[order], classes[order]
+    return tokens[order], got.column("class").to_numpy().astype(np.uint8)[order]
 
 
 def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: str, width: int, num: int) -> DataFrame:
@@ -165,7 +174,7 @@ def prefix_index(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], text: st
                     s, rank = s[by], rank[by]
                 p = prefix_length(len(s), num)
                 cols[0].append(s[:p])
-                cols[1].append(np.where(rank[:p] > 0, sid % PARTS, -1).astype(np.int32))
+                cols[1].append(np.where(rank[:p] >= SPLIT_CLASS, sid % PARTS, -1).astype(np.int32))
                 cols[2].append(np.full(p, sid, np.int64))
                 cols[3].append(np.full(p, len(s), np.int32))
                 cols[4].append(np.arange(p, dtype=np.int32))
@@ -192,7 +201,9 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     leaders = (often.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last")
                .select("token", F.col("first").alias("leader")))
     columns = ["token", "sid", "n", "pos", "leader"]
-    return local.where("part < 0").select(*columns).unionAll(often.drop("leader").join(leaders, "token").select(*columns))
+    out = saved(local.where("part < 0").select(*columns).unionAll(often.drop("leader").join(leaders, "token").select(*columns)), "shared")
+    discard(local)
+    return out
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, text: str, row_id: str, width: int) -> DataFrame:
@@ -376,10 +387,11 @@ def _groups(docs: DataFrame, text: str, row_id: str, width: int, num: int, block
     rows = everything.where("id is not null")
     docs = docs.where(F.col(row_id).isNotNull())
     order = frequent_order(described)
-    shared = saved(shared_lists(prefix_index(docs, order, text, width, num)), "shared")
+    shared = shared_lists(prefix_index(docs, order, text, width, num))
 
     counted = shared.where("sid <> leader").groupBy("sid", "n", "leader").agg(F.count("*").alias("c"))
-    alike = FAMILY_SHARE * F.col("c") >= F.col("n") - F.ceil(F.col("n") * num / 100) + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * num / 100) + 1
+    alike = (FAMILY_SHARE * F.col("c") >= prefix) & (F.col("c") >= F.least(prefix, F.lit(FAMILY_LEAST)))
     steps = counted.where(alike).select(F.col("sid").alias("a"), F.col("leader").alias("b"))
     grouped = saved(components(steps).select(F.col("node").alias("sid"), F.col("root").alias("family")), "families")
     own = shared.groupBy("sid").agg(F.first("n").alias("n"))
@@ -390,8 +402,10 @@ def _groups(docs: DataFrame, text: str, row_id: str, width: int, num: int, block
     everyone = saved(grouped.join(own, "sid").select("family", "sid", "n"), "members")
     sets = fetch(everyone.select("sid"), "hashes")
     near = saved(family_edges(everyone, sets, num, block_shingles), "links")
+    discard(sets)
     root = components(near).select(F.col("node").alias("sid"), "root")
     pairs = cross_pairs(shared, family, root, num)
+    discard(shared)
     apart = fetch(pairs.select(F.col("x").alias("sid")).unionAll(pairs.select("y")).distinct(), "hashes")
     edges = near.unionAll(verify(pairs, apart, num))
     root = saved(components(edges), "roots")

@@ -90,3 +90,17 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_sets_of_few_words_are_no_family(spark, monkeypatch):
+    """Texts of repeated words share single shingles with many others; that alone joins no family."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(" ".join([f"v{rng.randrange(60)}"] * 9) for _ in range(8))) for i in range(400)]
+    docs += [(1000 + i, t + " end") for i, t in docs[:40]]
+    members = []
+    real = J.family_edges
+    monkeypatch.setattr(J, "family_edges", lambda m, *a: members.append(m.groupBy("family").count().agg(F.max("count")).first()[0]) or real(m, *a))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in J.similar_groups(frame).collect()}
+    assert got == brute(docs)
+    assert members[0] < 40
