@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -90,6 +91,16 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now.
+
+    It does so once the driver has collected the plans, which a large heap puts off
+    for long; meant for a few places where much has been shuffled.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text (one row at least)."""
     for b in batches:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, likely, lower_bytes, pieces, saved, scratch, table, texts_of, tidy
+from .common import discard, free_shuffles, likely, lower_bytes, pieces, saved, scratch, table, texts_of, tidy
 from .components import components
 
 #: Shingles counted this often in one task enter the global count.
@@ -203,6 +203,7 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     columns = ["token", "sid", "n", "pos", "leader"]
     out = saved(local.where("part < 0").select(*columns).unionAll(often.drop("leader").join(leaders, "token").select(*columns)), "shared")
     discard(local)
+    free_shuffles(postings.sparkSession)
     return out
 
 
@@ -398,15 +399,16 @@ def _groups(docs: DataFrame, text: str, row_id: str, width: int, num: int, block
     family = own.join(grouped, "sid", "left").select("sid", F.coalesce("family", "sid").alias("family"))
 
     first = rows.groupBy("sid").agg(F.min("id").alias("id"))  # a text with each set
-    fetch = lambda sids, name: saved(fetch_sets(docs, saved(first.join(sids, "sid", "left_semi"), "wanted"), text, row_id, width), name)
+    fetch = lambda sids: fetch_sets(docs, saved(first.join(sids, "sid", "left_semi"), "wanted"), text, row_id, width)
     everyone = saved(grouped.join(own, "sid").select("family", "sid", "n"), "members")
-    sets = fetch(everyone.select("sid"), "hashes")
-    near = saved(family_edges(everyone, sets, num, block_shingles), "links")
-    discard(sets)
+    # hashes do not compress: made from the texts for each use, not written
+    near = saved(family_edges(everyone, fetch(everyone.select("sid")), num, block_shingles), "links")
+    free_shuffles(docs.sparkSession)
     root = components(near).select(F.col("node").alias("sid"), "root")
     pairs = cross_pairs(shared, family, root, num)
     discard(shared)
-    apart = fetch(pairs.select(F.col("x").alias("sid")).unionAll(pairs.select("y")).distinct(), "hashes")
+    free_shuffles(docs.sparkSession)
+    apart = saved(fetch(pairs.select(F.col("x").alias("sid")).unionAll(pairs.select("y")).distinct()), "hashes")
     edges = near.unionAll(verify(pairs, apart, num))
     root = saved(components(edges), "roots")
     smallest = (rows.groupBy("sid").agg(F.min("id").alias("least")).join(root.withColumnRenamed("node", "sid"), "sid", "left")
