@@ -26,5 +26,12 @@ def first_match(cases, otherwise=None) -> Column:
     return expr
 
 
+def float_ratio(a, b) -> Column:
+    """``a / b`` as floating point has it: an infinity (or NaN for 0 / 0) over zero, where
+    Spark's division raises.  Zero counts as positive."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def typed_null(dtype: str) -> Column:
     return F.lit(None).cast(dtype)

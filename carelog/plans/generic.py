@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from carelog.functions import clinical as C
 from carelog.functions.parse import digits_only, safe_decimal, safe_double, safe_int
 from carelog.functions.rules import oxygen_support_code
-from carelog.functions.util import first_match, typed_null
+from carelog.functions.util import first_match, float_ratio, typed_null
 from carelog.operators import stats as S
 from carelog.operators.events import dedupe_events, session_summary, sessions, union_events
 from carelog.operators.flags import any_flags
@@ -328,7 +328,7 @@ def interval_pick(spark, sf):
     best = pick_first(m, "user_id", [F.abs(F.col("click_minute") - F.col("purchase_minute")), "click_minute",
                                      "purchase_minute", "cv", "pv"], ["click_minute", "purchase_minute", "cv", "pv"])
     return round_doubles(best.select("user_id", "click_minute", "purchase_minute",
-                                     (100 * F.col("pv") / F.col("cv")).alias("ratio")))
+                                     float_ratio(100 * F.col("pv"), "cv").alias("ratio")))
 
 
 @register("pair_days", f"""
