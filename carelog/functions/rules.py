@@ -30,7 +30,8 @@ class Rule:
         preds = []
         if self.exact:
             preds.append(text.isin(*self.exact))
-        preds += [text.contains(s) for s in self.contains]
+        if self.contains:
+            preds.append(F.exists(F.array(*map(F.lit, self.contains)), lambda s: text.contains(s)))
         preds += [text.contains(s) & ~text.contains(e) for s, e in self.contains_unless]
         out = preds[0]
         for p in preds[1:]:
@@ -50,7 +51,8 @@ def rules_sql(column: str, rules, default=None) -> str:
         preds = []
         if r.exact:
             preds.append(f"{c} IN ({', '.join(_lit(x) for x in r.exact)})")
-        preds += [f"contains({c}, {_lit(x)})" for x in r.contains]
+        if r.contains:
+            preds.append(f"exists(array({', '.join(map(_lit, r.contains))}), _s -> contains({c}, _s))")
         preds += [f"(contains({c}, {_lit(x)}) AND NOT contains({c}, {_lit(e)}))" for x, e in r.contains_unless]
         parts.append(f"WHEN {' OR '.join(preds)} THEN {int(r.code)}")
     tail = f" ELSE {int(default)}" if default is not None else ""
