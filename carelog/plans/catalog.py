@@ -28,6 +28,14 @@ from carelog.plans.registry import ORACLE, QUERIES, register, round_doubles  # n
 
 
 # ------------------------------------------------------------- pipelines
+#: The tables that the operators of a plan read.
+OXYGEN_TABLES = ("respiratorycharting", "nursecharting", "treatment", "patient")
+PF_TABLES = (*OXYGEN_TABLES, "apachepredvar", "lab", "diagnosis")
+SOFA_TABLES = ("patient", "vitalaperiodic", "vitalperiodic", "infusiondrug", "lab", "respiratorycharting", "nursecharting",
+               "intakeoutput", "physicalexam")
+VENT_TABLES = ("respiratorycare", "respiratorycharting", "treatment", "patient")
+
+
 def _t(spark, sf_dir, *names):
     return derive(spark, sf_dir, names or None)
 
@@ -87,12 +95,12 @@ class Study:
 
     def first_pfratio(self):
         def make():
-            t = self.tables()
+            t = self.tables(*PF_TABLES)
             return PF.first_pfratio(t, _oxygen(t), step=self.step)
         return self.step("first_pfratio", make)
 
     def sofa(self):
-        return self.step("sofa", lambda: SOFA.sofa(self.tables()))
+        return self.step("sofa", lambda: SOFA.sofa(self.tables(*SOFA_TABLES)))
 
     def combined(self):
         def make():
@@ -113,18 +121,18 @@ class Study:
 
 @register("pipe_oxygen", O.oxygen_sql())
 def pipe_oxygen(spark, sf_dir):
-    return round_doubles(_oxygen(_t(spark, sf_dir)))
+    return round_doubles(_oxygen(_t(spark, sf_dir, *OXYGEN_TABLES)))
 
 
 @register("pipe_support_dedupe", O.dedupe_sql())
 def pipe_support_dedupe(spark, sf_dir):
-    t = _t(spark, sf_dir)
+    t = _t(spark, sf_dir, *OXYGEN_TABLES[:3])
     return OX.deduped_support_events(t["respiratorycharting"], t["nursecharting"], t["treatment"])
 
 
 @register("pipe_sofa", O.sofa_sql())
 def pipe_sofa(spark, sf_dir):
-    c = SOFA.sofa_components(_t(spark, sf_dir))
+    c = SOFA.sofa_components(_t(spark, sf_dir, *SOFA_TABLES))
     total = (F.col("sofa_cv") + F.col("sofa_respi") + F.col("sofarenal") + F.col("sofacoag")
              + F.col("sofaliver") + F.col("sofacns"))
     return c.select("patientunitstayid", "sofa_cv", "sofa_respi", "sofarenal", "sofacoag", "sofaliver", "sofacns",
@@ -133,7 +141,7 @@ def pipe_sofa(spark, sf_dir):
 
 @register("pipe_mech_vent", O.mech_vent_sql())
 def pipe_mech_vent(spark, sf_dir):
-    t = _t(spark, sf_dir)
+    t = _t(spark, sf_dir, *VENT_TABLES)
     return SOFA.mech_vent(t["respiratorycare"], t["respiratorycharting"], t["treatment"], t["patient"])
 
 

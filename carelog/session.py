@@ -132,7 +132,8 @@ def bucket_count(total: int, target: int = 256 << 20, least: int = 8, most: int
     return min(most, max(least, 1 << max(0, (total // target)).bit_length()))
 
 
-def step_table(spark: SparkSession, name: str, key: str, make, by: str | None = None, buckets: int = 0) -> DataFrame:
+def step_table(spark: SparkSession, name: str, key: str, make, by: str | None = None, buckets: int = 0,
+               placed: bool = False) -> DataFrame:
     """The table ``name`` for ``key``: written once from ``make()``, then read by all later steps.
 
     Cuts lineage (a lost executor recomputes from the written table), keeps later
@@ -143,7 +144,8 @@ def step_table(spark: SparkSession, name: str, key: str, make, by: str | None =
     takes the winner's table.
 
     With ``by`` the table is laid out in ``buckets`` hash buckets of that column, sorted
-    by it: aggregates and joins on the column read it without a shuffle.
+    by it: aggregates and joins on the column read it without a shuffle.  ``placed`` says
+    that ``make()`` only selects from one such table, so its buckets are written in place.
     """
     base = f"{checkpoint_dir(spark)}/carelog-tables/{name}"
     path = f"{base}/{key}"
@@ -153,8 +155,12 @@ def step_table(spark: SparkSession, name: str, key: str, make, by: str | None =
         staged = f"{base}/.staged-{uuid.uuid4().hex}"
         if by:
             draft = f"carelog_draft_{uuid.uuid4().hex}"
-            writer = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
-            writer.option("path", staged).format("parquet").saveAsTable(draft)
+            writer = (df if placed else df.repartition(buckets, by)).write.bucketBy(buckets, by).sortBy(by)
+            writer = writer.option("path", staged).format("parquet")
+            if placed:
+                _by_bucket(spark, lambda: writer.saveAsTable(draft))
+            else:
+                writer.saveAsTable(draft)
             spark.sql(f"DROP TABLE {draft}")  # external: the files stay
         else:
             df.write.parquet(staged)
@@ -181,6 +187,17 @@ def step_table(spark: SparkSession, name: str, key: str, make, by: str | None =
     return spark.table(table)
 
 
+def _by_bucket(spark: SparkSession, run) -> None:
+    """Runs a job whose scan takes one task for each bucket, though nothing in its plan joins or groups by it."""
+    name = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        run()
+    finally:
+        spark.conf.set(name, before)
+
+
 def _drop_stale(spark: SparkSession, base: str, key: str) -> None:
     """Removes old tables of the same sources' folder (the part of the key before '-') under another key."""
     where, fs = _path(spark, base)
