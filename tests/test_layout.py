@@ -5,8 +5,10 @@ import pytest
 from carelog.functions.rules import OXYGEN_SUPPORT_RULES, classify
 from carelog.plans import catalog
 from carelog.plans.catalog import QUERIES
+from carelog.plans.oxygen import support_events
 from carelog.sources import fixtures
 from carelog.sources.fixtures import DERIVED, derive, stay_buckets
+from carelog.sources.tables import EICU_SCHEMAS
 
 
 @pytest.fixture
@@ -61,10 +63,14 @@ def test_only_the_tables_that_are_read(spark, tables, monkeypatch, name, wanted)
 
 def test_rule_code_stays_compilable(spark):
     """The JVM interprets methods of more than 8000 bytes."""
-    texts = spark.createDataFrame([("set vt",), ("hyperventilation",), ("vent",), (None,)], "t string")
-    coded = texts.select(classify("t", OXYGEN_SUPPORT_RULES, lower=False).alias("c"))
-    plan = coded._jdf.queryExecution().executedPlan()
-    code = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan)
+    t = {n: spark.createDataFrame([], EICU_SCHEMAS[n]) for n in ("respiratorycharting", "nursecharting", "treatment")}
+    plan = support_events(t["respiratorycharting"], t["nursecharting"], t["treatment"])._jdf.queryExecution().executedPlan()
+    code = getattr(spark.sparkContext._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(plan)
     sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
     assert all(s < 8000 for s in sizes), sizes
-    assert [r.c for r in coded.collect()] == [4, None, 2, None]
+
+
+def test_lists_of_substrings(spark):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["set vt", "hyperventilation", "vent", None, "a nasal cannula"])], "k int, t string")
+    found = texts.select("k", classify("t", OXYGEN_SUPPORT_RULES, lower=False).alias("sql"), classify("t", OXYGEN_SUPPORT_RULES).alias("built"))
+    assert [tuple(r) for r in found.orderBy("k").collect()] == [(0, 4, 4), (1, None, None), (2, 2, 2), (3, None, None), (4, 1, 1)]
