@@ -25,7 +25,7 @@ words = [f"w{k % 13} and w{k % 7} of the same" for k in range(60)]
 docs = spark.createDataFrame([(k, w * (1 + k % 3)) for k, w in enumerate(words)], "doc_id long, text string")
 assert lm_score.lm_scores(docs).where("score < 0").count() == 60
 assert minhash.near_duplicates(docs).count() == 60
-rows = [(k, [float(k % 5) / 9, 0.5, -0.25], k % 3) for k in range(0, 200, 4)]
+rows = [(k, [float(k % 7) / 9, 0.5, -0.25], k % 3) for k in range(0, 200, 4)]
 vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 assert hard_negatives.hard_negatives(vectors).count() > 0
 print("done")
