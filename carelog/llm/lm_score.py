@@ -38,6 +38,7 @@ counts are zero and ids uniform.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 
 import numpy as np
@@ -64,6 +65,14 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+class Numbers(dict):
+    """A number for each key, given when it is first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Words:
     """Word -> row of per-word arrays; rows of words met lately are kept (``LIMIT``)."""
 
@@ -85,7 +94,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.row = Numbers()
         self.hashes = np.zeros(0, np.int64)
         self.known = np.zeros(0, np.int64)  # the count, or -1 where it is not sent out
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
@@ -94,12 +103,10 @@ class Words:
         """Rows of the words of each text."""
         if self.forget and len(self.row) > self.LIMIT:
             self.clear()
-        new = set().union(*texts) - self.row.keys()
-        if new:
-            odd = [w for w in new if self.odd_space(w)] if self.odd_space(b" ".join(new)) else []
-            new = [*(new - set(odd)), *odd]
-            first = len(self.row)
-            self.row.update(zip(new, range(first, first + len(new))))
+        first, get = len(self.row), self.row.__getitem__
+        out = [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        if len(self.row) > first:
+            new = list(itertools.islice(self.row, first, None))
             h = np.fromiter(map(self.hash, new), np.uint64, len(new)).view(np.int64)
             self.hashes = np.concatenate([self.hashes, h])
             if self.counts is not None:
@@ -107,11 +114,22 @@ class Words:
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 found = np.where(keys[at] == h, c[at], -1) if len(keys) else np.full(len(h), -1)
                 self.known = np.concatenate([self.known, found])
-            ids, ends = self.cut(new, len(new) - len(odd))
+            ids, ends = self.ids_of(new)
             self.ids = np.concatenate([self.ids, ids])
             self.start = np.concatenate([self.start, self.start[-1] + ends])
-        get = self.row.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        return out
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and where those of each word end."""
+        odd = [k for k, w in enumerate(words) if self.odd_space(w)] if self.odd_space(b" ".join(words)) else []
+        if not odd:
+            return self.cut(words, len(words))
+        plain = np.delete(np.arange(len(words)), odd)
+        ids, ends = self.cut([words[k] for k in [*plain, *odd]], len(plain))
+        size, place = np.diff(ends, prepend=0), np.argsort(np.concatenate([plain, odd]))
+        starts, size = (ends - size)[place], size[place]
+        upto = np.cumsum(size)
+        return ids[np.repeat(starts - (upto - size), size) + np.arange(len(ids))], upto
 
     def cut(self, words: list[bytes], plain: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, each after a space, and where those of each word end.
@@ -162,24 +180,51 @@ def windows(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.
     return view[starts], np.concatenate(owner)
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Lookup:
-    """Keys with a value each, sorted."""
+    """Keys (0 or more) with a value each, in the order of a hash whose first bits lead to the few rows that may hold a key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys = np.concatenate([[-1], keys[order]]).astype(np.int64)  # row 0 is no key's
-        self.values = np.concatenate([[0], values[order]]).astype(np.float32)
+        self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
+        cell = self.cell(keys.astype(np.int64))
+        order = np.argsort(cell, kind="stable")
+        # the first row is no key's, nor is the last, where an empty last cell leads
+        self.keys = np.concatenate([[-1], keys[order], [-1]]).astype(np.int64)
+        self.values = np.concatenate([[0], values[order], [0]]).astype(np.float32)
+        ends = np.cumsum(np.bincount(cell, minlength=1 << self.bits))
+        self.first = np.concatenate([[1], ends + 1]).astype(np.int32)  # of each cell, and after the last
 
     @classmethod
     def of(cls, arrays: tuple) -> Lookup:
         out = cls.__new__(cls)
-        out.keys, out.values = arrays
+        out.bits, out.first, out.keys, out.values = arrays
         return out
 
+    def arrays(self) -> tuple:
+        return self.bits, self.first, self.keys, self.values
+
+    def cell(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _MIX >> np.uint64(64 - self.bits)).view(np.int64)
+
     def at(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, 0 where it is not held."""
-        at = np.searchsorted(self.keys, keys, "right") - 1
-        return np.where(self.keys[at] == keys, at, 0)
+        flat = np.ascontiguousarray(keys, np.int64).ravel()
+        cell = self.cell(flat)
+        row = self.first.take(cell)
+        hit = self.keys.take(row) == flat
+        out = row * hit
+        left = np.flatnonzero(~hit)
+        row, end, want = row.take(left) + 1, self.first.take(cell.take(left) + 1), flat.take(left)
+        more = np.flatnonzero(row < end)
+        while len(more):
+            left, row, end, want = left[more], row[more], end[more], want[more]
+            hit = self.keys.take(row) == want
+            out[left[hit]] = row[hit]
+            row += 1
+            more = np.flatnonzero(~hit & (row < end))
+        return out.reshape(keys.shape)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         return self.values[self.at(keys)]
@@ -204,10 +249,10 @@ class Memory:
         key, c = pairs[0], pairs[1].astype(np.float64)
         first = key >> 16
         value = np.maximum(c - d, 0) / np.maximum(count[first], c)
-        self.pair = Lookup(key, value)
         self.pair_rest = np.maximum(1 - np.bincount(first, value, 1 << 16), 1e-6).astype(np.float32)
         # contexts of triples are pairs; a triple stays if its context does
         self.contexts = Lookup(key, c)
+        self.pair = Lookup(key, value)  # the same keys, so the same rows
         tkey, tc = triples[0], triples[1].astype(np.float64)
         at = self.contexts.at(tkey >> 16)
         tkey, tc, at = tkey[at > 0], tc[at > 0], at[at > 0]
@@ -218,14 +263,15 @@ class Memory:
 
     def arrays(self) -> tuple:
         """What the object holds, as plain arrays: a broadcast must not name this package's classes, which workers may lack."""
-        plain = (self.count, self.single, self.pair_rest, self.context, self.triple_rest)
-        return plain, *((x.keys, x.values) for x in (self.pair, self.contexts, self.triple))
+        plain = (self.count, self.single, self.pair_rest, self.triple_rest, self.pair.values)
+        return plain, self.contexts.arrays(), self.triple.arrays()
 
     @classmethod
     def of(cls, arrays: tuple) -> Memory:
         out = cls.__new__(cls)
-        (out.count, out.single, out.pair_rest, out.context, out.triple_rest), *lookups = arrays
-        out.pair, out.contexts, out.triple = map(Lookup.of, lookups)
+        (out.count, out.single, out.pair_rest, out.triple_rest, pair), contexts, triple = arrays
+        out.contexts, out.triple = Lookup.of(contexts), Lookup.of(triple)
+        out.pair, out.context = Lookup.of((*contexts[:3], pair)), out.contexts.values
         return out
 
     def __call__(self, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool = False) -> np.ndarray:
@@ -235,16 +281,26 @@ class Memory:
         the memory would say without them.
         """
         two, one, x = (a.astype(np.int64) for a in (two, one, x))
-        pair = one << 16 | x
-        at = self.contexts.at(two << 16 | one)
+        return self.mixed(self.contexts.at(two << 16 | one), self.pair.at(one << 16 | x), two, one, x, itself)
+
+    def of_windows(self, w: np.ndarray, itself: bool = False) -> np.ndarray:
+        """Probabilities of the ids to score of windows; the pair that ends in an id is the next one's context."""
+        ids = w[:, CONTEXT - 1:].astype(np.int64)
+        two, one, x = ids[:, :-2], ids[:, 1:-1], ids[:, 2:]
+        at = self.contexts.at(ids[:, :-1] << 16 | ids[:, 1:])
+        return self.mixed(at[:, :-1], at[:, 1:], two, one, x, itself)
+
+    def mixed(self, at: np.ndarray, pair: np.ndarray, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool) -> np.ndarray:
+        """``at`` and ``pair``: rows of (two, one) and (one, x)."""
         met = at > 0
-        p2, p3 = self.pair.get(pair), self.triple.get(two << 32 | pair)
+        p2, p3 = self.pair.values.take(pair), np.zeros(at.shape, np.float32)
+        p3[met] = self.triple.get(two[met] << 32 | one[met] << 16 | x[met])
         if itself:
-            n2, n3 = self.count[one], self.context[at]
+            n2, n3 = self.count.take(one), self.context.take(at)
             p2 = np.maximum(p2 * n2 - 1, 0) / np.maximum(n2 - 1, 1)
             p3 = np.maximum(p3 * n3 - 1, 0) / np.maximum(n3 - 1, 1)
-        p = p2 + self.pair_rest[one] * self.single[x]
-        return np.where(met, p3 + self.triple_rest[at] * p, p)
+        p = p2 + self.pair_rest.take(one) * self.single.take(x)
+        return np.where(met, p3 + self.triple_rest.take(at) * p, p)
 
 
 class Attention:
@@ -257,7 +313,7 @@ class Attention:
         order = np.lexsort((ids, -c))
         ids, c = ids[order], c[order]
         # the most frequent ids have rows of their own, the others share them by remainder
-        self.row = np.arange(1 << 16, dtype=np.int32) % (ROWS - 2)
+        self.row = np.arange(1 << 16) % (ROWS - 2)
         self.row[ids[:ROWS - 2]] = np.arange(min(len(ids), ROWS - 2))
         self.row[START], self.row[PAD] = ROWS - 2, ROWS - 1
         share = np.full(1 << 16, 0.1)
@@ -270,23 +326,32 @@ class Attention:
         self.group[by] = np.minimum((upto * CLASSES - 1e-9).astype(np.int64), CLASSES - 1)
         size = np.bincount(self.group[:IDS], share[:IDS], CLASSES)
         self.inside = (share / np.maximum(size[self.group], 1e-9)).astype(np.float32)
-        self.shapes = [("q", (ROWS, DIM)), ("k", (ROWS, DIM)), ("v", (ROWS, DIM)), ("far", (CONTEXT + SCORED,)),
+        self.shapes = [("qkv", (ROWS, 3 * DIM)), ("far", (CONTEXT + SCORED,)),
                        ("out", (DIM, CLASSES)), ("bias", (CLASSES,)), ("gate", (DIM,)), ("open", (1,))]
         if theta is None:
             rng = np.random.default_rng(7)
-            start = {"far": -0.2 * np.arange(CONTEXT + SCORED), "bias": np.log(size / size.sum() + 1e-9),
+            qkv = np.concatenate([rng.normal(0, 0.3, (ROWS, DIM)) for _ in range(3)], axis=1)
+            rng.normal(0, 0.3, CONTEXT + SCORED)  # not used; the draws after it stay the same
+            start = {"qkv": qkv, "far": -0.2 * np.arange(CONTEXT + SCORED),
+                     "out": rng.normal(0, 0.3, (DIM, CLASSES)), "bias": np.log(size / size.sum() + 1e-9),
                      "gate": np.zeros(DIM), "open": np.array([-2.0])}
-            theta = np.concatenate([np.ravel(start.get(n, rng.normal(0, 0.3, s))) for n, s in self.shapes])
+            theta = np.concatenate([np.ravel(start[n]) for n, _ in self.shapes])
         self.theta = theta.astype(np.float32)
-        at = 0
-        for n, s in self.shapes:
-            size = int(np.prod(s))
-            setattr(self, n, self.theta[at:at + size].reshape(s))
-            at += size
+        for n, x in self.views(self.theta).items():
+            setattr(self, n, x)
         i, j = np.arange(SCORED)[:, None] + CONTEXT, np.arange(CONTEXT + SCORED)[None, :]
         self.distance = np.clip(i - j, 0, CONTEXT + SCORED - 1)
         self.causal = (j <= i)
 
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters, or what is kept for each of them, by name."""
+        out, at = {}, 0
+        for n, s in self.shapes:
+            size = int(np.prod(s))
+            out[n] = flat[at:at + size].reshape(s)
+            at += size
+        return out
+
     def forward(self, w: np.ndarray) -> dict:
         """Attention weights ``a``, its output ``h``, class odds ``e`` with their sums, gate and target class.
 
@@ -294,52 +359,77 @@ class Attention:
         exponentials need no shift; a batch in which one overflows is shifted.
         """
         seen, target = w[:, :-1], w[:, CONTEXT + 1:]
-        r = self.row[seen]
-        q, k, v = self.q[r[:, CONTEXT:]], self.k[r], self.v[r]
-        z = q @ k.transpose(0, 2, 1)
+        r = self.row.take(seen)
+        qkv = self.qkv.take(r, axis=0)
+        z = qkv[:, CONTEXT:, :DIM] @ qkv[:, :, DIM:2 * DIM].transpose(0, 2, 1)
         z += np.where(self.causal, self.far[self.distance], -1e9).astype(np.float32)
         early = np.flatnonzero(seen[:, 0] == PAD)  # windows that begin before their text
         z[early] += np.where(seen[early] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
         a, weight = _odds(z)
-        h = (a @ v) / weight
-        e, total = _odds((h.reshape(-1, DIM) @ self.out + self.bias).reshape(*h.shape[:2], CLASSES))
-        total = total[:, :, 0]
-        cls = self.group[target]
-        mine = np.take_along_axis(e, cls[:, :, None], 2)[:, :, 0] / total
+        a /= weight
+        h = (a @ qkv[:, :, 2 * DIM:]).reshape(-1, DIM)
+        e, total = _odds(h @ self.out + self.bias)
+        total = total[:, 0]
+        mine = np.arange(0, e.size, CLASSES) + self.group.take(target).ravel()  # place of the target's class
         g = 1 / (1 + np.exp(-np.clip(h @ self.gate + self.open, -20, 20)))
-        return {"r": r, "q": q, "k": k, "v": v, "a": a, "weight": weight, "h": h, "e": e, "total": total,
-                "cls": cls, "mine": mine, "g": g, "target": target}
+        return {"r": r, "qkv": qkv, "a": a, "h": h, "e": e, "total": total.reshape(target.shape), "at": mine,
+                "mine": e.ravel().take(mine).reshape(target.shape) / total.reshape(target.shape),
+                "g": g.reshape(target.shape), "target": target}
 
     def probability(self, w: np.ndarray, memory: Memory, itself: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
         f = self.forward(w)
-        counted = memory(w[:, CONTEXT - 1:-2], w[:, CONTEXT:-1], f["target"], itself)
-        attended = f["mine"] * self.inside[f["target"]]
+        counted = memory.of_windows(w, itself)
+        attended = f["mine"] * self.inside.take(f["target"])
         return f["g"] * attended + (1 - f["g"]) * counted, attended, f | {"counted": counted}
 
-    def gradient(self, w: np.ndarray, memory: Memory, itself: bool = True) -> np.ndarray:
-        """Gradient of the mean log-likelihood; ``itself`` as for the memory."""
+    def parts(self, w: np.ndarray, memory: Memory, itself: bool = True) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+        """Gradient of the mean log-likelihood by parameter: the rows that the windows move, and their gradient."""
         total, attended, f = self.probability(w, memory, itself)
         real = (f["target"] != PAD).astype(np.float32)
         scale = real / max(real.sum(), 1)
         total = np.maximum(total, 1e-12)
         part = scale * f["g"] * attended / total  # posterior of the attention part
-        du = -(part / f["total"])[:, :, None] * f["e"]
-        np.put_along_axis(du, f["cls"][:, :, None], np.take_along_axis(du, f["cls"][:, :, None], 2) + part[:, :, None], 2)
-        dg = scale * (attended - f["counted"]) / total * f["g"] * (1 - f["g"])
-        h, a = f["h"], f["a"] / f["weight"]
-        dh = du @ self.out.T + dg[:, :, None] * self.gate
-        da = dh @ f["v"].transpose(0, 2, 1)
-        dz = a * (da - (a * da).sum(axis=2, keepdims=True))
-        dv = a.transpose(0, 2, 1) @ dh
-        dq, dk = dz @ f["k"], dz.transpose(0, 2, 1) @ f["q"]
-        flat = lambda x, n: x.reshape(-1, n)
-        rows = f["r"].ravel()
-        out = {"q": _sum_rows(f["r"][:, CONTEXT:].ravel(), flat(dq, DIM)), "k": _sum_rows(rows, flat(dk, DIM)),
-               "v": _sum_rows(rows, flat(dv, DIM)),
-               "far": np.bincount(self.distance.ravel(), (dz.sum(axis=0) * self.causal).ravel(), CONTEXT + SCORED),
-               "out": flat(h, DIM).T @ flat(du, CLASSES), "bias": du.sum(axis=(0, 1)),
-               "gate": (dg[:, :, None] * h).sum(axis=(0, 1)), "open": dg.sum(keepdims=True).ravel()[:1]}
-        return np.concatenate([out[n].ravel() for n, _ in self.shapes]).astype(np.float32)
+        dg = (scale * (attended - f["counted"]) / total * f["g"] * (1 - f["g"])).ravel()
+        du, h, a, qkv = f["e"], f["h"], f["a"], f["qkv"]
+        du *= (-part / f["total"]).reshape(-1, 1)
+        du.ravel()[f["at"]] += part.ravel()
+        dh = du @ self.out.T
+        dh += dg[:, None] * self.gate
+        shift = np.einsum("ij,ij->i", dh, h).reshape(len(w), -1, 1)
+        dh = dh.reshape(*part.shape, DIM)
+        dz = dh @ qkv[:, :, 2 * DIM:].transpose(0, 2, 1)
+        dz -= shift
+        dz *= a
+        d = np.empty_like(qkv)
+        d[:, :CONTEXT, :DIM] = 0
+        np.matmul(dz, qkv[:, :, DIM:2 * DIM], out=d[:, CONTEXT:, :DIM])
+        np.matmul(dz.transpose(0, 2, 1), qkv[:, CONTEXT:, :DIM], out=d[:, :, DIM:2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * DIM:])
+        far = np.ones(len(w), np.float32) @ dz.reshape(len(w), -1)
+        every = slice(None)
+        return {"qkv": _sum_rows(f["r"].ravel(), d.reshape(-1, 3 * DIM)), "far": (every, np.bincount(self.distance.ravel(), far * self.causal.ravel(), CONTEXT + SCORED).astype(np.float32)),
+                "out": (every, h.T @ du), "bias": (every, np.ones(len(du), np.float32) @ du),
+                "gate": (every, dg @ h), "open": (every, dg.sum(keepdims=True))}
+
+    def gradient(self, w: np.ndarray, memory: Memory, itself: bool = True) -> np.ndarray:
+        """Gradient of the mean log-likelihood; ``itself`` as for the memory."""
+        flat = np.zeros(len(self.theta), np.float32)
+        into = self.views(flat)
+        for n, (rows, g) in self.parts(w, memory, itself).items():
+            into[n][rows] = g
+        return flat
+
+    def step(self, w: np.ndarray, memory: Memory, past: dict[str, np.ndarray]) -> None:
+        """One step of size ``RATE`` over the root of the summed squares ``past``; rows without gradient stay as they are."""
+        for n, (rows, g) in self.parts(w, memory).items():
+            table, sums = getattr(self, n), past[n]
+            now = g * g
+            now += sums[rows]
+            sums[rows] = now
+            g *= RATE
+            g /= np.sqrt(now, out=now)
+            g += table[rows]
+            table[rows] = g
 
 
 def _odds(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,12 +444,25 @@ def _odds(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
-def _sum_rows(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros((ROWS, values.shape[1]), np.float32)
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    out[rows[order][first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows met, and the sum of the values of each."""
+    short = rows.astype(np.uint16)  # sorted by digits, in linear time
+    order = np.argsort(short, kind="stable")
+    short = short[order]
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    size = np.diff(np.append(first, len(short)))
+    by = np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    out = values.take(order.take(first), axis=0)
+    # the nth values of all rows that have so many, up to a size that few rows exceed; the rest of those row by row
+    few = int(np.count_nonzero(size > np.arange(len(size))))
+    least = int(size[few]) if few < len(size) else 1
+    more = len(size) - np.cumsum(np.bincount(size))
+    for n in range(1, least):
+        out[:more[n]] += values.take(order.take(first[:more[n]] + n), axis=0)
+    for k in range(more[least]):
+        out[k] += np.add.reduce(values.take(order[first[k] + least:first[k] + size[k]], axis=0), axis=0)
+    return short.take(first).astype(np.int64), out
 
 
 def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
@@ -373,7 +476,7 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
     def block(kind, keys, counts):
         for k in range(0, len(keys), 100_000):
             part, c = keys[k:k + 100_000], counts[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part)), pa.array(part, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(part), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(kind, len(part)), pa.array(part, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(part), pa.binary())], names)
 
     def run(batches):
         words = Words(vocab, forget=False)  # flushed with the counts
@@ -408,8 +511,9 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
             w, owner = windows(ids, b.column("pick").to_pylist())
             if len(w):
                 turn = (np.arange(len(w)) + owner) % ROUNDS
-                yield pa.RecordBatch.from_arrays([pa.array(["window"] * len(w)), pa.array(turn, pa.int64()), pa.nulls(len(w), pa.int64()),
-                                                  pa.array([x.tobytes() for x in w], pa.binary())], names)
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * w.shape[1]), len(w), [None, pa.py_buffer(np.ascontiguousarray(w))])
+                yield pa.RecordBatch.from_arrays([pa.repeat("window", len(w)), pa.array(turn, pa.int64()), pa.nulls(len(w), pa.int64()),
+                                                  flat.cast(pa.binary())], names)
             if size > CHUNK:
                 yield from flush()
                 met, streams, size = [], [], 0
@@ -441,14 +545,13 @@ def train(gathered: DataFrame, shared) -> np.ndarray:
             single, memory, _ = shared.value
             memory = Memory.of(memory)
             model = Attention(single, theta.copy())
-            past = np.full(len(theta), 1e-6, np.float32)
+            past = model.views(np.full(len(theta), 1e-6, np.float32))
             used = 0
             for b in batches:
-                w = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint16).reshape(b.num_rows, -1)
+                size = 2 * (CONTEXT + SCORED + 1)
+                w = np.frombuffer(b.column("ids").cast(pa.binary(size)).buffers()[1], np.uint16)[:b.num_rows * size // 2].reshape(b.num_rows, -1)
                 for k in range(0, len(w), 128):
-                    g = model.gradient(w[k:k + 128], memory)
-                    past += g * g
-                    model.theta += RATE * g / np.sqrt(past)
+                    model.step(w[k:k + 128], memory, past)
                     used += len(w[k:k + 128])
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([model.theta.tobytes()], pa.binary()), pa.array([float(used)])], ["theta", "used"])

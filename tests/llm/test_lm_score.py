@@ -138,3 +138,37 @@ def test_empty(spark, no_docs):
     only_held = [i for i in range(200) if held(i)][:2]
     got = L.lm_scores(spark.createDataFrame([(i, "some text") for i in only_held], "doc_id long, text string")).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_a_step_reads_and_moves_only_the_rows_of_its_windows():
+    model, memory = small_model()
+    texts = [np.append(np.random.default_rng(k).choice([5, 9, 17, 300], 40 + 30 * k).astype(np.uint16), np.uint16(L.END)) for k in range(20)]
+    w, _ = L.windows(texts)
+    g = model.gradient(w, memory)
+    before, squares = model.theta.copy(), np.full(len(g), 1e-6, np.float32)
+    model.step(w, memory, model.views(squares))
+    assert np.allclose(squares, 1e-6 + g * g) and np.allclose(model.theta, before + L.RATE * g / np.sqrt(1e-6 + g * g), atol=1e-5)
+    rows, sums = L._sum_rows(w.ravel() % 50, np.ones((w.size, 3), np.float32))
+    assert dict(zip(rows.tolist(), sums[:, 2].tolist())) == dict(Counter((w.ravel() % 50).tolist()))
+
+
+def test_lookup_and_memory_of_windows():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 3000))
+    for n in (0, 1, 7, 3000):
+        held = L.Lookup(keys[:n], np.arange(n) + 1)
+        assert held.get(keys).tolist() == [k + 1 if k < n else 0 for k in range(len(keys))]
+        assert not held.at(np.array([[1 << 50, 1 << 60]])).any()
+    _, memory = small_model()
+    w, _ = L.windows([np.append(np.random.default_rng(5).choice([5, 9, 17, 300], 90).astype(np.uint16), np.uint16(L.END))])
+    for itself in (False, True):
+        assert np.array_equal(memory.of_windows(w, itself), memory(w[:, L.CONTEXT - 1:-2], w[:, L.CONTEXT:-1], w[:, L.CONTEXT + 1:], itself))
+
+
+def test_words_with_odd_spaces_keep_their_ids():
+    words = [w.encode() for w in ("plain", "a\x85b", "x　y", "last", "é")]
+    one = L.Words(L.vocabulary())
+    together = one.rows([words, words[::-1]])
+    for w, k in zip(words, together[0]):
+        alone = L.Words(L.vocabulary())
+        assert alone.subwords(alone.rows([[w]])[0]).tolist() == one.subwords(np.array([k])).tolist()
+    assert together[1].tolist() == together[0].tolist()[::-1]
