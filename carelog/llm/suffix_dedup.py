@@ -32,6 +32,11 @@ than a bounded group.
 Equal texts are handled once, by a 64-bit hash of the text; two rows with the same
 text repeat each other wholly.  Digests that decide have 128 bits.
 
+Passages.  Repeats of some words can be shorter than ``LENGTH`` bytes, so nothing of
+them is removed.  On demand a column tells which rows share so many consecutive words
+with another row: runs of words are led by their smallest hash of ``LEAD`` words, and
+only those whose leader two texts hold are compared, by 64-bit hashes of the run.
+
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` lose
 nothing; repeated rows count as copies of each other; an empty table gives an empty
 result.  Kept bytes need not be valid UTF-8.
@@ -47,11 +52,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pieces, saved, table, tidy
+from .common import discard, free_name, free_shuffles, pieces, saved, scratch, table, tidy
 
 LENGTH, GRAM = 400, 128
 GROUP, BATCH = 512, 4096
 WIDTHS = (32, 4, 1)
+PASSAGE, LEAD = 50, 16  # words
 _SPAN = LENGTH - GRAM  # a minimizer lies at most so far from its window's start
 _COLUMNS = _SPAN + LENGTH
 _PART = 1 << 22  # bytes of a text that are searched at a time
@@ -266,12 +272,16 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     kinds = saved(rows.groupBy("h", "digest").agg(F.min(place).alias("x"), F.max(place).alias("y"),
                                                   F.min(F.struct("t", "pos", "lo", "hi")).alias("one"))
                   .select("h", "digest", (F.col("x") < F.col("y")).alias("twice"), "one"), "kinds")
-    whole = (rows.join(kinds.where("twice").select("h", "digest"), ["h", "digest"])
-             .select("t", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("z")))
+    whole = saved(rows.join(kinds.where("twice").select("h", "digest"), ["h", "digest"])
+                  .select("t", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("z")), "whole")
     groups = kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("twice").alias("all_twice")).where("k > 1 and not all_twice").drop("all_twice")
     wanted = saved(kinds.join(groups, "h").select(F.col("one.t").alias("t"), F.encode(F.hex("h"), "utf-8").alias("g"), F.col("one.pos").alias("pos"),
                                                   F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "k"), "wanted")
+    discard(rows, kinds)
+    del rows, kinds, groups
+    free_shuffles(docs.sparkSession)
     fetched = saved(fetch_bytes(docs, wanted, text), "bytes")
+    discard(wanted)
     spans = [whole, sort_groups(fetched.where(F.col("k") <= GROUP))]
     rest = fetched.where(F.col("k") > GROUP)
     for width in WIDTHS:
@@ -296,12 +306,80 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_bytes, kept (binary) and removed spans [(a, z)]."""
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` neighbours, by doubling; two overlapping runs make the last step."""
+    size, total = 1, len(h)
+    while size < n:
+        step = min(size, n - size)
+        h = h[:total - size - step + 1] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        size += step
+    return h
+
+
+def passages(batches, text: str, words: int):
+    """(leader, run hash, text key) arrays of all runs of ``words`` words, for each piece of the batches."""
+    import xxhash
+    for b in pieces(batches, text, 4 << 20):
+        data = [_data(v) for v in b.column(text).to_pylist()]
+        parts = [d.split() for d in data]
+        some = [k for k, p in enumerate(parts) if len(p) >= words]
+        if not some:
+            continue
+        h = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, parts[k]), np.uint64, len(parts[k])) for k in some])
+        owner = np.repeat(np.arange(len(some)), [len(parts[k]) for k in some])
+        inside = np.flatnonzero(owner[words - 1:] == owner[:len(owner) - words + 1])
+        lead = _sliding_min(_runs(h, LEAD), words - LEAD + 1)[inside]
+        keys = np.array([text_key(data[k]) for k in some], np.int64)
+        yield lead.view(np.int64), _runs(h, words)[inside].view(np.int64), keys[owner[inside]]
+
+
+def sharing_texts(docs: DataFrame, text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """(t): keys of the texts that share ``words`` consecutive words with a different text."""
+    def leaders(batches):
+        for m, _, t in passages(batches, "text", words):
+            new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (t[1:] != t[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(m[new]), pa.array(t[new])], ["key", "t"])
+
+    several = lambda rows: rows.groupBy("key").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x < y").select("key")
+    texts = docs.select(F.col(text).alias("text"))
+    with scratch():
+        common = saved(several(texts.mapInArrow(tidy(leaders), "key long, t long")), "leaders")
+        # a bitmap of the leaders' last bits; beyond 2^27 it lets more runs through, and loses none
+        cells = 1 << min(27, max(16, (8 * common.count()).bit_length()))
+        got = (common.select(F.expr(f"key & {cells - 1}").alias("c")).groupBy(F.expr("bitmap_bucket_number(c + 1)").alias("b"))
+               .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c + 1))").alias("bits")).collect())
+        bits = np.zeros(cells // 8, np.uint8)
+        for r in got:
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            bits[(r["b"] - 1) * len(part):r["b"] * len(part)] = part
+
+        def runs(batches):
+            for m, key, t in passages(batches, "text", words):
+                at = m & (cells - 1)
+                likely = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key[likely]), pa.array(t[likely])], ["key", "t"])
+
+        rows = saved(texts.mapInArrow(tidy(runs), "key long, t long"), "runs")
+        out = saved(rows.join(several(rows), "key").select("t").distinct(), "sharing", keep=True)
+    free_shuffles(docs.sparkSession)
+    return out
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", passage: int | None = None) -> DataFrame:
+    """``docs`` without the text, with n_bytes, kept (binary) and removed spans [(a, z)].
+
+    With ``passage`` also shares_passage: whether the row has so many consecutive words
+    in common with another row.
+    """
     rest = [c for c in docs.columns if c != text]
-    clash = {"n_bytes", "kept", "spans", "t", "copies"} & {c.lower() for c in rest}
+    clash = {"n_bytes", "kept", "spans", "t", "copies", *(("shares_passage",) if passage else ())} & {c.lower() for c in rest}
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
+    sharing = sharing_texts(docs, text, passage) if passage else None
+    shares = free_name(docs, "shares")
     spans = repeated_spans(docs, text)
     found = spans.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("a", "z"))).alias("found"))
 
@@ -312,8 +390,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in pieces(batches, text):
-            sizes, kept, gone = [], [], []
-            for v, list_, copies in zip(b.column(text).to_pylist(), b.column("found").to_pylist(), b.column("copies").to_pylist()):
+            sizes, kept, gone, flags = [], [], [], []
+            for v, list_, copies, shared in zip(*(b.column(c).to_pylist() for c in (text, "found", "copies", shares))):
                 data = _data(v)
                 cuts = []
                 if copies > 1 and len(data) >= LENGTH:
@@ -331,22 +409,29 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 sizes.append(len(data))
                 kept.append(b"".join(out) + data[at:])
                 gone.append([{"a": a, "z": z} for a, z in cuts])
+                flags.append(shared or bool(passage) and copies > 1 and len(data.split()) >= passage)
             kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, kind)],
-                                             [*rest, "n_bytes", "kept", "spans"])
+            last = [pa.array(flags, pa.bool_())] if passage else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, kind), *last],
+                                             [*rest, "n_bytes", "kept", "spans", *["shares_passage"] * len(last)])
 
     with_key = StructType([*docs.schema.fields, *StructType.fromDDL("t long").fields])
     rows = docs.mapInArrow(tidy(keyed), with_key)
     copies = rows.groupBy("t").agg(F.count("*").alias("copies")).where("copies > 1")
     notes = found.join(copies, "t", "full_outer")
-    joined = rows.join(notes, "t", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    if passage:
+        notes = notes.join(sharing.withColumn(shares, F.lit(True)), "t", "full_outer")
+    else:
+        notes = notes.withColumn(shares, F.lit(False))
+    joined = (rows.join(notes, "t", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+              .withColumn(shares, F.coalesce(shares, F.lit(False))))
     schema = StructType([*docs.select(*rest).schema.fields,
-                         *StructType.fromDDL("n_bytes long, kept binary, spans array<struct<a:long,z:long>>").fields])
-    return joined.select(*docs.columns, "found", "copies").mapInArrow(tidy(run), schema)
+                         *StructType.fromDDL("n_bytes long, kept binary, spans array<struct<a:long,z:long>>" + ", shares_passage boolean" * bool(passage)).fields])
+    return joined.select(*docs.columns, "found", "copies", shares).mapInArrow(tidy(run), schema)
 
 
 def op9_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, passage=PASSAGE)
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("has_repeats"))
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("has_repeats"), "shares_passage")

@@ -67,3 +67,23 @@ def test_odd_rows(odd_docs, no_docs):
     got = S.remove_repeats(docs)
     assert rows(got) == brute([r["text"] for r in odd_docs.collect()])
     assert S.remove_repeats(no_docs.drop("kept", "spans")).count() == 0
+
+
+def test_passages_of_over_fifty_words_may_be_shorter_than_the_removed_strings(spark, tmp_path):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6))) for _ in range(n)]
+    passage, long_ = words(51), words(49)
+    texts = [" ".join(words(60) + (passage if k % 4 == 0 else long_ if k % 4 == 1 else []) + words(rng.randint(0, 90))) for k in range(40)]
+    texts += ["\n".join(passage), " ".join(passage[:50]), " ".join(passage[:49]), None, "", *[" ".join(passage[:20] + words(29))] * 2, *[" ".join(words(50))] * 2]
+    texts.append(" ".join((part := words(50)) + words(3) + part))  # repeats itself, and shares with none
+    runs = {}
+    for k, t in enumerate(texts):
+        ws = (t or "").split()
+        for i in range(len(ws) - 49):
+            runs.setdefault(tuple(ws[i:i + 50]), set()).add(k)
+    want = set().union(*(v for v in runs.values() if len(v) > 1))
+    assert want == {*range(0, 40, 4), 40, 41, 47, 48}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r["shares_passage"]} == want
+    assert not got[0]["has_repeats"] and got[0]["n_removed"] == 0  # the contract's removal is as it was
