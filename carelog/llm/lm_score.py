@@ -38,21 +38,25 @@ counts are zero and ids uniform.
 from __future__ import annotations
 
 import base64
-import itertools
+import functools
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lower_bytes, pieces, saved, table, texts_of, tidy
+from .common import pieces, saved, table, tidy
 
 CONTEXT, SCORED = 16, 16
 DIM, CLASSES, ROWS = 16, 64, 8192
 WINDOW_RATE, ROUNDS, RATE = 1, 3, 0.15
+#: Windows of a training step, and those scored at once.
+STEP, BLOCK = 128, 128
 #: Most words, pairs and triples sent out with their counts.
 WORDS, PAIR_SLOTS, TRIPLE_SLOTS = 1 << 18, 1 << 19, 1 << 20
 #: Pairs and triples enter the counts if a task meets them so often in a chunk of its ids: all do.
@@ -65,14 +69,6 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-class Numbers(dict):
-    """A number for each key, given when it is first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
 class Words:
     """Word -> row of per-word arrays; rows of words met lately are kept (``LIMIT``)."""
 
@@ -94,19 +90,36 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.row = Numbers()
+        self.words: list[pa.Array] = []  # in the order of their rows
         self.hashes = np.zeros(0, np.int64)
         self.known = np.zeros(0, np.int64)  # the count, or -1 where it is not sent out
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words of all texts, A-Z lower-cased (null: none), and how many each text has."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat, owner = lists.flatten(), pc.list_parent_indices(lists)
+        some = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+        return self.of(flat.filter(some).cast(pa.binary())), np.bincount(owner.filter(some).to_numpy(), minlength=len(texts))
+
     def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Rows of the words of each text."""
-        if self.forget and len(self.row) > self.LIMIT:
+        ends = np.cumsum([0, *map(len, texts)])
+        rows = self.of(pa.array([w for t in texts for w in t], pa.binary()))
+        return [rows[a:z] for a, z in zip(ends, ends[1:])]
+
+    def of(self, asked: pa.Array) -> np.ndarray:
+        """The row of each word; words not met before get new ones."""
+        if self.forget and len(self.hashes) > self.LIMIT:
             self.clear()
-        first, get = len(self.row), self.row.__getitem__
-        out = [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
-        if len(self.row) > first:
-            new = list(itertools.islice(self.row, first, None))
+        first, asked = len(self.hashes), asked.dictionary_encode()
+        met = pc.index_in(asked.dictionary, value_set=pa.chunked_array(self.words, pa.binary()))
+        unmet = asked.dictionary.filter(met.is_null())
+        row = pc.fill_null(met, -1).to_numpy().astype(np.int64)
+        row[row < 0] = first + np.arange(len(unmet))
+        if len(unmet):
+            self.words.append(unmet)
+            new = unmet.to_pylist()
             h = np.fromiter(map(self.hash, new), np.uint64, len(new)).view(np.int64)
             self.hashes = np.concatenate([self.hashes, h])
             if self.counts is not None:
@@ -117,7 +130,7 @@ class Words:
             ids, ends = self.ids_of(new)
             self.ids = np.concatenate([self.ids, ids])
             self.start = np.concatenate([self.start, self.start[-1] + ends])
-        return out
+        return row.take(asked.indices.to_numpy())
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and where those of each word end."""
@@ -148,22 +161,23 @@ class Words:
 
     def subwords(self, rows: np.ndarray) -> np.ndarray:
         """Ids of a text, with the end."""
-        size = self.start[rows + 1] - self.start[rows]
-        total = int(size.sum())
-        out = np.empty(total + 1, np.uint16)
-        at = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(total)
-        out[:total] = self.ids[at]
-        out[total] = END
-        return out
-
-
-def windows(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(window, CONTEXT + SCORED + 1) ids of all windows, PAD outside, and the text of each.
-
-    Ids before a text are PAD but for one START; the ids to score are the last
-    SCORED ones.  With ``pick`` only windows k with k % WINDOW_RATE == pick of the text.
-    """
-    parts, starts, owner, at = [], [], [], 0
+        return self.subwords_of(rows, np.array([len(rows)]))[0]
+
+    def subwords_of(self, rows: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, with its end; ``counts``: how many of the rows are its."""
+        first = self.start.take(rows)
+        size = self.start.take(rows + 1) - first
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids.take(np.repeat(first - upto[:-1], size) + np.arange(upto[-1]))
+        ends = upto.take(np.cumsum(counts))
+        ids = np.insert(ids, ends, END)
+        ends += np.arange(1, len(counts) + 1)
+        return [ids[a:z] for a, z in zip([0, *ends[:-1]], ends)]
+
+
+def stream(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that hold all windows, where each window starts, and the text of each; see ``windows``."""
+    parts, starts, owner, at = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     before = np.full(CONTEXT + 1, PAD, np.uint16)
     before[-1] = START
     for k, ids in enumerate(texts):
@@ -173,11 +187,19 @@ def windows(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.
         starts.append(at + first * SCORED)
         owner.append(np.full(len(first), k))
         at += CONTEXT + 1 + n * SCORED
-    if not parts:
-        return np.zeros((0, CONTEXT + SCORED + 1), np.uint16), np.zeros(0, np.int64)
-    flat, starts = np.concatenate(parts), np.concatenate(starts)
-    view = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT + SCORED + 1)
-    return view[starts], np.concatenate(owner)
+    return np.concatenate(parts), np.concatenate(starts), np.concatenate(owner)
+
+
+def windows(texts: list[np.ndarray], pick: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(window, CONTEXT + SCORED + 1) ids of all windows, PAD outside, and the text of each.
+
+    Ids before a text are PAD but for one START; the ids to score are the last
+    SCORED ones.  With ``pick`` only windows k with k % WINDOW_RATE == pick of the text.
+    """
+    flat, starts, owner = stream(texts, pick)
+    if not len(starts):
+        return np.zeros((0, CONTEXT + SCORED + 1), np.uint16), owner
+    return np.lib.stride_tricks.sliding_window_view(flat, CONTEXT + SCORED + 1)[starts], owner
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -281,20 +303,21 @@ class Memory:
         the memory would say without them.
         """
         two, one, x = (a.astype(np.int64) for a in (two, one, x))
-        return self.mixed(self.contexts.at(two << 16 | one), self.pair.at(one << 16 | x), two, one, x, itself)
+        return self.mixed(self.contexts.at(two << 16 | one), self.pair.at(one << 16 | x), two << 32 | one << 16 | x, one, x, itself)
 
     def of_windows(self, w: np.ndarray, itself: bool = False) -> np.ndarray:
         """Probabilities of the ids to score of windows; the pair that ends in an id is the next one's context."""
         ids = w[:, CONTEXT - 1:].astype(np.int64)
-        two, one, x = ids[:, :-2], ids[:, 1:-1], ids[:, 2:]
-        at = self.contexts.at(ids[:, :-1] << 16 | ids[:, 1:])
-        return self.mixed(at[:, :-1], at[:, 1:], two, one, x, itself)
+        one, x = ids[:, 1:-1], ids[:, 2:]
+        pairs = ids[:, :-1] << 16 | ids[:, 1:]
+        at = self.contexts.at(pairs)
+        return self.mixed(at[:, :-1], at[:, 1:], pairs[:, :-1] << 16 | x, one, x, itself)
 
-    def mixed(self, at: np.ndarray, pair: np.ndarray, two: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool) -> np.ndarray:
-        """``at`` and ``pair``: rows of (two, one) and (one, x)."""
+    def mixed(self, at: np.ndarray, pair: np.ndarray, three: np.ndarray, one: np.ndarray, x: np.ndarray, itself: bool) -> np.ndarray:
+        """``at`` and ``pair``: rows of (two, one) and (one, x); ``three``: keys of triples."""
         met = at > 0
         p2, p3 = self.pair.values.take(pair), np.zeros(at.shape, np.float32)
-        p3[met] = self.triple.get(two[met] << 32 | one[met] << 16 | x[met])
+        p3[met] = self.triple.get(three[met])
         if itself:
             n2, n3 = self.count.take(one), self.context.take(at)
             p2 = np.maximum(p2 * n2 - 1, 0) / np.maximum(n2 - 1, 1)
@@ -342,6 +365,8 @@ class Attention:
         i, j = np.arange(SCORED)[:, None] + CONTEXT, np.arange(CONTEXT + SCORED)[None, :]
         self.distance = np.clip(i - j, 0, CONTEXT + SCORED - 1)
         self.causal = (j <= i)
+        self.later = np.where(self.causal, 0, -1e9).astype(np.float32)
+        self.rooms: dict[str | tuple, np.ndarray] = {}
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         """The parameters, or what is kept for each of them, by name."""
@@ -350,41 +375,73 @@ class Attention:
             size = int(np.prod(s))
             out[n] = flat[at:at + size].reshape(s)
             at += size
+        out["rest"] = flat[out["qkv"].size:]  # all but the rows of ids
         return out
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, zero at first and the same at every call: new ones would cost a page fault every 4 KB."""
+        found = self.rooms.get((name, *shape))
+        if found is None:
+            size = math.prod(shape)
+            if name not in self.rooms or self.rooms[name].size < size:
+                self.rooms = {k: x for k, x in self.rooms.items() if k[0] != name} | {name: np.zeros(size, np.float32)}
+            found = self.rooms[name, *shape] = self.rooms[name][:size].reshape(shape)
+        return found
+
     def forward(self, w: np.ndarray) -> dict:
-        """Attention weights ``a``, its output ``h``, class odds ``e`` with their sums, gate and target class.
+        """Attention odds ``a`` with their sums, its output ``h``, class odds ``e`` with their sums, gate and target class.
 
-        Scores stay small (tables start near 0 and move by bounded steps), so
-        exponentials need no shift; a batch in which one overflows is shifted.
+        The large arrays hold until the next call. Scores stay small (tables start
+        near 0 and move by bounded steps), so exponentials need no shift; a batch in
+        which one overflows is shifted.
         """
-        seen, target = w[:, :-1], w[:, CONTEXT + 1:]
+        n, seen, target = len(w), w[:, :-1], w[:, CONTEXT + 1:]
         r = self.row.take(seen)
-        qkv = self.qkv.take(r, axis=0)
-        z = qkv[:, CONTEXT:, :DIM] @ qkv[:, :, DIM:2 * DIM].transpose(0, 2, 1)
-        z += np.where(self.causal, self.far[self.distance], -1e9).astype(np.float32)
+        qkv = self.qkv.take(r, axis=0, out=self.room("qkv", n, CONTEXT + SCORED, 3 * DIM), mode="clip")
         early = np.flatnonzero(seen[:, 0] == PAD)  # windows that begin before their text
-        z[early] += np.where(seen[early] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        a, weight = _odds(z)
-        a /= weight
-        h = (a @ qkv[:, :, 2 * DIM:]).reshape(-1, DIM)
-        e, total = _odds(h @ self.out + self.bias)
-        total = total[:, 0]
-        mine = np.arange(0, e.size, CLASSES) + self.group.take(target).ravel()  # place of the target's class
-        g = 1 / (1 + np.exp(-np.clip(h @ self.gate + self.open, -20, 20)))
-        return {"r": r, "qkv": qkv, "a": a, "h": h, "e": e, "total": total.reshape(target.shape), "at": mine,
-                "mine": e.ravel().take(mine).reshape(target.shape) / total.reshape(target.shape),
-                "g": g.reshape(target.shape), "target": target}
-
-    def probability(self, w: np.ndarray, memory: Memory, itself: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
+
+        def near():
+            z = np.matmul(qkv[:, CONTEXT:, :DIM], qkv[:, :, DIM:2 * DIM].transpose(0, 2, 1), out=self.room("a", n, SCORED, CONTEXT + SCORED))
+            z += self.far[self.distance] + self.later
+            if len(early):
+                z[early] += np.where(seen[early] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+            return z
+
+        a, weight = _odds(near)
+        h = self.room("h", n, SCORED, DIM + 1)  # and a 1 for what does not depend on it
+        np.matmul(a, qkv[:, :, 2 * DIM:], out=h[:, :, :DIM])
+        h[:, :, DIM:] = weight
+        h = h.reshape(-1, DIM + 1)
+        h /= weight.reshape(-1, 1)
+        last = self.room("last", DIM + 1, CLASSES + 1)
+        last[:DIM, :CLASSES], last[DIM, :CLASSES], last[:DIM, CLASSES], last[DIM, CLASSES] = self.out, self.bias, self.gate, self.open[0]
+
+        def classes():
+            u = np.matmul(h, last, out=self.room("e", len(h), CLASSES + 1))
+            gate = u[:, CLASSES].copy()
+            u[:, CLASSES] = -1e9
+            return u, gate
+
+        u, gate = classes()
+        e, total = _odds(lambda: classes()[0], u)
+        total = total.reshape(target.shape)
+        mine = np.arange(0, e.size, CLASSES + 1) + self.group.take(target).ravel()  # place of the target's class
+        g = 1 / (1 + np.exp(-np.minimum(np.maximum(gate, -20), 20)))
+        return {"r": r, "qkv": qkv, "a": a, "weight": weight, "h": h, "last": last, "e": e, "total": total, "at": mine,
+                "mine": e.ravel().take(mine).reshape(target.shape) / total, "g": g.reshape(target.shape), "target": target}
+
+    def probability(self, w: np.ndarray, memory: Memory, itself: bool = False,
+                    counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Of the ids to score: their probability and the attention part's; ``counted``: the memory's, if known."""
         f = self.forward(w)
-        counted = memory.of_windows(w, itself)
+        counted = memory.of_windows(w, itself) if counted is None else counted
         attended = f["mine"] * self.inside.take(f["target"])
         return f["g"] * attended + (1 - f["g"]) * counted, attended, f | {"counted": counted}
 
-    def parts(self, w: np.ndarray, memory: Memory, itself: bool = True) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
-        """Gradient of the mean log-likelihood by parameter: the rows that the windows move, and their gradient."""
-        total, attended, f = self.probability(w, memory, itself)
+    def parts(self, w: np.ndarray, memory: Memory, itself: bool = True,
+              counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradient of the mean log-likelihood: the rows of ids that the windows move, their gradient, and that of the rest."""
+        total, attended, f = self.probability(w, memory, itself, counted)
         real = (f["target"] != PAD).astype(np.float32)
         scale = real / max(real.sum(), 1)
         total = np.maximum(total, 1e-12)
@@ -393,35 +450,36 @@ class Attention:
         du, h, a, qkv = f["e"], f["h"], f["a"], f["qkv"]
         du *= (-part / f["total"]).reshape(-1, 1)
         du.ravel()[f["at"]] += part.ravel()
-        dh = du @ self.out.T
-        dh += dg[:, None] * self.gate
-        shift = np.einsum("ij,ij->i", dh, h).reshape(len(w), -1, 1)
+        du[:, CLASSES] = dg
+        dh = np.matmul(du, f["last"][:DIM].T, out=self.room("dh", len(h), DIM))
+        dh /= f["weight"].reshape(-1, 1)  # in place of dividing the odds, which are more
+        shift = np.einsum("ij,ij->i", dh, h[:, :DIM]).reshape(len(w), -1, 1)
         dh = dh.reshape(*part.shape, DIM)
-        dz = dh @ qkv[:, :, 2 * DIM:].transpose(0, 2, 1)
+        dz = np.matmul(dh, qkv[:, :, 2 * DIM:].transpose(0, 2, 1), out=self.room("dz", *a.shape))
         dz -= shift
         dz *= a
-        d = np.empty_like(qkv)
-        d[:, :CONTEXT, :DIM] = 0
+        d = self.room("d", *qkv.shape)  # contexts ask nothing: their queries' part stays zero
         np.matmul(dz, qkv[:, :, DIM:2 * DIM], out=d[:, CONTEXT:, :DIM])
         np.matmul(dz.transpose(0, 2, 1), qkv[:, CONTEXT:, :DIM], out=d[:, :, DIM:2 * DIM])
         np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * DIM:])
         far = np.ones(len(w), np.float32) @ dz.reshape(len(w), -1)
-        every = slice(None)
-        return {"qkv": _sum_rows(f["r"].ravel(), d.reshape(-1, 3 * DIM)), "far": (every, np.bincount(self.distance.ravel(), far * self.causal.ravel(), CONTEXT + SCORED).astype(np.float32)),
-                "out": (every, h.T @ du), "bias": (every, np.ones(len(du), np.float32) @ du),
-                "gate": (every, dg @ h), "open": (every, dg.sum(keepdims=True))}
+        last = h.T @ du
+        far = np.bincount(self.distance.ravel(), far * self.causal.ravel(), CONTEXT + SCORED)
+        rest = np.concatenate([far, last[:DIM, :CLASSES].ravel(), last[DIM, :CLASSES], last[:, CLASSES]], dtype=np.float32, casting="same_kind")
+        return *_sum_rows(f["r"].ravel(), d.reshape(-1, 3 * DIM)), rest
 
     def gradient(self, w: np.ndarray, memory: Memory, itself: bool = True) -> np.ndarray:
         """Gradient of the mean log-likelihood; ``itself`` as for the memory."""
         flat = np.zeros(len(self.theta), np.float32)
         into = self.views(flat)
-        for n, (rows, g) in self.parts(w, memory, itself).items():
-            into[n][rows] = g
+        rows, g, into["rest"][:] = self.parts(w, memory, itself)
+        into["qkv"][rows] = g
         return flat
 
-    def step(self, w: np.ndarray, memory: Memory, past: dict[str, np.ndarray]) -> None:
+    def step(self, w: np.ndarray, memory: Memory, past: dict[str, np.ndarray], counted: np.ndarray | None = None) -> None:
         """One step of size ``RATE`` over the root of the summed squares ``past``; rows without gradient stay as they are."""
-        for n, (rows, g) in self.parts(w, memory).items():
+        rows, g, rest = self.parts(w, memory, counted=counted)
+        for n, rows, g in (("qkv", rows, g), ("rest", slice(None), rest)):
             table, sums = getattr(self, n), past[n]
             now = g * g
             now += sums[rows]
@@ -432,54 +490,84 @@ class Attention:
             table[rows] = g
 
 
-def _odds(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) and its sums over the last axis, shifted if a sum is no normal number."""
-    one = np.ones((z.shape[-1], 1), np.float32)
+def _odds(scores, z: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) in place of z, and its sums over the last axis, shifted if a sum is no normal number; ``scores()`` is z (anew)."""
+    z = scores() if z is None else z
     with np.errstate(over="ignore"):
-        out = np.exp(z)
-    total = (out.reshape(-1, z.shape[-1]) @ one).reshape(*z.shape[:-1], 1)
+        np.exp(z, out=z)
+    total = (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], np.float32)).reshape(*z.shape[:-1], 1)
     if len(total) and not 1e-30 < total.min() <= total.max() < 1e30:
-        out = np.exp(z - z.max(axis=-1, keepdims=True))
-        total = out.sum(axis=-1, keepdims=True)
-    return out, total
+        z = scores()
+        z -= z.max(axis=-1, keepdims=True)
+        np.exp(z, out=z)
+        total = z.sum(axis=-1, keepdims=True)
+    return z, total
 
 
 def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows met, and the sum of the values of each."""
     short = rows.astype(np.uint16)  # sorted by digits, in linear time
     order = np.argsort(short, kind="stable")
-    short = short[order]
+    short = short.take(order)
     first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-    size = np.diff(np.append(first, len(short)))
-    by = np.argsort(-size, kind="stable")
-    first, size = first[by], size[by]
-    out = values.take(order.take(first), axis=0)
-    # the nth values of all rows that have so many, up to a size that few rows exceed; the rest of those row by row
-    few = int(np.count_nonzero(size > np.arange(len(size))))
-    least = int(size[few]) if few < len(size) else 1
-    more = len(size) - np.cumsum(np.bincount(size))
-    for n in range(1, least):
-        out[:more[n]] += values.take(order.take(first[:more[n]] + n), axis=0)
-    for k in range(more[least]):
-        out[k] += np.add.reduce(values.take(order[first[k] + least:first[k] + size[k]], axis=0), axis=0)
-    return short.take(first).astype(np.int64), out
+    if values.shape[1] % 2:
+        values = np.pad(values, ((0, 0), (0, 1)))
+    twos = values.take(order, axis=0).view(np.complex64)  # two sums at a time
+    return short.take(first).astype(np.int64), np.add.reduceat(twos, first, axis=0).view(np.float32)
 
 
-def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
-    """Counts and windows of the training rows (``text``, ``pick``), in rows of four kinds.
+#: What is counted, and in how many parts by hash counts leave a task.
+COUNTED, PARTS = ("word", "id1", "id2", "id3"), 1 << 10
+#: Windows of a row at most.
+WINDOWS = 6144
+#: Counts that are added up at once, if their part allows.
+SUM_ROWS = 1 << 21
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit integers, compressed with their low 16 bits first and their high ones last."""
+    return pa.compress(values.astype(np.int64).view(np.uint16).reshape(-1, 4).T.tobytes(), "lz4_raw", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "lz4_raw"), np.uint16)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int64).ravel()
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts; sorts ``keys``."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
 
-    word: (hash, count); id1, id2, id3: (key, count) of ids, pairs, triples; window:
-    ids as bytes, with the round that takes it as key.
+def pack(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
+    """Counts and windows of the training rows (``text``, ``pick``), many to a row.
+
+    word, id1, id2, id3: the keys of a part and their counts (``count`` of each, packed
+    in the column of the kind) in a task's chunk, with the part as key; window: ids, and
+    where the windows of each round start.
     """
-    names = ["kind", "key", "count", "ids"]
+    schema = pa.schema({"kind": pa.string(), "key": pa.int64(), "count": pa.int64(), **dict.fromkeys(COUNTED, pa.binary()),
+                        "ids": pa.binary(), "at": pa.list_(pa.list_(pa.int32()))})
+
+    def batch(**columns):
+        n = len(columns["kind"])
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
     def block(kind, keys, counts):
-        for k in range(0, len(keys), 100_000):
-            part, c = keys[k:k + 100_000], counts[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.repeat(kind, len(part)), pa.array(part, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(part), pa.binary())], names)
+        group = keys >> 16 if kind == "id3" else keys
+        part = (group.view(np.uint64) * _MIX >> np.uint64(65 - PARTS.bit_length())).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, keys, counts = part[order], keys[order], counts[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+        for k in range(0, len(cuts) - 1, 256):
+            own = list(zip(cuts[k:k + 256], cuts[k + 1:k + 257]))
+            yield batch(kind=[kind] * len(own), key=[int(part[a]) for a, _ in own], count=[z - a for a, z in own],
+                        **{kind: [packed(np.concatenate([keys[a:z], counts[a:z]])) for a, z in own]})
 
     def run(batches):
-        words = Words(vocab, forget=False)  # flushed with the counts
+        words = Words(vocab, forget=False)  # rows are counted, so they may change at a flush only
         met: list[np.ndarray] = []
         streams: list[np.ndarray] = []
         size = 0
@@ -487,40 +575,95 @@ def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
         def flush():
             c = np.bincount(np.concatenate(met), minlength=len(words.hashes))
             yield from block("word", words.hashes[c > 0], c[c > 0])
-            words.clear()  # rows are counted, so they may change
-            s = np.concatenate(streams).astype(np.int64)
-            k, c = np.unique(s, return_counts=True)
-            yield from block("id1", k[k != PAD], c[k != PAD])
-            two = s[:-1] << 16 | s[1:]
-            two = two[(s[:-1] != PAD) & (s[1:] != PAD)]
-            k, c = np.unique(two, return_counts=True)
-            yield from block("id2", k[c >= LOCAL_PAIR], c[c >= LOCAL_PAIR])
-            three = s[:-2] << 32 | s[1:-1] << 16 | s[2:]
-            three = three[(s[:-2] != PAD) & (s[1:-1] != PAD) & (s[2:] != PAD)]
-            k, c = np.unique(three, return_counts=True)
-            yield from block("id3", k[c >= LOCAL_TRIPLE], c[c >= LOCAL_TRIPLE])
+            if len(words.hashes) > words.LIMIT:
+                words.clear()
+            s = np.concatenate(streams)
+            c = np.bincount(s, minlength=PAD + 1)[:PAD]
+            yield from block("id1", np.flatnonzero(c), c[c > 0])
+            for n, least in ((2, LOCAL_PAIR), (3, LOCAL_TRIPLE)):  # the arrays are large: few at a time
+                keys, real = np.zeros(len(s) - n + 1, np.int64), np.ones(len(s) - n + 1, bool)
+                for k in range(n):
+                    part = s[k:len(s) - n + 1 + k]
+                    keys <<= 16
+                    keys |= part
+                    real &= part != PAD
+                keys = keys[real]
+                del real
+                keys, c = counted(keys)
+                yield from block(f"id{n}", keys[c >= least], c[c >= least])
 
         edge = np.array([PAD, START], np.uint16)
         for b in pieces(batches, "text", 4 << 20):
-            rows = words.rows([lower_bytes(t).split() for t in texts_of(b, "text")])
-            ids = [words.subwords(r) for r in rows]
-            for r, s in zip(rows, ids):
-                met.append(r)
+            rows, counts = words.of_texts(b.column("text"))
+            ids = words.subwords_of(rows, counts)
+            met.append(rows)
+            for s in ids:
                 streams += [edge, s]
                 size += len(s)
-            w, owner = windows(ids, b.column("pick").to_pylist())
-            if len(w):
-                turn = (np.arange(len(w)) + owner) % ROUNDS
-                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * w.shape[1]), len(w), [None, pa.py_buffer(np.ascontiguousarray(w))])
-                yield pa.RecordBatch.from_arrays([pa.repeat("window", len(w)), pa.array(turn, pa.int64()), pa.nulls(len(w), pa.int64()),
-                                                  flat.cast(pa.binary())], names)
+            flat, starts, owner = stream(ids, b.column("pick").to_pylist())
+            turn = (np.arange(len(starts)) + owner) % ROUNDS
+            for k in range(0, len(starts), WINDOWS):
+                own, when = starts[k:k + WINDOWS], turn[k:k + WINDOWS]
+                yield batch(kind=["window"], ids=[flat[own[0]:own[-1] + CONTEXT + SCORED + 1].tobytes()],
+                            at=[[own[when == t] - own[0] for t in range(ROUNDS)]])
             if size > CHUNK:
                 yield from flush()
                 met, streams, size = [], [], 0
         if streams:
             yield from flush()
 
-    return docs.select("text", "pick").mapInArrow(tidy(run), "kind string, key long, count long, ids binary")
+    return docs.select("text", "pick").mapInArrow(
+        tidy(run), f"kind string, key long, count long, {', '.join(f'{k} binary' for k in COUNTED)}, ids binary, at array<array<int>>")
+
+
+def summed(gathered: DataFrame, kind: str) -> DataFrame:
+    """(key, count) of all blocks of a kind: every key once, with its whole count."""
+    def run(batches):
+        part, keys, counts, n, most = None, [], [], 0, SUM_ROWS
+
+        def total():
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return k[first], np.add.reduceat(c, first)
+
+        for b in batches:
+            for key, count, data in zip(*(b.column(x).to_pylist() for x in ("key", "count", kind))):
+                if n >= SUM_ROWS and key != part:  # a part's keys are in no other
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in total()], ["key", "count"])
+                    keys, counts, n, most = [], [], 0, SUM_ROWS
+                elif n >= most:
+                    k, c = total()
+                    keys, counts, n = [k], [c], len(k)
+                    most = max(SUM_ROWS, 2 * n)
+                both = unpacked(data, 2 * count)
+                keys.append(both[:count])
+                counts.append(both[count:])
+                part, n = key, n + count
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total()], ["key", "count"])
+
+    return (gathered.where(F.col("kind") == kind).select("key", "count", kind).repartition("key").sortWithinPartitions("key")
+            .mapInArrow(tidy(run), "key long, count long"))
+
+
+def gather(docs: DataFrame, vocab: tuple[str, str]) -> DataFrame:
+    """Counts and windows of the training rows (``text``, ``pick``), in rows of five kinds.
+
+    word: (hash, count); id1, id2, id3: (key, count) of ids, pairs, triples, each key
+    once; window: ids as bytes, with the round that takes it as key. A plan that asks
+    for one kind, or one round's windows, derives only that.
+    """
+    rows, width = saved(pack(docs, vocab), "gathered"), 2 * (CONTEXT + SCORED + 1)
+    views = []
+    for turn in range(ROUNDS):
+        each = rows.where("kind = 'window'").select("ids", F.explode(F.col("at")[turn]).alias("start"))
+        views.append(each.select(F.lit("window").alias("kind"), F.lit(turn).cast("long").alias("key"), F.lit(None).cast("long").alias("count"),
+                                 F.expr(f"substring(ids, 2 * start + 1, {width})").alias("ids")))
+    for kind in COUNTED:
+        views.append(summed(rows, kind).select(F.lit(kind).alias("kind"), "key", "count", F.lit(None).cast("binary").alias("ids")))
+    return functools.reduce(DataFrame.unionAll, views)
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -550,9 +693,10 @@ def train(gathered: DataFrame, shared) -> np.ndarray:
             for b in batches:
                 size = 2 * (CONTEXT + SCORED + 1)
                 w = np.frombuffer(b.column("ids").cast(pa.binary(size)).buffers()[1], np.uint16)[:b.num_rows * size // 2].reshape(b.num_rows, -1)
-                for k in range(0, len(w), 128):
-                    model.step(w[k:k + 128], memory, past)
-                    used += len(w[k:k + 128])
+                counted = memory.of_windows(w, itself=True)
+                for k in range(0, len(w), STEP):
+                    model.step(w[k:k + STEP], memory, past, counted[k:k + STEP])
+                used += len(w)
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([model.theta.tobytes()], pa.binary()), pa.array([float(used)])], ["theta", "used"])
 
@@ -576,27 +720,28 @@ def score_texts(docs: DataFrame, vocab, shared, theta: np.ndarray) -> DataFrame:
         model = Attention(single, theta.copy())
         number = TaskContext.get().partitionId() << 40
         for b in pieces(batches, "text", 2 << 20):
-            rows = words.rows([lower_bytes(t).split() for t in texts_of(b, "text")])
-            ids = [words.subwords(r) for r in rows]
+            rows, counts = words.of_texts(b.column("text"))
+            ids = words.subwords_of(rows, counts)
             w, owner = windows(ids)
-            log = np.zeros(len(rows))
-            for k in range(0, len(w), 512):
-                part = w[k:k + 512]
-                p, _, f = model.probability(part, memory)
-                lp = np.where(f["target"] == PAD, 0.0, np.log10(np.maximum(p, 1e-30)))
-                log += np.bincount(owner[k:k + 512], lp.sum(axis=1), len(rows))
-            base, sent, rare = [], [], []
-            for r in rows:
-                c = words.known[r]
-                base.append(float(np.log10(c[c >= 0] + 1.0).sum()))
-                sent.append(int((c > 0).sum()))
-                rare.append(words.hashes[r[c < 0]])
+            p = np.empty((len(w), SCORED), np.float32)
+            n = len(counts)
+            for k in range(0, len(w), 1024):
+                counted = memory.of_windows(w[k:k + 1024])
+                for j in range(k, min(k + 1024, len(w)), BLOCK):
+                    p[j:j + BLOCK] = model.probability(w[j:j + BLOCK], memory, counted=counted[j - k:j - k + BLOCK])[0]
+            lp = np.where(w[:, CONTEXT + 1:] == PAD, np.float32(0), np.log10(np.maximum(p, 1e-30))).sum(axis=1, dtype=np.float64)
+            log = np.bincount(owner, lp, n)
+            owner = np.repeat(np.arange(n), counts)
+            c = words.known.take(rows)
+            base = np.bincount(owner, np.log10(np.maximum(c, 0) + 1.0), n)
+            sent = np.bincount(owner, c > 0, n).astype(np.int64)
+            rare = np.concatenate([[0], np.cumsum(np.bincount(owner[c < 0], minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in rest), pa.array(range(number, number + len(rows)), pa.int64()),
-                 pa.array([len(r) + 1 for r in rows], pa.int64()), pa.array(base, pa.float64()), pa.array(sent, pa.int64()),
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(log, pa.float64())],
+                [*(b.column(x) for x in rest), pa.array(np.arange(number, number + n)),
+                 pa.array(counts + 1), pa.array(base), pa.array(sent),
+                 pa.ListArray.from_arrays(pa.array(rare), pa.array(words.hashes.take(rows[c < 0]))), pa.array(log)],
                 [*rest, "row", "n_tokens", "base_known", "n_sent", "rare", "score"])
-            number += len(rows)
+            number += n
 
     more = StructType.fromDDL("row long, n_tokens long, base_known double, n_sent long, rare array<long>, score double")
     return docs.mapInArrow(tidy(run), StructType([*docs.select(*rest).schema.fields, *more.fields]))
@@ -615,15 +760,14 @@ def lm_scores(docs: DataFrame, text: str = "text", row_id: str = "doc_id", held_
     rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"), held_out.alias("held_out"),
                        (crc % WINDOW_RATE).cast("int").alias("pick"))
     learn = rows.where(~F.col("held_out"))
-    gathered = saved(gather(learn, vocab), "gathered")
-    counts = lambda kind: gathered.where(F.col("kind") == kind).groupBy("key").agg(F.sum("count").alias("c"))
-    words = saved(counts("word"), "words")
-    ends = gathered.where((F.col("kind") == "id1") & (F.col("key") == END)).agg(F.sum("count")).first()[0] or 0
+    gathered = gather(learn, vocab)
+    counts = lambda kind, name: saved(gathered.where(F.col("kind") == kind).select("key", F.col("count").alias("c")), name)
+    words = counts("word", "words")
+    single = most_frequent(counts("id1", "ids"), IDS)
+    ends = int(single[1][single[0] == END].sum())
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    single = most_frequent(counts("id1"), IDS)
-    memory = Memory(single, most_frequent(saved(counts("id2"), "pairs"), PAIR_SLOTS),
-                    most_frequent(saved(counts("id3"), "triples"), TRIPLE_SLOTS))
+    memory = Memory(single, most_frequent(counts("id2", "pairs"), PAIR_SLOTS), most_frequent(counts("id3", "triples"), TRIPLE_SLOTS))
     shared = docs.sparkSession.sparkContext.broadcast((single, memory.arrays(), most_frequent(words, WORDS)))
     theta = train(gathered, shared)
     scored = saved(score_texts(rows.drop("pick"), vocab, shared, theta), "scored")

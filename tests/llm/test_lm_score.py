@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from carelog.llm import lm_score as L
@@ -172,3 +173,42 @@ def test_words_with_odd_spaces_keep_their_ids():
         alone = L.Words(L.vocabulary())
         assert alone.subwords(alone.rows([[w]])[0]).tolist() == one.subwords(np.array([k])).tolist()
     assert together[1].tolist() == together[0].tolist()[::-1]
+
+
+def test_gathered_keys_come_once_with_whole_counts(spark):
+    texts = [f"one two three {i % 3} qzx{i}" for i in range(40)]
+    docs = spark.createDataFrame([(t, 0) for t in texts], "text string, pick int").repartition(5)
+    got = L.gather(docs, L.vocabulary()).where("kind <> 'window'").collect()
+    assert len({(r["kind"], r["key"]) for r in got}) == len(got)
+    assert sorted(r["count"] for r in got if r["kind"] == "word") == sorted(Counter(w for t in texts for w in t.split()).values())
+    keys = np.array([0, 1, 1 << 47, -1, -(1 << 63)])
+    assert np.array_equal(L.unpacked(L.packed(keys), 5), keys)
+
+
+def test_words_of_texts_as_split_in_python():
+    texts = [None, "", " \t\n", "One two\x0b\x0cTWO  two ", "ÄÖ É\x85x \x1c　y", "end\n", "x" * 3000]
+    words = L.Words(L.vocabulary())
+    rows, counts = words.of_texts(pa.array(texts))
+    cut = [(t or "").encode().translate(TABLE).split() for t in texts]
+    assert counts.tolist() == [len(c) for c in cut]
+    assert rows.tolist() == np.concatenate(words.rows(cut)).tolist()
+    ids = words.subwords_of(rows, counts)
+    assert [i.tolist() for i in ids] == [words.subwords(r).tolist() for r in words.rows(cut)]
+    assert all(i[-1] == L.END for i in ids) and [len(i) for i in ids[:3]] == [1, 1, 1]
+
+
+def test_reused_arrays_keep_nothing_of_other_batches():
+    ids = [np.append(np.random.default_rng(k).choice([5, 9, 17, 300], 90 + k).astype(np.uint16), np.uint16(L.END)) for k in range(12)]
+    w, _ = L.windows(ids)
+    model, memory = small_model()
+    alone = [model.gradient(w[:n], memory).copy() for n in (7, len(w), 30)]
+    for n, g in zip((7, len(w), 30), alone):
+        fresh, _ = small_model()
+        assert np.allclose(fresh.gradient(w[:n], memory), g, atol=1e-6)
+    first = model.probability(w[:20], memory)[0]
+    kept = first.copy()
+    model.probability(w[20:60], memory)
+    assert np.array_equal(first, kept)
+    model.out *= 1e4  # odds that overflow are shifted
+    p = model.probability(w, memory)[0]
+    assert np.isfinite(p).all() and (p >= 0).all()
